@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extraction, mixing, pii, sharding, simhash, toxicity
+from . import decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, sharding, simhash, toxicity
 
 #: Shards of the placement query.
 SHARDS = 16
@@ -32,6 +32,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = ~toxicity.held_out(F.col("doc_id"))
     found = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), learned)
@@ -43,6 +48,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", F.round("coverage", 9).alias("coverage"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    found = lm_scoring.scored(table(spark, sf_dir, "documents"), held_out)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extraction.extracted(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -58,5 +69,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_id").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op6_benchmark_decontamination, op8_html_extraction, op9_pii, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op9_pii, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
