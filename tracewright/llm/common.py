@@ -56,3 +56,14 @@ def arrow_rows(df: DataFrame, rows: int = 500) -> DataFrame:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def rows_of(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of df by id and text, each as often as `wanted` (doc_id, text_hash, copies) says; of repeated rows, one counts."""
+    named = df.withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
+    repeated = not named.groupBy(key, "_hash").count().where("count > 1").isEmpty()
+    if repeated:
+        named = named.dropDuplicates([key, "_hash"])
+    on = F.col(f"l.{key}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._hash") == F.col("r.text_hash"))
+    found = named.alias("l").join(wanted.alias("r"), on).select(*(F.col(f"l.`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1), F.col("r.copies").cast("int"))).alias("_copy"))
+    return found.drop("_copy")

@@ -3,7 +3,8 @@
 A tree of domains, languages and sources splits a token budget. At each node the budget goes to the children by
 weight, but to none more than it can hold (its tokens times the number of epochs): what a child can't hold goes to
 its siblings by weight, and only what all of them can't hold goes to the siblings of their parent. Each leaf then
-takes whole epochs of its documents and, of the last epoch, the prefix of a seeded order that its budget covers.
+takes whole epochs of its documents and, of the last epoch, the prefix of a seeded order that its budget covers: a
+document at the edge is taken if at least half of it is inside.
 
 Cases: a null text has no tokens, and a document without tokens is taken where the prefix reaches it; null languages
 and sources are nodes of their own; leaves without tokens get no budget; equal ids are ordered by token count, and
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_text, with_totals_before, written
+from .common import key_text, rows_of, with_totals_before, written
 
 #: The share of the budget of each domain, in the order of their numbers.
 DOMAIN_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
@@ -70,12 +71,12 @@ def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, domain_weights:
 
 
 def mix(df: DataFrame, share: float, epochs: int = 1, seed: int = 0, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain_weights: tuple[float, ...] = DOMAIN_WEIGHTS) -> DataFrame:
-    """Ids with the copies that the mixture takes of them: _id, _row (a number that tells repeated ids apart), domain, lang, source, tokens, copies.
+    """The copies that the mixture takes of each row: _id, text_hash, domain, lang, source, tokens, copies.
 
     share: the budget over all tokens of df. epochs: how often a document can be taken at most. Only ids, labels and
     token counts are shuffled, and each leaf is ordered in 4,096 buckets of its seeded hash.
     """
-    rows = df.select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("tokens"))
+    rows = df.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("tokens"))
     rows = rows.withColumn("domain", domain_of(F.col("source"), len(domain_weights)))
     rows = written(rows, "mixing-rows")
     leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"))
@@ -88,6 +89,12 @@ def mix(df: DataFrame, share: float, epochs: int = 1, seed: int = 0, key: str =
     rows = rows.alias("l").join(budgets.alias("r"), on).select("l.*", "r.whole", "r.rest", "r.given")
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), key_text("_id")))
     rows = rows.withColumn("_hash", order).withColumn("_bucket", F.substring("_hash", 1, 3))
-    rows = with_totals_before(rows, leaf, "_bucket", [F.col("_hash"), F.col("_id"), F.col("tokens")], F.col("tokens"), "before")
-    last = (F.col("given") > 0) & (F.col("whole") < epochs) & (F.col("before") + F.col("tokens") <= F.col("rest") + 1e-6)
-    return rows.withColumn("copies", F.col("whole") + F.when(last, 1).otherwise(0)).select("_id", *leaf, "tokens", F.col("copies").cast("long").alias("copies"))
+    rows = with_totals_before(rows, leaf, "_bucket", [F.col(c) for c in ("_hash", "_id", "tokens", "text_hash")], F.col("tokens"), "before")
+    last = (F.col("given") > 0) & (F.col("whole") < epochs) & (F.col("before") + F.col("tokens") / 2 <= F.col("rest") + 1e-6)
+    return rows.withColumn("copies", F.col("whole") + F.when(last, 1).otherwise(0)).select("_id", "text_hash", *leaf, "tokens", F.col("copies").cast("long").alias("copies"))
+
+
+def mixture(df: DataFrame, share: float, epochs: int = 1, seed: int = 0, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of df that the mixture takes, a row that it takes several times as several rows."""
+    taken = mix(df, share, epochs, seed, key, text, **options).groupBy("_id", "text_hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    return rows_of(df, written(taken.withColumnRenamed("_id", "doc_id"), "mixture"), key, text)

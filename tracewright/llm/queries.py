@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, sharding, simhash, toxicity
+from . import decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, sharding, simhash, sql, toxicity
 
 #: Shards of the placement query.
 SHARDS = 16
@@ -70,4 +70,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op9_pii, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": sql.sharding_sql(SHARDS),
+    "op3_exact_dedup": sql.EXACT_DEDUP_SQL,
+    "op4_line_dedup": sql.LINE_DEDUP_SQL,
+    "op10_mixing": sql.mixing_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+}

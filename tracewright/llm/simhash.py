@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, rows_of, written
 from .components import connected
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -60,14 +60,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a long (its bit pattern) of every row."""
+    """doc_id, a hash of the text, and the fingerprint as a long (its bit pattern) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "fp"])
+            out = np.array([fingerprint(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out)], names=["doc_id", "text_hash", "fp"])
 
-    return arrow_rows(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(each, "doc_id long, fp long")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return arrow_rows(rows).mapInArrow(each, "doc_id long, text_hash long, fp long")
 
 
 def forest(values: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -146,12 +147,20 @@ def near_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row: the smallest id reachable over links within the radius."""
+    """doc_id, text_hash, fp (long) and component_id of every row: the smallest id reachable over links within the radius."""
     rows = written(fingerprints(df, key, text), "fingerprints")
     values = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-values")
     roots = connected(near_links(values.where("node IS NOT NULL"), radius))
     named = values.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """df with one row of each component: the one with the smallest id (one without an id only where all lack it)."""
+    found = near_duplicates(df, key, text, radius)
+    apart = F.when(F.col("component_id").isNull(), F.col("fp"))
+    best = found.groupBy("component_id", apart.alias("apart")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    return rows_of(df, written(best.select("best.doc_id", "best.text_hash").distinct().withColumn("copies", F.lit(1)), "kept"), key, text)
 
 
 def hex16(col):
