@@ -37,7 +37,8 @@ def fill(nodes: DataFrame, parent: list[str], budget: str, capacity: str, weight
     """Splits the budget of each parent among its children: the least of capacity and level * weight, at one level for all.
 
     Children are ordered by capacity / weight. Those up to some place are full; the level is what is left over the
-    weights of the rest, at the first place where it doesn't exceed that child's own capacity / weight.
+    weights of the rest, at the first place where it doesn't exceed that child's own capacity / weight. Past that place
+    it only falls, so that it is the greatest of those that fit.
     """
     order = Window.partitionBy(*parent).orderBy(F.col("_ratio"), F.col(name))
     whole = Window.partitionBy(*parent)
@@ -45,7 +46,7 @@ def fill(nodes: DataFrame, parent: list[str], budget: str, capacity: str, weight
     df = df.withColumn("_full", F.coalesce(F.sum(capacity).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     df = df.withColumn("_rest", F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing)))
     df = df.withColumn("_level", F.when(F.col("_rest") > 0, (F.col(budget) - F.col("_full")) / F.col("_rest")))
-    df = df.withColumn("_fit", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
+    df = df.withColumn("_fit", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
     given = F.when(F.col("_fit").isNull(), F.col(capacity)).otherwise(F.least(F.col(capacity), F.greatest(F.col("_fit"), F.lit(0.0)) * F.col(weight)))
     return df.withColumn(out, given).drop("_ratio", "_full", "_rest", "_level", "_fit")
 

@@ -51,7 +51,7 @@ def mixing_sql(share: float, epochs: int, seed: int) -> str:
 
     def fill(nodes: str, parent: str, name: str, out: str) -> str:
         """nodes: parent, name, budget, cap, w."""
-        return f"""(SELECT *, CASE WHEN fit IS NULL THEN cap ELSE least(cap, greatest(fit, 0) * w) END AS {out} FROM (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER (PARTITION BY {parent}) AS fit FROM (
+        return f"""(SELECT *, CASE WHEN fit IS NULL THEN cap ELSE least(cap, greatest(fit, 0) * w) END AS {out} FROM (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER (PARTITION BY {parent}) AS fit FROM (
         SELECT *, CASE WHEN rest > 0 THEN (budget - filled) / rest END AS level FROM (SELECT *, coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY ratio, {name} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
         sum(w) OVER (PARTITION BY {parent} ORDER BY ratio, {name} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM (SELECT *, CASE WHEN w > 0 THEN cap / w ELSE CAST('inf' AS DOUBLE) END AS ratio FROM {nodes})))))"""
 
