@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """node, root for every node of the links (a, b): root is the smallest node of its component.
+    """node, root for every node of the links (a, b) but the roots: root is the smallest node of its component.
 
     Ends when a round changes nothing. Links of a node with itself and repeated links don't matter; rows with nulls are dropped.
     """
