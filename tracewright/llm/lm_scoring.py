@@ -28,7 +28,7 @@ from .common import arrow_rows, written
 from .words import WordHasher, mixed
 
 ORDER, STRENGTH, SPREAD = 2, 3.0, 0.85
-PART_BYTES = 12_000_000
+PART_BYTES = 8_000_000
 #: N-grams that a bucket gets, about.
 BUCKET_GRAMS = 2_000_000
 BEGIN, END = np.uint64(0x5DEECE66D), np.uint64(0xB5026F5AA96619E9)
@@ -200,7 +200,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     size = parts.agg(F.sum("n_bytes")).first()[0] or 0
     # two grams a word for order 2, a word taking about six bytes: no part of the result depends on this guess
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 * order / BUCKET_GRAMS)))))
-    sent = parts.repartition(max(1, parts.count()), "part").mapInArrow(_send(order, bits), _SENT)
+    sent = parts.mapInArrow(_send(order, bits), _SENT)
     totals = written(sent.groupBy("bucket").applyInArrow(_sum, _TOTAL), "lm-totals")
     tokens, kinds = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
