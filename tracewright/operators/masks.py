@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SATURATION, Detection
 from . import rolling, runs
+from .storage import settled
 
 
 def finite(x: Column) -> Column:
@@ -77,11 +78,13 @@ def energy(df: DataFrame, config: Detection, column: str = "x", out: str = "ener
 
 def all_masks(df: DataFrame, config: Detection, column: str = "v") -> DataFrame:
     """Adds dc, x, missing, sat, freeze, spike, step, morph and energy to raw samples."""
-    df = without_dc(df, column).withColumns({"missing": missing_counts(F.col(column)), "sat": saturated(F.col(column))})
+    df = settled(rolling.per_trace(without_dc(df, column), n=F.max("idx") + 1), "raw")
+    df = df.withColumns({"missing": missing_counts(F.col(column)), "sat": saturated(F.col(column))})
     frozen = freeze_runs(df, config, column).select("trace_id", F.explode(F.sequence("s", "e")).alias("idx"), F.lit(True).alias("freeze"))
     df = df.join(frozen, ["trace_id", "idx"], "left").withColumn("freeze", F.coalesce("freeze", F.lit(False)))
-    df = energy(step(spike(df, config), config), config)
-    return df.withColumn("morph", F.col("sat") | F.col("missing") | F.col("freeze") | F.col("spike") | F.col("step"))
+    df = settled(spike(df, config), "spike")
+    df = energy(settled(step(df, config), "step"), config).drop("n")
+    return settled(df, "masks").withColumn("morph", F.col("sat") | F.col("missing") | F.col("freeze") | F.col("spike") | F.col("step"))
 
 
 def mad_outliers(df: DataFrame, column: str, k: float, out: str) -> DataFrame:

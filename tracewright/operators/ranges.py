@@ -10,11 +10,12 @@ BUCKET = 4096
 
 def samples_in(samples: DataFrame, segments: DataFrame, how: str = "inner", s: str = "s", e: str = "e", bucket: int = BUCKET) -> DataFrame:
     """Pairs of a sample and a segment of its trace that holds it. A segment stands in each bucket that it touches, and a pair meets in one."""
-    right = segments.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))))
+    rest = [c for c in segments.columns if c != "trace_id"]
+    right = segments.select(F.col("trace_id").alias("_k"), *(F.col(c).alias(f"_r_{c}") for c in rest), F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))).alias("_rb"))
     left = samples.withColumn("_b", F.floor(F.col("idx") / bucket))
-    within = (left["trace_id"] == right["trace_id"]) & (left["_b"] == right["_b"]) & (left["idx"] >= right[s]) & (left["idx"] <= right[e])
-    rest = [right[c] for c in right.columns if c not in ("trace_id", "_b")]
-    return left.join(right, within, how).select(*(left[c] for c in samples.columns), *(c for c in rest if how not in ("left_semi", "left_anti")))
+    within = (F.col("trace_id") == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.col("idx") >= F.col(f"_r_{s}")) & (F.col("idx") <= F.col(f"_r_{e}"))
+    both = how not in ("left_semi", "left_anti")
+    return left.join(right, within, how).select(*samples.columns, *(F.col(f"_r_{c}").alias(c) for c in rest if both))
 
 
 def overlapping(left: DataFrame, right: DataFrame, how: str, key: str = "trace_id", s: str = "s", e: str = "e") -> DataFrame:

@@ -34,11 +34,12 @@ def rolled(df: DataFrame, new: dict[str, Column], before: int, after: int, edges
     """df with aggregates over the rows from `before` back to `after` on.
 
     new: aggregates by name, as over(...) takes them. edges: 'reflect' or 'edge' fills in rows outside the trace;
-    None lets windows end with the trace.
+    None lets windows end with the trace. A column n, if there is one, is the trace's length.
     """
     names = df.columns
     if edges:
-        rows = df.join(lengths(df).withColumnRenamed("n", "_n"), "trace_id").withColumn("_at", F.explode(_images(edges, before, after)))
+        sized = df.withColumn("_n", F.col("n")) if "n" in names else df.join(lengths(df).withColumnRenamed("n", "_n"), "trace_id")
+        rows = sized.withColumn("_at", F.explode(_images(edges, before, after)))
     else:
         rows = df.withColumn("_at", F.col("idx"))
     low, high = F.floor((F.col("_at") - after) / chunk), F.floor((F.col("_at") + before) / chunk)

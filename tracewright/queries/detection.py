@@ -161,10 +161,10 @@ def combined_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FREEZE_PLACES = "fz AS (SELECT trace_id, unnest(generate_series(s, e)) AS idx FROM (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY idx) AS g FROM (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER (PARTITION BY trace_id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM trc)) GROUP BY trace_id, g HAVING count(*) >= 198))"
-FLAGS = SPIKE + STEP.format(k="12.0").removeprefix(X) + f", {FREEZE_PLACES}, fl AS (SELECT x.trace_id, x.idx, x.x, (v >= 1020 OR v <= -1020) AS sat, {MISSING} AS missing, fz.idx IS NOT NULL AS freeze, spike.idx IS NOT NULL AS spike, step.idx IS NOT NULL AS step FROM x LEFT JOIN fz USING (trace_id, idx) LEFT JOIN spike USING (trace_id, idx) LEFT JOIN step USING (trace_id, idx))"
+FLAGS = SPIKE + STEP.format(k="12.0").removeprefix(X) + f", {FREEZE_PLACES}, fl AS (SELECT x.trace_id, x.idx, x.x, (v >= 1020 OR v <= -1020) AS f1, {MISSING} AS f2, fz.idx IS NOT NULL AS f3, spike.idx IS NOT NULL AS f4, step.idx IS NOT NULL AS f5 FROM x LEFT JOIN fz USING (trace_id, idx) LEFT JOIN spike USING (trace_id, idx) LEFT JOIN step USING (trace_id, idx))"
 
 
-@query(f"WITH {FLAGS}, seg AS ({MERGED.format(apart='s - prev > 20', table='(' + RUNS.format(table='fl', cond='sat OR missing OR freeze OR spike OR step') + ')')}), q AS (SELECT seg.trace_id, seg.s, seg.e, avg(sat::INT) AS a, avg(missing::INT) AS b, avg(freeze::INT) AS c, avg(spike::INT) AS d, avg(step::INT) AS f FROM seg JOIN fl ON fl.trace_id = seg.trace_id AND fl.idx BETWEEN seg.s AND seg.e GROUP BY ALL) SELECT trace_id, s, e, CASE WHEN greatest(a, b, c, d, f) <= 0.01 THEN 'burst' WHEN a = greatest(a, b, c, d, f) THEN 'sat' WHEN b = greatest(a, b, c, d, f) THEN 'zero' WHEN c = greatest(a, b, c, d, f) THEN 'freeze' WHEN d = greatest(a, b, c, d, f) THEN 'spike' ELSE 'step' END AS kind, round(b, 6) AS missing_share FROM q")
+@query(f"WITH {FLAGS}, seg AS ({MERGED.format(apart='s - prev > 20', table='(' + RUNS.format(table='fl', cond='f1 OR f2 OR f3 OR f4 OR f5') + ')')}), q AS (SELECT seg.trace_id, seg.s, seg.e, avg(f1::INT) AS a, avg(f2::INT) AS b, avg(f3::INT) AS c, avg(f4::INT) AS d, avg(f5::INT) AS f FROM seg JOIN fl ON fl.trace_id = seg.trace_id AND fl.idx BETWEEN seg.s AND seg.e GROUP BY ALL) SELECT trace_id, s, e, CASE WHEN greatest(a, b, c, d, f) <= 0.01 THEN 'burst' WHEN a = greatest(a, b, c, d, f) THEN 'sat' WHEN b = greatest(a, b, c, d, f) THEN 'zero' WHEN c = greatest(a, b, c, d, f) THEN 'freeze' WHEN d = greatest(a, b, c, d, f) THEN 'spike' ELSE 'step' END AS kind, round(b, 6) AS missing_share FROM q")
 def primary_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = masks.all_masks(trc(spark, sf_dir).select("trace_id", "idx", "v"), CONFIG)
     found = runs.merged(runs.runs(masked, "morph"), 20)
@@ -196,8 +196,8 @@ EVENT_SEGMENTS = "SELECT trace_id, min(idx) AS s, max(idx) AS e FROM x GROUP BY
 
 
 @query(
-    f"WITH {FLAGS}, seg AS ({EVENT_SEGMENTS}), p AS (SELECT seg.trace_id, seg.s, seg.e, e - s + 1 AS n, idx - s AS pos, x, missing, spike, (sat OR missing OR freeze OR spike OR step) AS morph, greatest(3, floor((e - s + 1) * 0.1)) AS h, greatest(3, floor((e - s + 1) * 0.3)) AS m, greatest(2, floor((e - s + 1) * 0.1)) AS t FROM seg JOIN fl ON fl.trace_id = seg.trace_id AND fl.idx BETWEEN seg.s AND seg.e),"
-    " st AS (SELECT trace_id, s, e, n, avg(missing::INT) AS mi, avg(morph::INT) AS mo, avg(spike::INT) AS sp, sqrt(avg(CASE WHEN pos < h THEN x * x END) + 1e-12) AS hd, sqrt(coalesce(avg(CASE WHEN pos >= h AND pos < h + m THEN x * x END), 0) + 1e-12) AS md, sqrt(avg(CASE WHEN pos >= n - t THEN x * x END) + 1e-12) AS tl FROM p GROUP BY ALL),"
+    f"WITH {FLAGS}, seg AS ({EVENT_SEGMENTS}), p AS (SELECT seg.trace_id, seg.s, seg.e, e - s + 1 AS n, idx - s AS pos, x, f2, f4, (f1 OR f2 OR f3 OR f4 OR f5) AS morph, greatest(3, floor((e - s + 1) * 0.1)) AS h, greatest(3, floor((e - s + 1) * 0.3)) AS m, greatest(2, floor((e - s + 1) * 0.1)) AS t FROM seg JOIN fl ON fl.trace_id = seg.trace_id AND fl.idx BETWEEN seg.s AND seg.e),"
+    " st AS (SELECT trace_id, s, e, n, avg(f2::INT) AS mi, avg(morph::INT) AS mo, avg(f4::INT) AS sp, sqrt(avg(CASE WHEN pos < h THEN x * x END) + 1e-12) AS hd, sqrt(coalesce(avg(CASE WHEN pos >= h AND pos < h + m THEN x * x END), 0) + 1e-12) AS md, sqrt(avg(CASE WHEN pos >= n - t THEN x * x END) + 1e-12) AS tl FROM p GROUP BY ALL),"
     " pp AS (SELECT trace_id, s, n, pos, x * x AS q FROM p UNION ALL SELECT trace_id, s, n, -1 - pos, x * x FROM p WHERE pos < 33 UNION ALL SELECT trace_id, s, n, 2 * n - 1 - pos, x * x FROM p WHERE pos >= n - 33),"
     " en AS (SELECT trace_id, s, pos, sqrt(a) AS r FROM (SELECT trace_id, s, n, pos, avg(q) OVER (PARTITION BY trace_id, s ORDER BY pos ROWS BETWEEN 33 PRECEDING AND 32 FOLLOWING) AS a FROM pp) WHERE pos BETWEEN 0 AND n - 1),"
     " sm AS (SELECT trace_id, s, median(abs(r - l)) AS sm FROM (SELECT trace_id, s, r, lag(r) OVER (PARTITION BY trace_id, s ORDER BY pos) AS l FROM (SELECT trace_id, s, pos, r / (max(r) OVER (PARTITION BY trace_id, s) + 1e-12) AS r FROM en)) GROUP BY trace_id, s)"
