@@ -59,3 +59,36 @@ def against_baseline(df: DataFrame, by: list[str], method: str, value: str, base
     """Change of each method's value against the baseline's, in percent."""
     b = df.where(F.col(method) == base).select(*by, F.col(value).alias("_base"))
     return df.join(b, by).withColumn("change_pct", 100 * (F.col(value) - F.col("_base")) / F.col("_base")).drop("_base")
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) hashed from the parts, the same in every run and engine."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("double")
+    return bits / float(1 << 52)
+
+
+#: Bounds of the distribution function of a Poisson variable of mean 1.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, draws: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """Percentile interval of the mean: in each draw a unit counts as often as a hashed Poisson number says.
+
+    Draws are rows, summed before they are shuffled, so that no group meets in one task.
+    """
+    u = uniform(F.lit(seed), F.col("draw"), F.col(unit))
+    weight = sum((F.when(u >= b, 1).otherwise(0) for b in POISSON), F.lit(0))
+    rows = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
+    means = rows.groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("_m"))
+    tail = (1 - level) / 2
+    return means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
+
+
+def sign_flips(df: DataFrame, by: list[str], unit: str, d: str = "d", draws: int = 500, seed: int = 7) -> DataFrame:
+    """Two-sided permutation test of the mean difference: signs are flipped at random, zeros don't count; null for fewer than 6."""
+    rows = df.where(F.col(d) != 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    sign = F.when((F.col("draw") == 0) | (uniform(F.lit(seed), F.col("draw"), F.col(unit)) < 0.5), 1).otherwise(-1)
+    sums = rows.groupBy(*by, "draw").agg(F.abs(F.sum(F.col(d) * sign)).alias("_t"), F.count(F.lit(1)).alias("n"))
+    seen = sums.where("draw = 0").select(*by, F.col("_t").alias("_seen"), "n")
+    hits = sums.where("draw > 0").drop("n").join(seen, by).groupBy(*by, "n").agg(F.count_if(F.col("_t") >= F.col("_seen") - 1e-12).alias("_hits"))
+    return hits.select(*by, "n", F.when(F.col("n") >= 6, (F.col("_hits") + 1) / (draws + 1)).alias("p"))
