@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranges, rolling, runs
+from .storage import settled
 
 
 def neighbours(df: DataFrame, bad: str, column: str) -> DataFrame:
@@ -67,11 +68,13 @@ def replaced(df: DataFrame, bad: Column, by: Column, column: str, out: str) -> D
 
 def spike_fill(df: DataFrame, column: str, out: str, width: int = 7, k: float = 8.0) -> DataFrame:
     """Samples far from their rolling median are put on the line between their neighbours."""
-    df = rolling.mad_scale(df, column, "_global")
+    names = df.columns
+    df = rolling.sized(rolling.mad_scale(df, column, "_global"))
     df = rolling.rolling_median(df, column, width, "_base").withColumn("_residual", F.abs(F.col(column) - F.col("_base")))
     df = rolling.rolling_median(df, "_residual", width, "_scale")
     hit = F.col("_residual") > k * F.greatest(1.4826 * F.col("_scale") + 1e-9, 0.5 * F.col("_global"))
-    return clamped_fill(df.withColumn("_spike", hit), "_spike", column, out).drop("_center", "_global", "_base", "_residual", "_scale", "_spike")
+    marked = settled(df.select(*names, hit.alias("_spike")), "spikes")
+    return clamped_fill(marked, "_spike", column, out).drop("_spike")
 
 
 def zscore_fill(df: DataFrame, segments: DataFrame, bad: str, column: str, out: str, sr: float, context_s: float = 30.0, z: float = 4.0) -> DataFrame:

@@ -46,13 +46,13 @@ def freeze_runs(df: DataFrame, config: Detection, column: str = "v") -> DataFram
 
 def spike(df: DataFrame, config: Detection, column: str = "x", out: str = "spike") -> DataFrame:
     """Residual from the rolling median against its own rolling scale, with a floor from the whole trace."""
-    w = config.spike_window
-    df = rolling.mad_scale(df, column, "_global")
+    w, names = config.spike_window, df.columns
+    df = rolling.sized(rolling.mad_scale(df, column, "_global"))
     df = rolling.rolling_median(df, column, w, "_base")
     df = df.withColumn("_residual", F.abs(F.col(column) - F.col("_base")))
     df = rolling.rolling_median(df, "_residual", w, "_scale")
     threshold = config.spike_k * F.greatest(1.4826 * F.col("_scale"), F.greatest(F.col("_global"), F.lit(0.5)) * 0.5)
-    return df.withColumn(out, F.col("_residual") > threshold).drop("_center", "_global", "_base", "_residual", "_scale")
+    return df.withColumn(out, F.col("_residual") > threshold).select(*names, out)
 
 
 def step(df: DataFrame, config: Detection, column: str = "x", out: str = "step") -> DataFrame:
@@ -67,13 +67,14 @@ def step(df: DataFrame, config: Detection, column: str = "x", out: str = "step")
 
 def energy(df: DataFrame, config: Detection, column: str = "x", out: str = "energy") -> DataFrame:
     """Short RMS far above the trace's median level, or above the local long RMS; widened by one sample."""
-    short, long = config.samples(config.rms_short_s), config.samples(config.rms_long_s)
+    short, long, names = config.samples(config.rms_short_s), config.samples(config.rms_long_s), df.columns
+    df = rolling.sized(df)
     df = rolling.rolling_rms(rolling.rolling_rms(df, column, short, "_short"), column, long, "_long")
-    df = rolling.per_trace(df, _median=rolling.median("_short"))
+    df = rolling.per_trace(settled(df, "rms"), _median=rolling.median("_short"))
     floor = F.col("_median") * 0.5 + 1e-9
     above = F.when(F.col("_median") < config.low_rms, config.rms_ratio * 2.0 * config.low_gain).otherwise(config.rms_ratio * 2.0)
     hit = (F.col("_short") / floor > above) | (F.col("_short") / F.greatest(F.col("_long"), floor * 2.0) > config.rms_ratio)
-    return rolling.dilated(df.withColumn("_hit", hit), "_hit", out).drop("_short", "_long", "_median", "_hit")
+    return rolling.dilated(df.withColumn("_hit", hit), "_hit", out).select(*names, out)
 
 
 def all_masks(df: DataFrame, config: Detection, column: str = "v") -> DataFrame:

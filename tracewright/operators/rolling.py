@@ -17,6 +17,11 @@ def lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("trace_id").agg((F.max("idx") + 1).alias("n"))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df with n, so that windows with filled-in edges needn't count again."""
+    return df if "n" in df.columns else df.join(lengths(df), "trace_id")
+
+
 def _images(edges: str | None, before: int, after: int) -> Column:
     """Where a row stands, with the places outside the trace that it fills in."""
     i, n = F.col("idx"), F.col("_n")
@@ -30,24 +35,41 @@ def _images(edges: str | None, before: int, after: int) -> Column:
     return F.concat(F.array(i), *(F.coalesce(x, none) for x in (first, last) if x is not None))
 
 
+def _spread_out(df: DataFrame, before: int, after: int, edges: str | None, chunk: int) -> DataFrame:
+    """Rows with _at, their place or one outside the trace that they fill in, and _chunk, each chunk that has a window over them."""
+    placed = sized(df).withColumn("_n", F.col("n")).withColumn("_at", F.explode(_images(edges, before, after))) if edges else df.withColumn("_at", F.col("idx"))
+    low, high = F.floor((F.col("_at") - after) / chunk), F.floor((F.col("_at") + before) / chunk)
+    return placed.withColumn("_chunk", F.explode(F.sequence(low, high)))
+
+
+def _own(chunk: int) -> Column:
+    return (F.col("_at") == F.col("idx")) & (F.floor(F.col("idx") / chunk) == F.col("_chunk"))
+
+
 def rolled(df: DataFrame, new: dict[str, Column], before: int, after: int, edges: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """df with aggregates over the rows from `before` back to `after` on.
 
     new: aggregates by name, as over(...) takes them. edges: 'reflect' or 'edge' fills in rows outside the trace;
     None lets windows end with the trace. A column n, if there is one, is the trace's length.
     """
-    names = df.columns
-    if edges:
-        sized = df.withColumn("_n", F.col("n")) if "n" in names else df.join(lengths(df).withColumnRenamed("n", "_n"), "trace_id")
-        rows = sized.withColumn("_at", F.explode(_images(edges, before, after)))
-    else:
-        rows = df.withColumn("_at", F.col("idx"))
-    low, high = F.floor((F.col("_at") - after) / chunk), F.floor((F.col("_at") + before) / chunk)
-    rows = rows.withColumn("_chunk", F.explode(F.sequence(low, high)))
+    rows = _spread_out(df, before, after, edges, chunk)
     frame = Window.partitionBy("trace_id", "_chunk").orderBy("_at").rowsBetween(-before, after)
     rows = rows.select("*", *(a.over(frame).alias(n) for n, a in new.items()))
-    own = (F.col("_at") == F.col("idx")) & (F.floor(F.col("idx") / chunk) == F.col("_chunk"))
-    return rows.where(own).select(*(n for n in names if n not in new), *new)
+    return rows.where(_own(chunk)).select(*(n for n in df.columns if n not in new), *new)
+
+
+def rolling_sum(df: DataFrame, column: str, before: int, after: int, out: str, edges: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Sum of the rows from `before` back to `after` on; wide windows are differences of running sums within the chunk."""
+    if before + after < 48:
+        return rolled(df, {out: F.sum(column)}, before, after, edges, chunk)
+    rows = _spread_out(df, before, after, edges, chunk)
+    part = Window.partitionBy("trace_id", "_chunk")
+    order = part.orderBy("_at")
+    rows = rows.withColumn("_run", F.sum(F.coalesce(F.col(column), F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = F.sum(F.coalesce(F.col(column), F.lit(0.0))).over(part)
+    upto, gone = F.coalesce(F.lead("_run", after).over(order), total) if after else F.col("_run"), F.coalesce(F.lag("_run", before + 1).over(order), F.lit(0.0))
+    rows = rows.withColumn(out, upto - gone)
+    return rows.where(_own(chunk)).select(*(n for n in df.columns if n != out), out)
 
 
 def median(x: Column | str) -> Column:
@@ -55,13 +77,16 @@ def median(x: Column | str) -> Column:
 
 
 def rolling_median(df: DataFrame, column: str, width: int, out: str, edges: str | None = "reflect") -> DataFrame:
-    """Median over an odd width around each sample."""
-    return rolled(df, {out: median(column)}, width // 2, width // 2, edges)
+    """Median over an odd width around each sample; nulls don't count. Sorting a short list is much cheaper than a percentile per frame."""
+    df = rolled(df, {"_near": F.collect_list(column)}, width // 2, width // 2, edges)
+    near, n = F.sort_array("_near"), F.size("_near")
+    middle = (F.get(near, F.floor((n - 1) / 2).cast("int")) + F.get(near, F.floor(n / 2).cast("int"))) / 2
+    return df.withColumn(out, middle).drop("_near")
 
 
 def rolling_mean(df: DataFrame, column: str, width: int, out: str, edges: str | None = "reflect") -> DataFrame:
-    """Mean over `width` samples; of an even width one more lies before than after."""
-    return rolled(df, {out: F.avg(column)}, width // 2, (width - 1) // 2, edges)
+    """Mean over `width` samples; of an even width one more lies before than after. Values aren't null."""
+    return rolling_sum(df, column, width // 2, (width - 1) // 2, out, edges).withColumn(out, F.col(out) / width)
 
 
 def rolling_rms(df: DataFrame, column: str, width: int, out: str) -> DataFrame:
@@ -71,7 +96,7 @@ def rolling_rms(df: DataFrame, column: str, width: int, out: str) -> DataFrame:
 
 def boxcar(df: DataFrame, column: str, width: int, out: str) -> DataFrame:
     """Moving average with zeros outside the trace."""
-    return rolled(df, {out: F.sum(column)}, width // 2, (width - 1) // 2).withColumn(out, F.col(out) / width)
+    return rolling_sum(df, column, width // 2, (width - 1) // 2, out).withColumn(out, F.col(out) / width)
 
 
 def rolling_kurtosis(df: DataFrame, column: str, half: int, out: str) -> DataFrame:

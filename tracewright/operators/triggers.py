@@ -18,9 +18,9 @@ def ratio(df: DataFrame, column: str, out: str, short: int, long: int) -> DataFr
 def classic_ratio(df: DataFrame, column: str, out: str, short: int, long: int) -> DataFrame:
     """Trailing mean of squares over a longer one; 0 until the longer one is full."""
     df = df.withColumn("_square", F.col(column) * F.col(column))
-    df = rolling.rolled(df, {"_sta": F.avg("_square")}, short - 1, 0)
-    df = rolling.rolled(df, {"_lta": F.avg("_square")}, long - 1, 0)
-    return df.withColumn(out, F.when(F.col("idx") < long - 1, 0.0).otherwise(F.col("_sta") / F.greatest("_lta", F.lit(1e-12)))).drop("_square", "_sta", "_lta")
+    df = rolling.rolling_sum(df, "_square", short - 1, 0, "_sta")
+    df = rolling.rolling_sum(df, "_square", long - 1, 0, "_lta")
+    return df.withColumn(out, F.when(F.col("idx") < long - 1, 0.0).otherwise(F.col("_sta") / short / F.greatest(F.col("_lta") / long, F.lit(1e-12)))).drop("_square", "_sta", "_lta")
 
 
 def hysteresis(df: DataFrame, column: str, on: float, off: float) -> DataFrame:

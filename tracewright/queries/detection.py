@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..config import Detection, Repair
 from ..operators import masks, ranges, rolling, runs, segments
+from ..operators.storage import settled
 from .registry import query
 from .views import FAULTS, MISS_RUNS, MISSING, RUNS, SR, TRC, X, r, reflected, rolling_sql, table, trc  # noqa: F401
 
 CONFIG, REPAIR = Detection(), Repair()
 
 
+def without_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(masks.without_dc(trc(spark, sf_dir)).select("trace_id", "idx", "x"), "x")
+
+
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(trc(spark, sf_dir).withColumn("m", masks.missing_counts(F.col("v"))), "m")
 
@@ -82,7 +87,7 @@ SPIKE = (
 
 @query(f"WITH {SPIKE} SELECT trace_id, idx FROM spike")
 def spike_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.spike(masks.without_dc(trc(spark, sf_dir)), CONFIG).where("spike").select("trace_id", "idx")
+    return masks.spike(without_dc(spark, sf_dir), CONFIG).where("spike").select("trace_id", "idx")
 
 
 STEP = (
@@ -94,7 +99,7 @@ STEP = (
 
 @query(f"WITH {STEP.format(k='4.5')} SELECT trace_id, idx FROM step")
 def step_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.step(masks.without_dc(trc(spark, sf_dir)), Detection(step_k=4.5)).where("step").select("trace_id", "idx")
+    return masks.step(without_dc(spark, sf_dir), Detection(step_k=4.5)).where("step").select("trace_id", "idx")
 
 
 ENERGY = (
@@ -107,7 +112,7 @@ ENERGY = (
 
 @query(f"WITH {ENERGY.format(r='1.37')} SELECT trace_id, idx FROM energy")
 def energy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.energy(masks.without_dc(trc(spark, sf_dir)), Detection(rms_ratio=1.37)).where("energy").select("trace_id", "idx")
+    return masks.energy(without_dc(spark, sf_dir), Detection(rms_ratio=1.37)).where("energy").select("trace_id", "idx")
 
 
 @query(f"WITH {TRC}, n AS (SELECT trace_id, max(idx) + 1 AS n FROM trc GROUP BY trace_id), p AS (SELECT trace_id, idx, v FROM trc UNION ALL SELECT trace_id, -k, v FROM trc, range(1, 10) t(k) WHERE idx = 0 UNION ALL SELECT trc.trace_id, n - 1 + k, v FROM trc JOIN n USING (trace_id), range(1, 10) t(k) WHERE idx = n - 1) SELECT trace_id, idx, m FROM (SELECT p.trace_id, idx, n, median(v) OVER (PARTITION BY p.trace_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING) AS m FROM p JOIN n USING (trace_id)) WHERE idx BETWEEN 0 AND n - 1")
@@ -117,8 +122,7 @@ def rolling_median_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {X}, sq AS (SELECT trace_id, idx, n, x * x AS q FROM x), w AS ({rolling_sql('sq', 'q', 33, 32, 'avg({})', 'a')}) SELECT trace_id, idx, round(sqrt(a), 6) AS rms FROM w")
 def rolling_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = masks.without_dc(trc(spark, sf_dir)).select("trace_id", "idx", "x")
-    return rolling.rolling_rms(df, "x", 66, "rms").select("trace_id", "idx", r("rms").alias("rms"))
+    return rolling.rolling_rms(without_dc(spark, sf_dir), "x", 66, "rms").select("trace_id", "idx", r("rms").alias("rms"))
 
 
 @query(f"WITH {TRC} SELECT trace_id, idx, round(CASE WHEN c < 4 OR d < 1e-12 THEN 0 ELSE k END, 6) AS kurtosis FROM (SELECT trace_id, idx, kurtosis_pop(v) OVER w AS k, count(*) OVER w AS c, stddev_pop(v) OVER w AS d FROM trc WINDOW w AS (PARTITION BY trace_id ORDER BY idx ROWS BETWEEN 16 PRECEDING AND 15 FOLLOWING))")

@@ -20,7 +20,7 @@ def parsed(df: DataFrame, name: str = "name") -> DataFrame:
     count, is_file = F.size("_p"), F.col(name).rlike(r"(?i)\.mseed$")
     day_file, fragment = is_file & (count == 3), is_file & (count >= 5)
     start = F.substring(F.regexp_replace(F.element_at(F.split(F.col("_p")[4], "-"), 1), "_", ""), 1, 8)
-    df = df.withColumn("_p", parts)
+    df = df.withColumn("_p", F.explode(F.array(parts)))  # split once: a plain column would be put in each place that uses it
     day = F.when(day_file, F.col("_p")[2]).when(fragment, start)
     ok = day.rlike("^[0-9]{8}$") & (F.col("_p")[0] != "") & (F.col("_p")[1] != "")
     pick = lambda one, other: F.when(ok & day_file, one).when(ok & fragment, other)
