@@ -220,7 +220,7 @@ def diagnosed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.diagnosed(files(spark, sf_dir), ["S12", "S14"], 19940101, 19961231)
 
 
-@query(f"WITH {FILES} SELECT substr(d, 1, 4) || '-' || substr(d, 5, 2) AS ym, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, round(count(*) * 0.9, 6) AS est_sec FROM files WHERE NOT broken GROUP BY 1")
+@query(f"WITH {FILES} SELECT substr(d, 1, 4) || '-' || substr(d, 5, 2) AS ym, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, round(CAST(count(*) * 0.9 AS DOUBLE), 6) AS est_sec FROM files WHERE NOT broken GROUP BY 1")
 def quick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.quick_scan(files(spark, sf_dir)).withColumn("est_sec", r("est_sec"))
 
