@@ -230,3 +230,22 @@ def test_query_matches_its_sql(spark, duck, name):
     columns = [d[0] for d in sql.description]
     assert sorted(columns) == sorted(df.columns)
     assert canonical(tuple(r) for r in df.select(*columns).collect()) == canonical(sql.fetchall())
+
+
+def test_smoothing_and_tapers():
+    t = np.arange(101) / 10
+    y = 1 + t - 0.5 * t**2 + 0.1 * t**3
+    assert kernels.savitzky_golay(y, 11, 3) == pytest.approx(y, abs=1e-8) and kernels.savitzky_golay(y[:3], 11, 3) == pytest.approx(y[:3])
+    v = kernels.slepian(128, 4.0, 7)
+    assert v @ v.T == pytest.approx(np.eye(7), abs=1e-9)
+    x = np.random.default_rng(7).normal(size=512)
+    assert kernels.multitaper(x, 2.0).sum() * 2 / 512 == pytest.approx(x.var(), rel=0.1)
+    ar = kernels.autoregressive_noise(np.convolve(x, np.ones(5) / 5, "same"), 400, 3)
+    assert len(ar) == 400 and np.corrcoef(ar[1:], ar[:-1])[0, 1] > 0.5 and (ar == kernels.autoregressive_noise(np.convolve(x, np.ones(5) / 5, "same"), 400, 3)).all()
+
+
+def test_settings():
+    from tracewright.config import settings
+
+    s = settings({"zscore": "100", "linear_max": "3.7", "quantize": "no", "spike_k": "x", "unknown": 1, "missing_share": float("nan")})
+    assert (s.zscore, s.linear_max, s.quantize, s.spike_k, s.missing_share) == (20.0, 3, False, 8.0, 0.30)

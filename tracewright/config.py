@@ -67,3 +67,26 @@ class Repair:
 
     def with_options(self, **options) -> Repair:
         return replace(self, **options)
+
+
+#: Settings that users may give: default, least, greatest.
+SETTINGS = {
+    "reference_gap_s": (1.0, 0.0, 60.0), "reference_min_s": (120.0, 10.0, 3600.0), "reference_max_s": (600.0, 10.0, 7200.0), "zscore": (4.0, 1.0, 20.0),
+    "missing_share": (0.30, 0.0, 1.0), "core_missing_share": (0.50, 0.0, 1.0), "linear_max": (2, 0, 100), "zscore_max": (20, 0, 1000), "spike_k": (8.0, 1.0, 50.0), "quantize": (True, None, None),
+}
+
+
+def settings(given: dict) -> Repair:
+    """Repair options from a mapping: cast to the default's type and clipped; what can't be read keeps its default, and other keys are ignored."""
+    out = {}
+    for name, (default, least, greatest) in SETTINGS.items():
+        value = given.get(name, default)
+        if isinstance(default, bool):
+            out[name] = value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "yes", "on")
+            continue
+        try:
+            number = float(value)
+            out[name] = type(default)(min(max(number, least), greatest)) if number == number else default
+        except (TypeError, ValueError):
+            out[name] = default
+    return Repair().with_options(**out)

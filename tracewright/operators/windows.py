@@ -71,3 +71,30 @@ def oscillation_clusters(segments: DataFrame, samples: DataFrame, gap: int, leas
     own = inside.groupBy("trace_id", "s", "e").agg(F.sum("_d").alias("path"), F.max("_d").alias("most"), p(column).alias("_m"))
     own = ranges.samples_in(samples.select("trace_id", "idx", column), own).groupBy("trace_id", "s", "e", "path", "most").agg((1.4826 * p(F.abs(F.col(column) - F.col("_m")))).alias("mad"))
     return own.withColumn("swings", F.col("path") > 12 * F.col("most"))
+
+
+def adaptive_bounds(segments: DataFrame, samples: DataFrame, reach: int, column: str, k: float = 0.5) -> DataFrame:
+    """Segments with new_s and new_e: the nearest places outside where the samples are within k deviations of each side's own line; null if none is."""
+    out = segments
+    for side in ("left", "right"):
+        low, high = (F.col("s") - reach, F.col("s") - 1) if side == "left" else (F.col("e") + 1, F.col("e") + reach)
+        wide = segments.withColumns({"w0": F.greatest(F.lit(0), low).cast("long"), "w1": high.cast("long")}).where("w1 >= w0")
+        near = ranges.samples_in(samples.select("trace_id", "idx", column), wide, s="w0", e="w1").withColumn("t", F.col("idx") - F.col("s"))
+        keys = segments.columns
+        line = near.groupBy(*keys).agg(F.regr_slope(column, "t").alias("b"), F.regr_intercept(column, "t").alias("a"))
+        off = near.join(line, keys).withColumn("d", F.col(column) - F.col("a") - F.col("b") * F.col("t"))
+        spread = off.groupBy(*keys).agg(F.stddev_pop("d").alias("sd"))
+        ok = off.join(spread, keys).where(F.abs("d") <= k * F.col("sd"))
+        found = ok.groupBy(*keys).agg((F.max("idx") if side == "left" else F.min("idx")).alias("new_s" if side == "left" else "new_e"))
+        out = out.join(found, keys, "left")
+    return out
+
+
+def healthy_band(df: DataFrame, width: int, column: str) -> DataFrame:
+    """Differences of mean and spread between all pairs of a trace's full, separate windows, one row a pair.
+
+    Pairs are what the natural band is made of; they grow with the square of a trace's windows, so width bounds them.
+    """
+    w = df.groupBy("trace_id", F.floor(F.col("idx") / width).alias("k")).agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("d"), F.count(F.lit(1)).alias("n")).where(F.col("n") == width)
+    a, b = w.select("trace_id", F.col("k").alias("i"), F.col("m").alias("ma"), F.col("d").alias("da")), w.select("trace_id", F.col("k").alias("j"), F.col("m").alias("mb"), F.col("d").alias("db"))
+    return a.join(b, "trace_id").where("i < j").select("trace_id", "i", "j", F.abs(F.col("ma") - F.col("mb")).alias("d_mean"), F.abs(F.col("da") - F.col("db")).alias("d_std"))

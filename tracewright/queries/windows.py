@@ -151,3 +151,46 @@ def oscillation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = runs.runs(df.withColumn("up", F.col("x") > 0), "up")
     out = windows.oscillation_clusters(segs, df, 3, 20)
     return out.select("trace_id", "s", "e", *(r(c).alias(c) for c in ("path", "most", "mad")), "swings")
+
+
+@query(f"WITH {TRC} SELECT trace_id, min(idx) AS s, max(idx) AS e, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT trace_id, idx, v, idx - row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS g FROM trc WHERE NOT {MISSING}) GROUP BY trace_id, g")
+def gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces cut at their gaps, as they are to be written where gaps can't be: the pieces."""
+    df = settled(trc(spark, sf_dir).withColumn("good", ~masks.missing_counts(F.col("v"))), "flagged")
+    pieces = runs.runs(df, "good")
+    return ranges.samples_in(df.select("trace_id", "idx", "v"), pieces).groupBy("trace_id", "s", "e").agg(F.count(F.lit(1)).alias("n"), r(F.sum("v")).alias("total"))
+
+
+@query(f"WITH {MISS_RUNS}, p AS (SELECT miss.trace_id, s, e, idx, v, idx - s AS t, CASE WHEN idx < s THEN 1 ELSE 2 END AS side FROM miss JOIN trc ON trc.trace_id = miss.trace_id AND (idx BETWEEN s - 80 AND s - 1 OR idx BETWEEN e + 1 AND e + 80)), l AS (SELECT trace_id, s, side, regr_slope(v, t) AS b, regr_intercept(v, t) AS a FROM p GROUP BY ALL), d AS (SELECT p.*, v - a - b * t AS d FROM p JOIN l USING (trace_id, s, side)), q AS (SELECT trace_id, s, side, stddev_pop(d) AS sd FROM d GROUP BY ALL), o AS (SELECT d.trace_id, d.s, d.side, min(idx) AS lo, max(idx) AS hi FROM d JOIN q USING (trace_id, s, side) WHERE abs(d) <= 0.5 * sd GROUP BY ALL) SELECT miss.trace_id, miss.s, miss.e, a.hi AS new_s, b.lo AS new_e FROM miss LEFT JOIN o a ON a.trace_id = miss.trace_id AND a.s = miss.s AND a.side = 1 LEFT JOIN o b ON b.trace_id = miss.trace_id AND b.s = miss.s AND b.side = 2")
+def adaptive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = settled(trc(spark, sf_dir).select("trace_id", "idx", "v"), "raw")
+    segs = settled(runs.runs(df.withColumn("m", masks.missing_counts(F.col("v"))), "m"), "runs")
+    return windows.adaptive_bounds(segs, df, 80, "v")
+
+
+@query(f"WITH {TR}, w AS (SELECT trace_id, idx // 250 AS k, avg(v) AS m, stddev_pop(v) AS d FROM tr GROUP BY ALL HAVING count(*) = 250), p AS (SELECT a.trace_id, abs(a.m - b.m) AS dm, abs(a.d - b.d) AS dd FROM w a JOIN w b ON a.trace_id = b.trace_id AND a.k < b.k) SELECT trace_id, count(*) AS n_pairs, round(quantile_cont(dm, 0.5), 6) AS median_mean, round(quantile_cont(dm, 0.95), 6) AS p95_mean, round(quantile_cont(dd, 0.95), 6) AS p95_std FROM p GROUP BY trace_id")
+def healthy_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The natural band of differences between healthy windows."""
+    p = windows.healthy_band(settled(tr(spark, sf_dir).select("trace_id", "idx", "v"), "raw"), 250, "v")
+    q = lambda c, x: r(F.percentile(c, F.lit(x)))
+    return p.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_pairs"), q("d_mean", 0.5).alias("median_mean"), q("d_mean", 0.95).alias("p95_mean"), q("d_std", 0.95).alias("p95_std"))
+
+
+@query(f"WITH {TR}, sweep AS (SELECT k, CAST(round_even(120 * power(45.0, k / 19.0) * 0.05, 0) AS BIGINT) AS n FROM range(20) t(k)), w AS (SELECT trace_id, k, n, v, CASE WHEN idx BETWEEN 40 AND 40 + n - 1 THEN 0 ELSE v END AS x FROM tr, sweep) SELECT trace_id, k, n, round(sqrt(avg((x - v) * (x - v))), 6) AS rmse, count(*) FILTER (WHERE x <> v) AS changed FROM w GROUP BY trace_id, k, n")
+def length_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dropouts of 20 lengths on a logarithmic scale, and the error that each makes."""
+    n = lambda k: F.rint(120 * F.pow(F.lit(45.0), k / 19.0) * 0.05).cast("long")
+    lengths = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.struct(k.cast("long").alias("k"), n(k).alias("n")))
+    rows = tr(spark, sf_dir).select("trace_id", "idx", "v", F.explode(lengths).alias("l")).select("trace_id", "idx", "v", "l.k", "l.n")
+    x = F.when(F.col("idx").between(40, 39 + F.col("n")), 0.0).otherwise(F.col("v"))
+    d = x - F.col("v")
+    return rows.groupBy("trace_id", "k", "n").agg(r(F.sqrt(F.avg(d * d))).alias("rmse"), F.count_if(d != 0).alias("changed"))
+
+
+@query(f"WITH {CATALOG}, m AS (SELECT station, day, round((e - s + 1) / 6.625 / 60, 1) AS minutes, role, coalesce(CASE WHEN s % 4 = 0 THEN NULL ELSE method END, CASE WHEN role = 'event' THEN 'catalog_protect' WHEN role = 'gap' THEN 'keep' WHEN e - s + 1 <= 2 THEN 'linear' WHEN e - s + 1 <= 20 THEN 'zscore' ELSE 'core' END) AS method FROM ct) SELECT DISTINCT station, day, role AS kind, method, minutes FROM m")
+def displayed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog rows with a method where one is missing, one of each look."""
+    n = F.col("e") - F.col("s") + 1
+    inferred = F.when(F.col("role") == "event", "catalog_protect").when(F.col("role") == "gap", "keep").when(n <= 2, "linear").when(n <= 20, "zscore").otherwise("core")
+    c = catalog(spark, sf_dir).withColumn("method", F.coalesce(F.when(F.col("s") % 4 != 0, F.col("method")), inferred))
+    return c.select("station", "day", F.col("role").alias("kind"), "method", F.round(n / 6.625 / 60, 1).alias("minutes")).distinct()
