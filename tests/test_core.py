@@ -249,3 +249,36 @@ def test_settings():
 
     s = settings({"zscore": "100", "linear_max": "3.7", "quantize": "no", "spike_k": "x", "unknown": 1, "missing_share": float("nan")})
     assert (s.zscore, s.linear_max, s.quantize, s.spike_k, s.missing_share) == (20.0, 3, False, 8.0, 0.30)
+
+
+def test_local_outlier_factor(spark):
+    from tracewright.operators import outliers
+
+    x, k = np.random.default_rng(8).normal(size=60), 5
+    d = np.abs(np.subtract.outer(x, x))
+    near = [np.argsort(d[i], kind="stable")[1 : k + 1] for i in range(60)]
+    far = np.array([d[i][near[i][-1]] for i in range(60)])
+    density = np.array([1 / np.mean([max(far[j], d[i, j]) for j in near[i]]) for i in range(60)])
+    expected = [np.mean(density[near[i]]) / density[i] for i in range(60)]
+    got = [r.lof for r in outliers.local_outlier_factor(trace(spark, x), "v", k).orderBy("idx").collect()]
+    assert got == pytest.approx(expected)
+    assert outliers.local_outlier_factor(trace(spark, [1.0]), "v", k).first().lof == 1
+
+
+def test_isolation(spark):
+    from tracewright.operators import outliers
+
+    x = np.random.default_rng(9).normal(size=400)
+    x[123] = 40
+    out = outliers.isolated(trace(spark, x), "v", 0.005)
+    assert [r.idx for r in out.where("isolated").collect()][0:1] and 123 in {r.idx for r in out.where("isolated").collect()} and out.count() == 400
+
+
+def test_constant_and_missing_sides(spark):
+    flat = spark.createDataFrame([("t", 0, 5.0, 5.0), ("t", 1, 5.0, 6.0)], "trace_id string, idx long, a double, b double")
+    r = flat.agg(*(c.alias(n) for n, c in metrics.errors("a", "b").items())).first()
+    assert r.energy_ratio is None and r.std_ratio is None and r.rmse == pytest.approx(math.sqrt(0.5))
+    a, b = spark.createDataFrame([(1, 0.0), (2, 1.0)], "k int, v double"), spark.createDataFrame([(1, 2.0)], "k int, v double")
+    assert {x.k: x.wasserstein for x in metrics.wasserstein(a, b, ["k"]).collect()} == {1: 2.0, 2: None}
+    base = spark.createDataFrame([(1, "n", 0.0), (1, "a", 2.0)], "u int, m string, v double")
+    assert {x.change_pct for x in stats.against_baseline(base, ["u"], "m", "v", "n").collect()} == {None}

@@ -38,14 +38,14 @@ def normalised(psd: Column) -> Column:
 def entropy(psd: Column) -> Column:
     """Shannon entropy of the shares of power, over its greatest value."""
     power = total(psd)
-    share = F.transform(psd, lambda v: v / power)
-    return -total(F.transform(share, lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0))) / F.log(F.size(psd))
+    share = F.transform(psd, lambda v: F.try_divide(v, power))
+    return -total(F.transform(share, lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0))) / F.log(F.greatest(F.size(psd), F.lit(2)))
 
 
 def log_distance(a: Column, b: Column, floor: float = 1e-12) -> Column:
     """Root mean square difference in decibels."""
     d = F.zip_with(a, b, lambda x, y: 10 * F.log10(x + floor) - 10 * F.log10(y + floor))
-    return F.sqrt(total(F.transform(d, lambda v: v * v)) / F.size(d))
+    return F.sqrt(F.try_divide(total(F.transform(d, lambda v: v * v)), F.size(d)))
 
 
 def transform_at(x: Column, k: Column, n: int, wave) -> Column:

@@ -9,22 +9,22 @@ from . import ranges, rolling, runs
 
 
 def errors(truth: str, repaired: str) -> dict[str, Column]:
-    """Aggregates: rmse, mae, snr_db, energy_ratio, std_ratio, valid."""
+    """Aggregates: rmse, mae, snr_db, energy_ratio, std_ratio, valid; ratios to a constant truth are null."""
     t, r = F.col(truth), F.col(repaired)
     d = r - t
     return {
-        "rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d)), "snr_db": 10 * F.log10(F.sum(t * t) / F.sum(d * d + 1e-12)),
-        "energy_ratio": F.var_pop(r) / F.var_pop(t), "std_ratio": F.stddev_pop(r) / F.stddev_pop(t), "valid": F.bool_and(r.isNotNull() & ~F.isnan(r)),
+        "rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d)), "snr_db": 10 * F.log10(F.try_divide(F.sum(t * t), F.sum(d * d + 1e-12))),
+        "energy_ratio": F.try_divide(F.var_pop(r), F.var_pop(t)), "std_ratio": F.try_divide(F.stddev_pop(r), F.stddev_pop(t)), "valid": F.bool_and(r.isNotNull() & ~F.isnan(r)),
     }
 
 
 def wasserstein(a: DataFrame, b: DataFrame, keys: list[str], value: str = "v", step: int = 4096) -> DataFrame:
-    """keys and the 1-D Wasserstein distance between the values of a and b: the area between their distribution functions."""
+    """keys and the 1-D Wasserstein distance between the values of a and b: the area between their distribution functions; null where a side has none."""
     sides = a.select(*keys, F.col(value).alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(b.select(*keys, F.col(value).alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))
     points = sides.groupBy(*keys, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))  # one row per value
     order = Window.partitionBy(*keys).orderBy("v")
     upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    rows = points.withColumns({"f": F.sum("na").over(upto) / F.sum("na").over(whole), "g": F.sum("nb").over(upto) / F.sum("nb").over(whole), "dx": F.lead("v").over(order) - F.col("v")})
+    rows = points.withColumns({"f": F.try_divide(F.sum("na").over(upto), F.sum("na").over(whole)), "g": F.try_divide(F.sum("nb").over(upto), F.sum("nb").over(whole)), "dx": F.lead("v").over(order) - F.col("v")})
     return rows.groupBy(*keys).agg(F.sum(F.abs(F.col("f") - F.col("g")) * F.coalesce("dx", F.lit(0.0))).alias("wasserstein"))
 
 

@@ -23,7 +23,7 @@ def dispersion(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
 def trimmed_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean without the least and the greatest value, for four values or more: from sums, so no group is sorted."""
     s, n = F.sum(value), F.count(value)
-    return df.groupBy(*by).agg(F.when(n >= 4, (s - F.min(value) - F.max(value)) / (n - 2)).otherwise(s / n).alias("trimmed"), n.alias("n"))
+    return df.groupBy(*by).agg(F.when(n >= 4, (s - F.min(value) - F.max(value)) / (n - 2)).otherwise(F.try_divide(s, n)).alias("trimmed"), n.alias("n"))
 
 
 def paired(df: DataFrame, unit: list[str], method: str, value: str, one: str, other: str) -> DataFrame:
@@ -58,7 +58,7 @@ def holm(df: DataFrame, by: list[str], p: str = "p", order: list[str] = ()) -> D
 def against_baseline(df: DataFrame, by: list[str], method: str, value: str, base: str) -> DataFrame:
     """Change of each method's value against the baseline's, in percent."""
     b = df.where(F.col(method) == base).select(*by, F.col(value).alias("_base"))
-    return df.join(b, by).withColumn("change_pct", 100 * (F.col(value) - F.col("_base")) / F.col("_base")).drop("_base")
+    return df.join(b, by).withColumn("change_pct", F.try_divide(100 * (F.col(value) - F.col("_base")), F.col("_base"))).drop("_base")
 
 
 def uniform(*parts: Column) -> Column:
@@ -79,7 +79,7 @@ def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, draws: i
     u = uniform(F.lit(seed), F.col("draw"), F.col(unit))
     weight = sum((F.when(u >= b, 1).otherwise(0) for b in POISSON), F.lit(0))
     rows = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
-    means = rows.groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("_m"))
+    means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("_m"))
     tail = (1 - level) / 2
     return means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
 

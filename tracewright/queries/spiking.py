@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spikes
+from ..operators import outliers, spikes
 from ..operators.storage import settled
 from .registry import query
 from .views import SR, TRC, r, trc
@@ -39,3 +39,15 @@ def protected_spike_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = settled(trc(spark, sf_dir).select("trace_id", "idx", "v"), "raw")
     out = spikes.replaced(df, "v", "w", SR)
     return out.where(F.col("v") != F.col("w")).select("trace_id", "idx", r("w").alias("w"))
+
+
+@query()
+def local_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in thin places of their chunk's values."""
+    df = trc(spark, sf_dir).select("trace_id", "idx", (F.col("v") + F.col("idx") * 1e-7).alias("v"))
+    return outliers.local_outlier_factor(df, "v").where("lof > 1.5").select("trace_id", "idx", r("lof").alias("lof"))
+
+
+@query()
+def isolated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.isolated(trc(spark, sf_dir), "v").where("isolated").select("trace_id", "idx", r("score").alias("score"))
