@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Temporary folders by application, for sessions that name no shared one.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="tracewright-")
     return base.rstrip("/")
 
 
