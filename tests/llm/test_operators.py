@@ -285,6 +285,24 @@ def test_restoring_disguised_words():
     assert fix("mail x@y.org, 1999 and http://a.b/c1d") == "mail x@y.org, 1999 and http://a.b/c1d"
 
 
+def test_suspecting_all_that_is_restored(monkeypatch):
+    words = Counter({"idiot": 30, "loser": 30, "stupid": 30, "hate": 30, "dumbass": 20, "kill": 30, "foo": 20, "scum": 20, "größe": 20, "good": 20})
+    fix = toxicity.Restorer(toxicity.CharacterModel(words))
+    hidden = ["hat3", "dumb455", "f001", "scum8", "\"1diot\"", "x,1diot", "\t1diot", "k i l l,", "k-i-l-l!", "(k.i.l.l)", "g r ö ß e", "SoOo", "lOoOser", "größßße", "ÖÖöl", "abc(!", "st*pid", "\u212akKill", "!diot", "idi0t!!", "ki||", "los(1"]
+    rng = random.Random(3)
+    hidden += ["".join(rng.choice("abeioöÖOK013459@$!|+(*.-_ ,'\"") for _ in range(rng.randint(3, 12))) for _ in range(4000)]
+    changed = [t for t in hidden if fix(t.lower()) != t.lower()]
+    assert len(changed) > 300 and {"hat3", "\"1diot\"", "k i l l,", "k-i-l-l!", "SoOo"} <= {*changed}
+    plain = b"nothing hidden here, is there? (no!)"
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(toxicity, "SUSPECT_BYTES", most)
+        for t in changed[:: 1 if most == 50 else 10]:
+            for batch in ([t], [t, "a"], ["a", t], ["", t, ""], ["plain words", t, "", "plain words"]):
+                assert toxicity._suspects([x.encode() for x in batch])[batch.index(t)], (t, batch)
+        assert toxicity._suspects([plain, b"hat3", plain, b"", b"3", b"a", b"f001"]).tolist() == [False, True, False, False, False, False, True]
+    assert toxicity.restored([t.encode() for t in changed], fix) == [fix(t.lower()).encode() for t in changed]
+
+
 def test_lm_scoring(spark, docs, none, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_BYTES", 2000)
     monkeypatch.setattr(lm_scoring, "BUCKET_GRAMS", 200)
