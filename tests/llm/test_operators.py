@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,6 +304,22 @@ def test_suspecting_all_that_is_restored(monkeypatch):
     assert toxicity.restored([t.encode() for t in changed], fix) == [fix(t.lower()).encode() for t in changed]
 
 
+def test_registered_lm_order(spark):
+    """The word after a pair seen only in one order tells a trigram model, and no bigram model, the texts apart."""
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["a x b", "c x d"] * 20)] + [(100, "a x b", "en", "s", 1), (101, "a x d", "en", "s", 1)]
+    out = {r.doc_id: r.score for r in lm_scoring.scored(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") >= 100).collect()}
+    assert lm_scoring.ORDER >= 3 and out[100] > out[101] + 0.3
+
+
+def test_lm_counts_as_numbered():
+    texts = ["a b a b c", "", "b a b", "a b c a"]
+    row = {"ids": np.arange(4).tobytes(), "flags": np.array([0, 0, 1, 2], np.uint8).tobytes(), "sizes": np.array([len(t) for t in texts]).tobytes(), "texts": pa.compress("".join(texts).encode(), codec="zstd", asbytes=True), "n_bytes": sum(map(len, texts))}
+    for order in (1, 2, 3):
+        part = lm_scoring.Part(row, order)
+        for got, wanted in zip(part.counted(), part.distinct()[:2], strict=True):
+            assert got.dtype == wanted.dtype and got.tolist() == wanted.tolist()
+
+
 def test_lm_scoring(spark, docs, none, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_BYTES", 2000)
     monkeypatch.setattr(lm_scoring, "BUCKET_GRAMS", 200)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, written
 from .words import WordHasher, mixed
 
-ORDER, STRENGTH, SPREAD = 2, 3.0, 0.85
+ORDER, STRENGTH, SPREAD = 3, 3.0, 0.85
 PART_BYTES = 8_000_000
 #: N-grams that a bucket gets, about.
 BUCKET_GRAMS = 2_000_000
@@ -112,6 +112,18 @@ class Part:
             out.append((at, (mixed(running[at] + np.uint64(k)) & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(k)))
         return out
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """What distinct() gives first, without numbering the places, in half its memory."""
+        grams, learned = self.grams(), ~self.held
+        taught, every = np.concatenate([g[learned[self.owner[at]]] for at, g in grams]), np.concatenate([g for _, g in grams])
+        del grams
+        found = np.unique(every)
+        del every
+        seen, n = np.unique(taught, return_counts=True)
+        counts = np.zeros(len(found), np.uint32)
+        counts[np.searchsorted(found, seen)] = n
+        return found, counts
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Sorted distinct grams, their counts in training texts, and for each order the places and the grams' numbers."""
         grams = self.grams()
@@ -126,7 +138,7 @@ def _send(order: int, bits: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found, counts, _ = Part(row, order).distinct()
+                found, counts = Part(row, order).counted()
                 bucket = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 rows = []
@@ -198,7 +210,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
     parts = written(arrow_rows(rows).mapInArrow(_parts, _PART), "lm-parts")
     size = parts.agg(F.sum("n_bytes")).first()[0] or 0
-    # two grams a word for order 2, a word taking about six bytes: no part of the result depends on this guess
+    # as many grams a word as the order says, a word taking about six bytes: no part of the result depends on this guess
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 * order / BUCKET_GRAMS)))))
     sent = parts.mapInArrow(_send(order, bits), _SENT)
     totals = written(sent.groupBy("bucket").applyInArrow(_sum, _TOTAL), "lm-totals")
