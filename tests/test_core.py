@@ -274,6 +274,24 @@ def test_isolation(spark):
     assert [r.idx for r in out.where("isolated").collect()][0:1] and 123 in {r.idx for r in out.where("isolated").collect()} and out.count() == 400
 
 
+def test_outliers_over_whole_traces(spark):
+    from tracewright.operators import outliers
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=300), np.full(200, 0.5), rng.normal(5, 0.1, size=7)]) + np.arange(507) * 1e-7
+    rows = trace(spark, x)
+    ranks = [r["rank"] for r in outliers.value_ranks(rows, "v", "rank", buckets=8, chunk=50).orderBy("idx").collect()]
+    assert ranks == np.argsort(np.argsort(x, kind="stable")).tolist()
+    flat = outliers.value_ranks(trace(spark, [1.0, 2.0, 1.0, 1.0, 0.0] * 40), "v", "rank", buckets=8, chunk=30).orderBy("v", "idx").collect()
+    assert [r["rank"] for r in flat] == list(range(200))
+    whole, cut = ([r.lof for r in outliers.local_outlier_factor(rows, "v", 5, chunk).orderBy("idx").collect()] for chunk in (3000, 40))
+    assert len(cut) == 507 and cut == pytest.approx(whole, rel=1e-9)
+    y = rng.normal(size=400)
+    y[:4] = [40, -45, 50, -55]
+    found = outliers.isolated(trace(spark, y), "v", 0.01, chunk=100).where("isolated").collect()
+    assert {0, 1, 2, 3} == {r.idx for r in found}
+
+
 def test_constant_and_missing_sides(spark):
     flat = spark.createDataFrame([("t", 0, 5.0, 5.0), ("t", 1, 5.0, 6.0)], "trace_id string, idx long, a double, b double")
     r = flat.agg(*(c.alias(n) for n, c in metrics.errors("a", "b").items())).first()

@@ -1,4 +1,4 @@
-"""Outliers by local density and by isolation, in chunks of a trace."""
+"""Outliers by local density and by isolation, judged against the whole trace."""
 
 from __future__ import annotations
 
@@ -8,16 +8,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rolling import CHUNK
+from .storage import settled
+
+
+def value_ranks(df: DataFrame, column: str, out: str, buckets: int = 256, chunk: int = CHUNK) -> DataFrame:
+    """Adds each row's place, from 0, among its trace's values in order of (value, idx); nulls come first.
+
+    Ranges of values are windows of their own, and a value so frequent that it bounds a range has one per chunk of idx; totals of earlier ones are added.
+    """
+    v = F.col(column)
+    bounds = df.groupBy("trace_id").agg(F.array_distinct(F.coalesce(F.percentile_approx(v, F.array(*(F.lit(i / buckets) for i in range(1, buckets)))), F.array().cast("array<double>"))).alias("_bounds"))
+    rows = df.join(F.broadcast(bounds), "trace_id")
+    held = F.col("_bounds")
+    rows = rows.withColumn("_range", F.when(v.isNull(), -1).otherwise(F.size(F.filter(held, lambda b: b < v))))
+    often = v.isNull() | F.array_contains(held, v)
+    rows = rows.withColumns({"_often": F.coalesce(often, F.lit(True)), "_part": F.when(F.coalesce(often, F.lit(True)), F.floor(F.col("idx") / chunk)).otherwise(0)}).drop("_bounds")
+    rows = settled(rows, "ranges")
+    keys = ["_range", "_often", "_part"]
+    earlier = Window.partitionBy("trace_id").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("trace_id", *keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy("trace_id", *keys).orderBy(column, "idx")
+    return rows.join(before, ["trace_id", *keys]).withColumn(out, F.col("_before") + F.row_number().over(within) - 1).drop("_before", *keys)
 
 
 def local_outlier_factor(df: DataFrame, column: str, k: int = 20, chunk: int = 3000, out: str = "lof") -> DataFrame:
-    """The local outlier factor of each value among those of its chunk.
+    """The local outlier factor of each value among those of its trace.
 
     On one axis the k nearest of a value lie within k places of it in sorted order, so three windows over sorted values
     suffice: distance to the k-th, density, and the neighbours' density over one's own. Equal densities give 1.
+    Windows are partitioned by trace and chunk of sorted values; rows within 3k places of a chunk, k a window, go there too.
     """
-    rows = df.withColumn("_chunk", F.floor(F.col("idx") / chunk))
-    near = Window.partitionBy("trace_id", "_chunk").orderBy(column, "idx").rowsBetween(-k, k)
+    rows = value_ranks(df, column, "_rank")
+    reach = lambda by: F.greatest(F.lit(0), F.floor((F.col("_rank") + by) / chunk))
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(reach(-3 * k), reach(3 * k))))
+    near = Window.partitionBy("trace_id", "_chunk").orderBy("_rank").rowsBetween(-k, k)
 
     def nearest(value: str | None):
         return F.collect_list(F.struct(F.col("idx").alias("i"), F.col(column).alias("v"), (F.lit(0.0) if value is None else F.col(value)).alias("x"))).over(near)
@@ -33,7 +57,7 @@ def local_outlier_factor(df: DataFrame, column: str, k: int = 20, chunk: int = 3
     rows = rows.withColumn("_density", 1 / F.greatest(mean(F.col("_near"), lambda n: F.greatest(n["x"], n["d"])), F.lit(1e-10)))
     rows = rows.withColumn("_near", nearest("_density")).withColumn("_near", closest(F.col("_near")))
     lof = F.when(F.size("_near") == 0, 1.0).otherwise(mean(F.col("_near"), lambda n: n["x"]) / F.col("_density"))
-    return rows.withColumn(out, lof).drop("_chunk", "_near", "_far", "_density")
+    return rows.withColumn(out, lof).where(F.col("_chunk") == F.floor(F.col("_rank") / chunk)).drop("_chunk", "_rank", "_near", "_far", "_density")
 
 
 def isolation(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
@@ -58,11 +82,12 @@ def isolation(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42
 
 
 def isolated(df: DataFrame, column: str, contamination: float = 0.01, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
-    """trace_id, idx, score and isolated: each chunk's highest scores, of the stated share."""
+    """trace_id, idx, score and isolated: each trace's highest scores, of the stated share. Trees are grown per chunk."""
     rows = df.select("trace_id", "idx", F.col(column).cast("double").alias("v"), F.floor(F.col("idx") / chunk).alias("_chunk")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = isolation(pdf["v"].to_numpy(), seed=seed)
-        return pd.DataFrame({"trace_id": pdf["trace_id"], "idx": pdf["idx"], "score": score, "isolated": score > np.quantile(score, 1 - contamination)})
+        return pd.DataFrame({"trace_id": pdf["trace_id"], "idx": pdf["idx"], "score": isolation(pdf["v"].to_numpy(), seed=seed)})
 
-    return rows.groupBy("trace_id", "_chunk").applyInPandas(each, "trace_id string, idx long, score double, isolated boolean")
+    scores = settled(rows.groupBy("trace_id", "_chunk").applyInPandas(each, "trace_id string, idx long, score double"), "isolation")
+    cuts = scores.groupBy("trace_id").agg(F.percentile("score", F.lit(1 - contamination)).alias("_cut"))
+    return scores.join(F.broadcast(cuts), "trace_id").withColumn("isolated", F.col("score") > F.col("_cut")).drop("_cut")

@@ -43,7 +43,7 @@ def protected_spike_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def local_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in thin places of their chunk's values."""
+    """Samples in thin places of their trace's values."""
     df = trc(spark, sf_dir).select("trace_id", "idx", (F.col("v") + F.col("idx") * 1e-7).alias("v"))
     return outliers.local_outlier_factor(df, "v").where("lof > 1.5").select("trace_id", "idx", r("lof").alias("lof"))
 
