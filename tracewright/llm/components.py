@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written_to
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,13 @@ def connected(links: DataFrame) -> DataFrame:
 
     Ends when a round changes nothing. Links of a node with itself and repeated links don't matter; rows with nulls are dropped.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    edges, path = written_to(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "stars")
+        before = path
+        edges, path = written_to(_small_star(_large_star(edges)), "stars")
+        discard(spark, before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -11,12 +11,13 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import col, fresh_path, spread_join, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -26,15 +27,37 @@ def digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ").cast("binary"), 256)
 
 
+#: Digests that a bucket is made for.
+BUCKET_DIGESTS = 2_000_000
+
+
 class DigestIndex:
-    """Rows (digest, keep_id, batch), in `buckets` buckets, each file sorted by the digest."""
+    """Rows (digest, keep_id, batch) in buckets by the digest, each file sorted by it.
+
+    The files at `path` are the index: whoever names the same path, in this session or a later one, opens the same index. The number of buckets
+    is set when the index is made, from the digests that it is expected to hold, and kept beside the files. `name` is only the
+    session's name for it.
+    """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, expected: int = 32 * BUCKET_DIGESTS, buckets: int | None = None):
+        self.spark, self.path = spark, path or fresh_path(spark, "digest-index")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or fresh_path(spark, "digest-index")
+        about = f"{self.path}/_about"  # a folder that readers of the table pass over
+        if self._there(about):
+            self.buckets = spark.read.schema("buckets int").json(about).first()[0]
+        else:
+            self.buckets = buckets or max(32, 1 << math.ceil(math.log2(max(1, expected / BUCKET_DIGESTS))))
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(about)
         if not spark.catalog.tableExists(self.name):
-            spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+            spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def forget(self) -> None:
+        """Takes the index's name out of the session; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -50,17 +73,18 @@ class DigestIndex:
         new.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
 
 
-def deduplicate(df: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text", batch: str = "0") -> DataFrame:
+def deduplicate(df: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
     """Takes df into the index and returns a row for each of its rows: doc_id, keep_id, group_size, kept, text_sha256.
 
     keep_id is the row that the index holds for the text, which an earlier batch may have brought; group_size counts
-    the equal texts of df; kept marks the row that the index now holds.
+    the equal texts of df; kept marks the row that the index now holds. batch: a name that no earlier batch had (made up if not given).
     """
-    rows = written(df.select(F.col(key).cast("long").alias("doc_id"), digest(F.col(text)).alias("digest")), "digests")
+    batch = batch or uuid.uuid4().hex
+    rows = written(df.select(col(key).cast("long").alias("doc_id"), digest(col(text)).alias("digest")), "digests")
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = written(groups, "digest-groups")
     index.append(groups.select("digest", "keep_id"), batch)
     held = index.table().select("digest", "keep_id", "batch")
-    groups = groups.drop("keep_id").join(held, "digest")
+    groups = written(groups.drop("keep_id").join(held, "digest"), "digest-held")
     kept = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.join(groups, "digest").select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    return spread_join(rows, groups, "digest", "group_size").select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))

@@ -8,15 +8,18 @@ document at the edge is taken if at least half of it is inside.
 
 Cases: a null text has no tokens, and a document without tokens is taken where the prefix reaches it; null languages
 and sources are nodes of their own; leaves without tokens get no budget; equal ids are ordered by token count, and
-repeated rows are taken one by one; an empty table gives no rows; other columns are passed through.
+repeated rows are taken one by one; an empty table gives no rows; other columns are passed through. The sources of one language of a
+domain are put in order by one task, so that there may be some ten millions of them, with any number of documents each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_text, rows_of, with_totals_before, written
+from .common import bucket_bits, bucket_of, col, key_text, rows_of, with_totals_before, written
 
 #: The share of the budget of each domain, in the order of their numbers.
 DOMAIN_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
@@ -51,10 +54,18 @@ def fill(nodes: DataFrame, parent: list[str], budget: str, capacity: str, weight
     return df.withColumn(out, given).drop("_ratio", "_full", "_rest", "_level", "_fit")
 
 
-def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, domain_weights: tuple[float, ...] = DOMAIN_WEIGHTS) -> DataFrame:
+def weight_of(name: str, weights: Mapping | None) -> Column:
+    """The target weight of a node by its name: 1 for all without weights, and for one that they don't state (write null as None)."""
+    out = F.lit(1.0)
+    for value, w in (weights or {}).items():
+        out = F.when(F.col(name).eqNullSafe(F.lit(value)), F.lit(float(w))).otherwise(out)
+    return out
+
+
+def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, domain_weights: tuple[float, ...] = DOMAIN_WEIGHTS, lang_weights: Mapping | None = None, source_weights: Mapping | None = None) -> DataFrame:
     """leaves: domain, lang, source, tokens. Adds `given`, the tokens that each leaf is to supply.
 
-    Domains have the stated weights (others none); languages and sources under one parent have equal weights.
+    Domains have the stated weights (others none); languages and sources under one parent have those of the mappings, else equal ones.
     """
     caps = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double"))
     weight = F.lit(0.0)
@@ -65,31 +76,33 @@ def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int, domain_weights:
     domains = domains.withColumn("budget", budget.cast("double")) if budget is not None else domains
     domains = domains.withColumn("budget", F.least(F.col("budget"), F.sum("cap").over(one)))
     domains = fill(domains, ["root"], "budget", "cap", "w", "d_given", "domain").select("domain", "d_given")
-    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain").withColumn("w", F.lit(1.0))
+    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain").withColumn("w", weight_of("lang", lang_weights))
     langs = fill(langs, ["domain"], "d_given", "cap", "w", "l_given", "lang").select("domain", "lang", "l_given")
-    leaf = caps.alias("a").join(langs.alias("b"), F.col("a.domain").eqNullSafe(F.col("b.domain")) & F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.*", "b.l_given").withColumn("w", F.lit(1.0))
+    leaf = caps.alias("a").join(langs.alias("b"), F.col("a.domain").eqNullSafe(F.col("b.domain")) & F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.*", "b.l_given").withColumn("w", weight_of("source", source_weights))
     return fill(leaf, ["domain", "lang"], "l_given", "cap", "w", "given", "source").select("domain", "lang", "source", "tokens", "given")
 
 
-def mix(df: DataFrame, share: float, epochs: int = 1, seed: int = 0, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain_weights: tuple[float, ...] = DOMAIN_WEIGHTS) -> DataFrame:
+def mix(df: DataFrame, share: float, epochs: int = 1, seed: int = 0, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain: Column | None = None, **weights) -> DataFrame:
     """The copies that the mixture takes of each row: _id, text_hash, domain, lang, source, tokens, copies.
 
-    share: the budget over all tokens of df. epochs: how often a document can be taken at most. Only ids, labels and
-    token counts are shuffled, and each leaf is ordered in 4,096 buckets of its seeded hash.
+    share: the budget over all tokens of df. epochs: how often a document can be taken at most. domain: the number of a row's domain,
+    if not hashed from its source. weights: domain_weights, lang_weights and source_weights, as in leaf_budgets. Only ids, labels
+    and token counts are shuffled, and each leaf is ordered in buckets of its seeded hash.
     """
-    rows = df.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("tokens"))
-    rows = rows.withColumn("domain", domain_of(F.col("source"), len(domain_weights)))
+    kinds = len(weights.get("domain_weights", DOMAIN_WEIGHTS))
+    number = domain_of(col(source).cast("string"), kinds) if domain is None else domain.cast("int")
+    rows = df.select(col(key).alias("_id"), F.xxhash64(col(text).cast("string")).alias("text_hash"), col(lang).cast("string").alias("lang"), col(source).cast("string").alias("source"), token_count(col(text)).alias("tokens"), number.alias("domain"))
     rows = written(rows, "mixing-rows")
     leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"))
-    everything = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    budgets = leaf_budgets(leaves, F.lit(float(share) * everything), epochs, domain_weights)
+    everything, n = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    budgets = leaf_budgets(leaves, F.lit(float(share) * everything), epochs, **weights)
     budgets = budgets.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("given") / F.col("tokens") + 1e-9)).otherwise(0).cast("long"))
     budgets = budgets.withColumn("rest", F.col("given") - F.col("whole") * F.col("tokens"))
     leaf = ["domain", "lang", "source"]
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in leaf]
     rows = rows.alias("l").join(budgets.alias("r"), on).select("l.*", "r.whole", "r.rest", "r.given")
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), key_text("_id")))
-    rows = rows.withColumn("_hash", order).withColumn("_bucket", F.substring("_hash", 1, 3))
+    rows = rows.withColumn("_hash", order).withColumn("_bucket", bucket_of(F.col("_hash"), bucket_bits(n)))
     rows = with_totals_before(rows, leaf, "_bucket", [F.col(c) for c in ("_hash", "_id", "tokens", "text_hash")], F.col("tokens"), "before")
     last = (F.col("given") > 0) & (F.col("whole") < epochs) & (F.col("before") + F.col("tokens") / 2 <= F.col("rest") + 1e-6)
     return rows.withColumn("copies", F.col("whole") + F.when(last, 1).otherwise(0)).select("_id", "text_hash", *leaf, "tokens", F.col("copies").cast("long").alias("copies"))

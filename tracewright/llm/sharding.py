@@ -7,7 +7,7 @@ moves rows only into or out of the subtrees whose weights change. `grown` adds a
 other weight changes, and rows move only into the new shard.
 
 Cases: a null key hashes as the empty text, so all rows without a key share a shard; equal keys share a shard; a
-null text has 0 bytes; an empty table gives no rows; other columns are passed through or ignored.
+null text has 0 bytes; an empty table gives no rows; other columns are passed through (one called like the output is replaced by it) or ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_text, with_totals_before
+from .common import bucket_bits, bucket_of, col, key_text, others, with_totals_before
 
 
 class Shard(NamedTuple):
@@ -65,9 +65,12 @@ def shard_of(df: DataFrame, key: str, topology: Sequence[Shard], out: str = "sha
     racks_of = F.array(*(_children([(f"{r}/{k}", weight[r, k], racks.index((r, k))) for k in tree[r]]) for r in tree))
     shards_of = F.array(*(_children([(f"{r}/{k}/{s.shard}", s.weight, s.shard) for s in tree[r][k]]) for r, k in racks))
     text = key_text(key)
-    df = df.withColumn("_region", _drawn(text, regions))
-    df = df.withColumn("_rack", _drawn(text, F.element_at(racks_of, F.col("_region") + 1)))
-    return df.withColumn(out, _drawn(text, F.element_at(shards_of, F.col("_rack") + 1))).drop("_region", "_rack")
+    region = _drawn(text, regions)
+    held = df.select(F.struct(*(col(c) for c in others(df, (out,)))).alias("row"), text.alias("key"), region.alias("region"))
+    text = F.col("key")
+    held = held.withColumn("rack", _drawn(text, F.element_at(racks_of, F.col("region") + 1)))
+    held = held.withColumn("shard", _drawn(text, F.element_at(shards_of, F.col("rack") + 1)))
+    return held.select("row.*", F.col("shard").alias(out))
 
 
 def place(df: DataFrame, topology: Sequence[Shard], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,9 +78,9 @@ def place(df: DataFrame, topology: Sequence[Shard], key: str = "doc_id", text: s
 
     Slots are numbered from 0 without gaps, by (hash of the key, key, text_crc32, size). The text itself isn't shuffled.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    body = F.coalesce(col(text).cast("string"), F.lit(""))
+    rows = df.select(col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     rows = shard_of(shard_of(rows, "doc_id", topology), "doc_id", grown(topology), "grown_shard")
-    rows = rows.withColumn("_bucket", F.substring(F.md5(key_text("doc_id")), 1, 3))
-    rows = with_totals_before(rows, ["shard"], "_bucket", [F.col(c) for c in ("doc_id", "text_crc32", "size")], F.lit(1).cast("long"), "slot")
+    rows = rows.withColumn("_hash", F.md5(key_text("doc_id"))).withColumn("_bucket", bucket_of(F.col("_hash"), bucket_bits(df.count() // len(topology))))
+    rows = with_totals_before(rows, ["shard"], "_bucket", [F.col(c) for c in ("_hash", "doc_id", "text_crc32", "size")], F.lit(1).cast("long"), "slot")
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

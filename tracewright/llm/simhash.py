@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, rows_of, written
+from .common import chosen_join, col, pieces, rows_of, spread_join, written
 from .components import connected
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -63,12 +63,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """doc_id, a hash of the text, and the fingerprint as a long (its bit pattern) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = np.array([fingerprint(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out)], names=["doc_id", "text_hash", "fp"])
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return arrow_rows(rows).mapInArrow(each, "doc_id long, text_hash long, fp long")
+    rows = df.select(col(key).cast("long").alias("doc_id"), F.xxhash64(col(text).cast("string")).alias("text_hash"), col(text).cast("string").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long")
 
 
 def forest(values: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -124,35 +124,36 @@ def _links(radius: int):
 def near_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the nodes of (node, fp), enough to connect all that is within the radius."""
 
-    def bucketed(df: DataFrame, table, keep) -> DataFrame:
-        """table, keep: for each row, the tables and what the masks keep of the fingerprint."""
-        rows = df.select("node", "fp", F.explode(F.arrays_zip(table.alias("part"), keep.alias("bucket"))).alias("t")).select("t.bucket", "t.part", "node", "fp")
-        sizes = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return rows.join(sizes, ["bucket", "part"])
+    bucket = ["bucket", "part"]
+
+    def tables(df: DataFrame, part, kept) -> DataFrame:
+        """part, kept: for each row, the tables and what their masks keep of the fingerprint."""
+        rows = df.select("node", "fp", F.explode(F.arrays_zip(part.alias("part"), kept.alias("bucket"))).alias("t"))
+        return rows.select("t.bucket", F.col("t.part").cast("long").alias("part"), "node", "fp")
 
     level1 = masks(list(range(BITS)), radius)
-    tables = F.array(*(F.lit(i) for i in range(len(level1))))
-    kept = F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in level1))
-    first = written(bucketed(values, tables, kept), "simhash-buckets")
+    first = tables(values, F.array(*(F.lit(i) for i in range(len(level1)))), F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in level1)))
+    crowded = written(first.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(*bucket), "simhash-crowded")
     finer = []
     for m in level1:
         free = [b for b in range(BITS) if b not in set(m)]
         finer.append([signed(m + s) for s in masks(free, radius)])
     # the masks of the second level by the table of the first
-    choose = F.element_at(F.array(*(F.array(*(F.lit(x) for x in row)) for row in finer)), F.col("part") + 1)
-    crowded = first.where(F.col("n") > CROWDED).select("node", "fp", F.transform(choose, lambda m: F.col("fp").bitwiseAND(m)).alias("kept"), F.transform(F.sequence(F.lit(1), F.lit(len(level1))), lambda i: F.col("part") * 16 + 15 + i).alias("tables"))
-    second = bucketed(crowded, F.col("tables"), F.col("kept"))
-    rows = first.where(F.col("n") <= CROWDED).unionByName(second).select("bucket", F.col("part").cast("long").alias("part"), "node", "fp")
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_links(radius), "a long, b long")
+    choose = F.element_at(F.array(*(F.array(*(F.lit(x) for x in row)) for row in finer)), F.col("part").cast("int") + 1)
+    split = chosen_join(first, crowded, bucket, F.col("node")).select("node", "fp", F.transform(choose, lambda m: F.col("fp").bitwiseAND(m)).alias("kept"), F.transform(F.sequence(F.lit(1), F.lit(len(level1))), lambda i: F.col("part") * 16 + 15 + i).alias("tables"))
+    second = tables(split, F.col("tables"), F.col("kept"))
+    rows = chosen_join(first, crowded, bucket, F.col("node"), "left_anti").select(*bucket, "node", "fp").unionByName(second)
+    # a bucket now has CROWDED fingerprints at most, or as many as a second mask leaves: none can grow with the data
+    return rows.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_links(radius), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, text_hash, fp (long) and component_id of every row: the smallest id reachable over links within the radius."""
     rows = written(fingerprints(df, key, text), "fingerprints")
-    values = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-values")
-    roots = connected(near_links(values.where("node IS NOT NULL"), radius))
-    named = values.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    values = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "fingerprint-values")
+    roots = connected(near_links(values.where("node IS NOT NULL").select("node", "fp"), radius))
+    named = written(values.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id")), "fingerprint-components")
+    return spread_join(rows, named, "fp", "n").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:

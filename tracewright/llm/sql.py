@@ -27,7 +27,7 @@ WITH tree AS (SELECT * FROM (VALUES {", ".join(nodes)}) t(region, rack, shard)),
     summed AS (SELECT doc_id, id, CAST(strlen(body) + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, crc.tab[xor(c & 255, b) + 1]))) AS text_crc32 FROM docs, crc),
     ids AS (SELECT DISTINCT id FROM docs),{descent("now", shards)},{descent("then", shards + 1)}
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
-    CAST(row_number() OVER (PARTITION BY a.shard ORDER BY substr(md5(id), 1, 3), doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(b.shard AS INTEGER) AS grown_shard
+    CAST(row_number() OVER (PARTITION BY a.shard ORDER BY md5(id), doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(b.shard AS INTEGER) AS grown_shard
 FROM summed JOIN shard_now a USING (id) JOIN shard_then b USING (id)"""
 
 
