@@ -13,10 +13,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracewright.llm import components, decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, sharding, simhash, toxicity
+from tracewright.llm import common, components, decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, sharding, simhash, toxicity
 from tracewright.llm.words import WordHasher, chained
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 WORDS = ["the", "of", "Stone", "river", "moves", "über", "a", "grain", "hill", "then", "under", "light"]
 
 
@@ -61,6 +62,11 @@ def test_sharding(docs, none, rows):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sorted((r.size, r.text_crc32) for r in out) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
     assert sharding.place(none, sharding.regular_topology(16)).count() == 0
+    clashing = docs.selectExpr("*", "1 AS shard", "2 AS _region", "3 AS key", "4 AS row", "5 AS slot")
+    named = sharding.shard_of(clashing, "doc_id", sharding.regular_topology(16))
+    assert named.columns == [*docs.columns, "_region", "key", "row", "slot", "shard"] and {(r._region, r.key, r.row, r.slot) for r in named.collect()} == {(2, 3, 4, 5)}
+    assert sorted((str(r.doc_id), r.shard) for r in named.collect()) == sorted((str(r.doc_id), r.shard) for r in out)
+    assert sharding.place(clashing, sharding.regular_topology(16)).count() == len(rows)
 
 
 def test_sharding_moves_only_between_changed_subtrees(spark):
@@ -106,6 +112,10 @@ def test_simhash(docs, none, rows):
     expected = sorted((d, f, c) for (d, _), f, c in zip(named, fps, classes([d for d, _ in named], fps), strict=True))
     assert sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in out) == expected
     assert simhash.near_duplicates(none).count() == 0
+    clashing = docs.selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS row", "4 AS hash", "5 AS _hash", "6 AS text_hash")
+    more = simhash.one_of_each(clashing)
+    assert more.columns == clashing.columns and {tuple(r)[5:] for r in more.collect()} == {(1, 2, 3, 4, 5, 6)}
+    assert simhash.near_duplicates(clashing).count() == len(rows)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, _, c in expected})
 
@@ -131,6 +141,24 @@ def test_covering_masks_and_crowded_buckets(spark, monkeypatch):
     assert [roots.get(i, i) for i in range(len(fps))] == classes(list(range(len(fps))), fps)
 
 
+def test_hot_keys(spark, monkeypatch):
+    left = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(120)], "k long, v long")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    got = common.spread_join(left, right, "k", "n")
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and sorted((r.k, r.v, r.n) for r in got.collect()) == sorted((r.k, r.v, r.n) for r in left.join(right, "k").collect())
+
+
+def test_simhash_by_other_joins(spark, docs, monkeypatch):
+    """Crowded buckets, salted joins and hot fingerprints give the same components."""
+    key = lambda r: tuple(map(str, r))
+    whole = sorted(map(key, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(simhash, "CROWDED", 3)
+    assert sorted(map(key, simhash.near_duplicates(docs).collect())) == whole
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
@@ -157,6 +185,8 @@ def test_exact_dedup(spark, docs, none, rows):
         least = min((x for x in g if x is not None), default=None)
         expected.append((d, least, len(g), d == least, hashlib.sha256(norm(t).encode()).hexdigest()))
     assert sorted(map(key, out)) == sorted(map(key, expected))
+    clashing = exact_dedup.deduplicate(docs.selectExpr("*", "1 AS digest", "2 AS keep_id", "3 AS kept", "'x' AS batch"), exact_dedup.DigestIndex(spark))
+    assert sorted(map(key, clashing.collect())) == sorted(map(key, expected))
     assert exact_dedup.deduplicate(none, exact_dedup.DigestIndex(spark)).count() == 0
 
 
@@ -167,6 +197,12 @@ def test_digest_index_keeps_earlier_batches(spark):
     second = exact_dedup.deduplicate(spark.createDataFrame([(1, "a\n b"), (2, "d"), (3, "d")], "doc_id long, text string"), index, batch="2")
     assert {(r.doc_id, r.keep_id, r.kept) for r in second.collect()} == {(1, 5, False), (2, 2, True), (3, 2, False)}
     assert index.table().count() == 3
+    index.forget()
+    again = exact_dedup.DigestIndex(spark.newSession(), name="opened_again", path=index.path)
+    third = exact_dedup.deduplicate(again.spark.createDataFrame([(9, "c "), (8, "c"), (7, "new")], "doc_id long, text string"), again)
+    assert again.buckets == 4 and {(r.doc_id, r.keep_id, r.kept) for r in third.collect()} == {(9, 9, True), (8, 6, False), (7, 7, True)}
+    assert {r.batch for r in again.table().where("keep_id < 7").collect()} == {"1", "2"} and again.table().count() == 5
+    index = again
     plan = index.unseen(spark.createDataFrame([("x",)], "digest string"))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan
 
@@ -178,8 +214,10 @@ def test_line_dedup(spark, none):
         lines = [rng.choice(["shared everywhere", " shared everywhere ", "", f"own line {i}", f"of a few {i % 9}", "on half " + str(i % 3)]) for _ in range(rng.randint(0, 9))]
         rows.append((i if i % 50 else None, "\n".join(lines), "en", f"s{i % 15}" if i % 40 else None, 1))
     rows += [(1, None, "en", "s1", 0), rows[7], rows[7]]
-    got = line_dedup.without_boilerplate(spark.createDataFrame(rows, SCHEMA).repartition(4), sites=6)
-    assert got.columns == [*none.columns, "n_lines", "n_removed"]
+    clashing = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(("_hash", "_lines", "_removed", "n_lines", "row", "pos", "h1", "site"))))
+    got = line_dedup.without_boilerplate(clashing.repartition(4), sites=6)
+    assert got.columns == [*none.columns, "_hash", "_lines", "_removed", "row", "pos", "h1", "site", "n_lines", "n_removed"]
+    assert {(r._hash, r._lines, r.row, r.site) for r in got.collect()} == {(0, 1, 4, 7)}
     bare = lambda x: x.strip(" \t\n\x0b\x0c\r")
     sites = defaultdict(set)
     for _, t, _, s, _ in rows:
@@ -194,6 +232,14 @@ def test_line_dedup(spark, none):
     assert line_dedup.without_boilerplate(none).count() == 0
 
 
+def test_line_dedup_by_salted_join(spark, monkeypatch):
+    rows = [(d, "\n".join(["everywhere", f"own {d}", f"some {d % 20}"]), "en", f"s{d % 40}", 1) for d in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    whole = line_dedup.without_boilerplate(docs, sites=5).collect()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(line_dedup.without_boilerplate(docs, sites=5).collect()) == sorted(whole) and {r.n_removed for r in whole} == {1}
+
+
 def brute_tiles(item, doc, shortest):
     """Longest unmarked common runs, again and again."""
     fi, fd, total = [True] * len(item), [True] * len(doc), 0
@@ -230,7 +276,7 @@ def test_decontamination(spark, none):
         rows.append((d, " ".join(w.upper() + rng.choice(["", ",", "."]) if rng.random() < 0.3 else w for w in words), "en", "s", 1))
     rows += [(None, None, None, None, None), rows[1]]
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(99, None)], "item_id long, text string")
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("coverage_", F.lit(1)).repartition(3)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("coverage", F.lit(1)).withColumn("n_items", F.lit("a")).repartition(3)
     got = {(r.doc_id, r["text"]): r for r in decontamination.contamination(docs, benchmark).collect()}
     for d, t, *_ in rows:
         words = re.findall(r"\w+", (t or "").lower())
@@ -242,13 +288,29 @@ def test_decontamination(spark, none):
     assert decontamination.contamination(docs, benchmark.limit(0)).where("n_items = 0").count() == len(rows)
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    items = [(i, " ".join(f"b{i}x{k}" for k in range(10))) for i in range(20)]
+def test_decontamination_by_join(spark, none, monkeypatch):
+    """A benchmark too large to broadcast gives the same rows."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(25)]
+    items = [(i if i % 7 else None, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 30)))) for i in range(30)]
+    items += [items[3], (50, None), (51, "")]
+    rows = [(d, " ".join([*(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))), *(rng.choice(items)[1] or "").split(), "end"]), "en", "s", 1) for d in range(80)]
+    rows += [(None, None, None, None, None), rows[1], rows[1], (5, "", "en", "s", 0)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    docs = spark.createDataFrame([(i, "start " + t + " end", "en", "s", 1) for i, t in items], SCHEMA)
-    whole = decontamination.contamination(docs, benchmark).collect()
-    monkeypatch.setattr(decontamination.blocks, "__defaults__", (60,))
-    assert sorted(decontamination.contamination(docs, benchmark).collect()) == sorted(whole) and all(r.n_items == 1 for r in whole)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("item_id", F.lit("x")).withColumn("k1", F.lit(1)).repartition(3)
+    key = lambda r: tuple(map(str, r))
+    whole = decontamination.contamination(docs, benchmark)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 60)
+    joined = decontamination.contamination(docs, benchmark)
+    assert joined.columns == whole.columns == [*SCHEMA_NAMES, "k1", "n_items", "item_id", "coverage"]
+    assert sorted(map(key, joined.collect())) == sorted(map(key, whole.collect())) and sum(r.n_items for r in whole.collect()) > 20
+    assert decontamination.contamination(none, benchmark).count() == 0
+
+
+def test_tiling_of_repeated_words_is_fast():
+    item, doc = np.array([1, 2] * 3000, np.uint64), np.array([2, 1] * 3000, np.uint64)
+    tiles = decontamination.tile(item, doc, np.zeros(0, np.int64))
+    assert sum(t[2] for t in tiles) >= 5999
 
 
 def test_toxicity(spark, none):
@@ -268,7 +330,7 @@ def test_toxicity(spark, none):
     rows += [(None, None, None, None, None), (5000, "", "en", "s", 0), rows[0]]
     docs, labels = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     held = toxicity.held_out(F.col("doc_id"))
-    out = toxicity.scored(docs.withColumn("toxicity_", F.lit(0)), labels, ~held).withColumn("held", held).collect()
+    out = toxicity.scored(docs.withColumn("toxicity", F.lit(0)), labels, ~held).withColumn("held", held).collect()
     assert len(out) == len(rows) and all(0 <= r.toxicity <= 1 for r in out)
     judged = [r for r in out if r.held and r.doc_id is not None and r.doc_id < 700]
     wrong = [r for r in judged if (r.toxicity >= 0.7) != (r.doc_id % 6 == 0)]
@@ -286,6 +348,31 @@ def test_restoring_disguised_words():
     assert fix("mail x@y.org, 1999 and http://a.b/c1d") == "mail x@y.org, 1999 and http://a.b/c1d"
 
 
+def test_long_disguises():
+    words = Counter({"loser": 30, "idiot": 30, "hello": 20})
+    fix = toxicity.Restorer(toxicity.CharacterModel(words))
+    for n in (3, 34, 45, 500):
+        assert fix("l" + "o" * n + "ser") == "loser" and fix("1d" + "1" * n + "ot") == "idiot"
+    assert fix("1d10t" * 20) == fix("1d10t" * 20) and fix(" ".join("idiot" * 12)).replace(" ", "") == "idiot" * 12
+
+
+def test_decoding_finds_what_the_model_alone_misses(spark):
+    """Held-out texts whose toxic words are all disguised, scored by one model with and without the restorer."""
+    rng = random.Random(18)
+    bad = ["idiot", "moron", "scumbag", "loser"]
+    plain = ["".join(rng.choice("abdeilnorst") for _ in range(rng.randint(3, 7))) for _ in range(200)]
+    hide = [lambda w: w.replace("o", "0").replace("i", "1").replace("s", "$"), lambda w: " ".join(w), lambda w: w[0] + w[1] * 4 + w[2:], lambda w: ".".join(w)]
+    text = lambda extra: " ".join([*(rng.choice(plain) for _ in range(15)), *extra, *(rng.choice(plain) for _ in range(5))])
+    rows = [(d, text(rng.sample(bad, 2) if d % 3 == 0 else []), int(d % 3 == 0)) for d in range(600)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t, _ in rows], SCHEMA)
+    restorer, scorer = toxicity.fit(docs, spark.createDataFrame([(d, 1, x) for d, _, x in rows], "doc_id long, quality int, toxic int"))
+    hidden = [text([rng.choice(hide)(w) for w in rng.sample(bad, 2)]).encode() for _ in range(100)]
+    clean = [text([]).encode() for _ in range(100)]
+    caught = (scorer(toxicity.restored(hidden, restorer)) >= toxicity.THRESHOLD).sum()
+    without = (scorer(hidden) >= toxicity.THRESHOLD).sum()
+    assert caught >= 90 and without <= 60 and (scorer(toxicity.restored(clean, restorer)) >= toxicity.THRESHOLD).sum() <= 3, (caught, without)
+
+
 def test_suspecting_all_that_is_restored(monkeypatch):
     words = Counter({"idiot": 30, "loser": 30, "stupid": 30, "hate": 30, "dumbass": 20, "kill": 30, "foo": 20, "scum": 20, "größe": 20, "good": 20})
     fix = toxicity.Restorer(toxicity.CharacterModel(words))
@@ -311,13 +398,46 @@ def test_registered_lm_order(spark):
     assert lm_scoring.ORDER >= 3 and out[100] > out[101] + 0.3
 
 
+def lm_row(texts, flags=None):
+    joined = "".join(texts).encode()
+    return {"ids": np.arange(len(texts)).tobytes(), "flags": np.array(flags or [0] * len(texts), np.uint8).tobytes(), "sizes": np.array([len(t.encode()) for t in texts]).tobytes(), "texts": pa.compress(joined, codec="zstd", asbytes=True), "n_bytes": len(joined)}
+
+
 def test_lm_counts_as_numbered():
-    texts = ["a b a b c", "", "b a b", "a b c a"]
-    row = {"ids": np.arange(4).tobytes(), "flags": np.array([0, 0, 1, 2], np.uint8).tobytes(), "sizes": np.array([len(t) for t in texts]).tobytes(), "texts": pa.compress("".join(texts).encode(), codec="zstd", asbytes=True), "n_bytes": sum(map(len, texts))}
-    for order in (1, 2, 3):
-        part = lm_scoring.Part(row, order)
-        for got, wanted in zip(part.counted(), part.distinct()[:2], strict=True):
-            assert got.dtype == wanted.dtype and got.tolist() == wanted.tolist()
+    part = lm_scoring.Part(lm_row(["a b a b c", "", "b a b", "a b c a"], [0, 0, 1, 2]))
+    for size in (1, 2, 3):
+        found, _, counts = part.counted(size)
+        at, number, one = part.distinct(size)
+        assert len(one) == len(found) and (np.diff(found.astype(object)) > 0).all()
+        grams = part.grams(size)[1]
+        assert (grams == found[number]).all() and counts.tolist() == np.bincount(number[~part.held[part.owner[at]]], minlength=len(found)).tolist()
+
+
+def test_lm_words_of_one_hash_are_split(monkeypatch):
+    """Words whose 64 bits agree are told apart by their checks, in a part and in a bucket."""
+    keys, checks = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 0, 2, 1, 0], np.uint32)
+    first, number, n = lm_scoring.numbered(keys, checks)
+    assert keys[first].tolist() == [5, 7, 7] and checks[first].tolist() == [0, 1, 2] and number.tolist() == [1, 0, 2, 1, 0] and n.tolist() == [2, 2, 1]
+    sent = lambda part, check, count: {"bucket": 0, "part": part, "size": 1, "grams": lm_scoring.pack(np.array([9], np.uint64)), "checks": lm_scoring.pack(np.array([check], np.uint32)), "counts": lm_scoring.pack(np.array([count], np.uint32)), "n": 1}
+    rows = lm_scoring._sum(pa.Table.from_pylist([sent(1, 4, 10), sent(2, 6, 3), sent(3, 4, 1)], schema=lm_scoring._arrow(lm_scoring._SENT))).to_pylist()
+    assert [lm_scoring.unpack(r["totals"], np.uint64, 1)[0] for r in rows] == [11, 3, 11] and (rows[0]["tokens"], rows[0]["kinds"]) == (14, 2)
+    hasher = WordHasher()
+    hasher.hash([b"abc cab xyz", b"ABC"], check=True)
+    assert hasher.checks[0] == hasher.checks[1] == hasher.checks[3] != hasher.checks[2]
+
+
+def test_lm_pieces_carry_the_state(monkeypatch):
+    """A long text walked in pieces scores as in one."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (700, 3, 0, 64, 65)]
+    for order in (1, 2, 3, 4):
+        part = lm_scoring.Part(lm_row(texts, [0, 1, 0, 0, 1]))
+        totals = {k: part.counted(k)[2].astype(np.uint64) for k in range(1, order + 1)}
+        tokens, kinds = int(totals[1].sum()), len(totals[1])
+        whole = lm_scoring.BackoffAutomaton(part, totals, tokens, kinds, order).walk(part)
+        monkeypatch.setattr(lm_scoring, "PIECE", 7)
+        assert lm_scoring.BackoffAutomaton(part, totals, tokens, kinds, order).walk(part).tolist() == whole.tolist()
+        monkeypatch.undo()
 
 
 def test_lm_scoring(spark, docs, none, rows, monkeypatch):
@@ -353,6 +473,8 @@ def test_lm_scoring(spark, docs, none, rows, monkeypatch):
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(expected)
         assert sum(10 ** math.log10(p(("stone",), w)) for w in [*kinds, "unseen"]) == pytest.approx(1)
     assert lm_scoring.scored(none, held_out).count() == 0
+    clashing = docs.selectExpr("*", "true AS held_out", "1 AS score", "2 AS n_tokens", "3 AS part")
+    assert lm_scoring.scored(clashing, F.lit(False)).count() == len(rows)
 
 
 def test_html_extraction(spark):
@@ -369,6 +491,66 @@ def test_html_extraction(spark):
     assert html_extraction.extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+LONG = "A long and winding paragraph of the article that tells the reader quite a lot of things about the subject."
+LEGAL = "Copyright law protects works of authors, and a notice tells who holds these rights in a work and since which year it does so."
+TEMPLATES = {
+    "mathematics": (f"<article><h1>Title</h1><p>{LONG}</p><math><mi>x</mi><mo>=</mo><mn>2</mn></math><svg><text>Label</text></svg><p>{LONG}</p></article>", f"Title {LONG} x=2Label {LONG}"),
+    "state class": (f'<body><article class="post comments-open"><h1>T</h1><p>{LONG}</p><p>Short.</p></article></body>', f"T {LONG} Short."),
+    "named page": (f'<body><nav><a href=x>Home</a></nav><div class="page tags-page"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></body>', f"T {LONG} {LONG}"),
+    "page in a form": (f'<body><form action="x"><nav><a href=x>Home</a></nav><h1>T</h1><p>{LONG}</p><p>{LONG}</p><select><option>One<option>Two</select></form></body>', f"T {LONG} {LONG}"),
+    "law": (f"<body><div><p>{LONG}</p><p>{LEGAL}</p><p>{LONG}</p></div></body>", f"{LONG} {LEGAL} {LONG}"),
+    "recipe": (f"<body><nav><ul><li><a href=1>Home</a><li><a href=2>Recipes</a></ul></nav><div><h1>Bread</h1><p>{LONG}</p><ul><li>Flour</li><li>Salt</li><li>Two eggs</li></ul><p>{LONG}</p></div><footer>&copy; 2020 X</footer></body>", f"Bread {LONG} Flour Salt Two eggs {LONG}"),
+    "cookies": (f"<body><div>Please enable cookies</div><div><h1>T</h1><p>{LONG}</p></div></body>", f"T {LONG}"),
+    "comments": (f'<body><main><article class="post"><header class="entry-header"><h1>T</h1><p class=byline>By Ann</p></header><div class="entry-content"><p>{LONG}</p></div><footer class="entry-footer">Tags: <a href=1>a</a></footer></article><section id="comments" class="comments-area"><h2>3 thoughts</h2><ol class="comment-list"><li class="comment"><article class="comment-body"><footer class="comment-meta">Bob says</footer><p>{LONG} {LONG}</p></article></li></ol></section></main><aside class="widget-area"><h3>Recent</h3><p>{LONG}</p></aside></body>', f"T By Ann {LONG}"),
+    "table": (f"<table><tr><td><a href=1>Home</a></td></tr><tr><td>{LONG}</td></tr></table>", LONG),
+    "hidden": (f'<article><p>{LONG}</p><div style="display:none"><p>{LONG} hidden</p></div></article>', LONG),
+    "letter": (f'<div id="content"><p>{LONG}</p><form class="newsletter"><p>Get our letter every week in your box.</p><button>Go</button></form><p>{LONG}</p></div>', f"{LONG} {LONG}"),
+    "no script": (f"<html><head><title>My title</title></head><body><noscript>You need to enable JavaScript to run this app.</noscript><div><p>{LONG}</p></div></body>", LONG),
+}
+
+
+def test_templates(spark):
+    rows = [(i, "u", p) for i, (p, _) in enumerate(TEMPLATES.values())]
+    out = {r.page_id: r["text"] for r in html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: t for i, (_, t) in enumerate(TEMPLATES.values())}
+
+
+def test_the_cut_decides():
+    """List items that lean to boilerplate by themselves stay with the paragraphs around them; without edges they would go."""
+    found = html_extraction.labelled(TEMPLATES["recipe"][0])
+    alone = [t for t, odds, _ in found if odds > 0]
+    assert [t for t, odds, keep in found if keep and odds <= 0] == ["Flour", "Salt", "Two eggs"] and "Flour" not in alone
+    lonely = html_extraction.labelled("<nav><a href=1>Home</a></nav><div><div><b>Flour</b></div></div>")
+    assert [keep for _, _, keep in lonely] == [False, False]
+
+
+def test_pages_by_brute_force():
+    """Random pages: of all labellings, the extracted one has the least cost."""
+    rng = random.Random(17)
+    soft = lambda x: math.log1p(math.exp(x))
+    flips = 0
+
+    def piece(depth: int) -> str:
+        kind = rng.choice(["p", "li", "div", "h2", "nav", "aside", "article", "section", "div class=ad", "div id=content", "footer", "ul", "form"])
+        inner = "".join(piece(depth + 1) for _ in range(rng.randint(1, 2))) if depth < 3 and kind.split()[0] not in ("p", "h2", "li") else " ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 5, 12, 30]))) + rng.choice(["", "."])
+        return f"<{kind}>{inner}</{kind.split()[0]}>"
+
+    for _ in range(150):
+        page = "".join(piece(0) for _ in range(rng.randint(1, 4)))
+        found = html_extraction.blocks(page)
+        if len(found) > 11:
+            continue
+        assert [w for b in found for w in b.text.split()] == re.sub("<[^>]*>", " ", page).split()
+        odds, edges = [html_extraction.evidence(b) for b in found], html_extraction.edges_between(found)
+        cost = lambda x: sum(soft(-o) if keep else soft(o) for o, keep in zip(odds, x, strict=True)) + sum(w for a, b, w in edges if x[a] != x[b])  # noqa: B023, E731
+        labels = [keep for _, _, keep in html_extraction.labelled(page)]
+        best = min(cost([bool(m >> i & 1) for i in range(len(found))]) for m in range(1 << len(found)))
+        assert cost(labels) == pytest.approx(best)
+        assert html_extraction.main_text(page) == " ".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
+        flips += sum((o > 0) != keep for o, keep in zip(odds, labels, strict=True))
+    assert flips > 10
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(8)
     soft = lambda x: math.log1p(math.exp(x))
@@ -402,6 +584,48 @@ def test_pii_base_spans():
     assert pii.base_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def test_pii_disjoint_spans():
+    rng = random.Random(15)
+    for _ in range(300):
+        spans = [(0, a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 8)))]
+        held = pii.Spans(spans)
+        for a in range(64):
+            for b in range(a + 1, 66):
+                assert held.overlaps((1, a, b)) == any(a < e and s < b for _, s, e in spans)
+
+
+def test_pii_judges_forms_it_never_wrote(spark):
+    """Recall and precision on forms and contexts that the trees' own examples don't have."""
+    rng = random.Random(16)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda: next(c for c in iter(lambda: "5" + digits(15), "") if pii.luhn(c))
+    noise = ["see page 12", "order 77-1234-99", "version 10.2.3.400", "at noon", "in 1999-2004", "sum 12 345 678", "look at it. Then go", "ref 2024/11/05", "id 123456789012", "a quick look"]
+    rows = []
+    for d in range(600):
+        bits = [f"mail ann.{d}@host{d % 7}.example.org", f"host 10.{d % 250}.3.{d % 99}", f"card {card()}", f"call +44 20 7946 {1000 + d}", f'api_key = "{rng.getrandbits(160):040x}"', *rng.sample(noise, 3)]
+        rng.shuffle(bits)
+        rows.append((d, " , ".join(bits)))
+    judge = pii.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    made = {
+        0: lambda: f"{rng.choice(['joe', 'kim.lee', 'p_ray'])} {rng.choice(['[AT]', '{at}', '(AT)'])} {rng.choice(['mailbox', 'web-host'])} {rng.choice(['[DOT]', '(DOT)'])} {rng.choice(['com', 'net', 'de'])}",
+        1: lambda: f"{rng.randrange(256)}{'(dot)'}{rng.randrange(256)}{'[dot]'}{rng.randrange(256)}{'[.]'}{rng.randrange(256)}",
+        2: lambda: (lambda c: f"{c[:4]}/{c[4:8]}_{c[8:12]}/{c[12:]}")(card()),
+        3: lambda: f"({digits(3).replace('0', '4')}) 555.{1000 + rng.randrange(8999)}",
+        4: lambda: f"{rng.getrandbits(128):032x}",
+    }
+    lead = {0: "write to ", 1: "server ", 2: "visa ", 3: "tel ", 4: "password: "}
+    for kind, make_one in made.items():
+        hit = 0
+        for _ in range(60):
+            s = make_one()
+            text = f"Some words before, {lead[kind]}{s} and some after."
+            at = text.index(s)
+            hit += any(k == kind and abs(a - at) <= 1 and abs(b - at - len(s)) <= 1 for k, a, b in judge.spans(text)[1])
+        assert hit >= 45, (pii.KINDS[kind], hit)
+    wrong = sum(len(judge.spans(f"We {rng.choice(noise)} and {rng.choice(noise)}, {rng.choice(['isbn 978 3 16 148410 0', 'total 4 000 000', 'lines 10 - 20 - 30', 'a.b.c and so on'])}.")[1]) for _ in range(200))
+    assert wrong <= 10
+
+
 def test_pii(spark, none):
     rng = random.Random(10)
     card = lambda: next(c for c in iter(lambda: "4" + "".join(rng.choice("0123456789") for _ in range(15)), "") if pii.luhn(c))
@@ -410,13 +634,14 @@ def test_pii(spark, none):
         bits = ["word " * rng.randint(1, 5), f"ann.{d}@mail{d % 9}.example.com", f"{d % 250}.{d % 99}.7.1", card(), f"+1 ({200 + d}) 555-{1000 + d}", f"order {d}-{d * 7}-22"]
         rows.append((d, " and ".join(rng.sample(bits, rng.randint(1, 5))), "en", "s", 1))
     rows += [(None, None, None, None, None), (900, f"call +1 (312) 555-1064 {card()} now", "en", "s", 1), rows[0]]
-    out = pii.found(spark.createDataFrame(rows, SCHEMA).withColumn("pii_", F.lit(1)).repartition(3)).collect()
+    out = pii.found(spark.createDataFrame(rows, SCHEMA).withColumn("pii", F.lit(1)).withColumn("text_", F.lit(1)).repartition(3)).collect()
     assert len(out) == len(rows)
     for r in out:
         base = brute_spans(r["text"] or "")
         assert r.pii.base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest()
         assert (r.pii.n_email, r.pii.n_ip, r.pii.n_card, r.pii.n_phone) == tuple(sum(s[0] == k for s in base) for k in range(4))
         assert not base or set(pii.listed(base).split(",")) <= set(r.pii.spans.split(","))
+        assert r.pii.n_spans == len([x for x in r.pii.spans.split(",") if x]) >= len(base)
     assert "(312)" not in next(r.pii.redacted for r in out if r.doc_id == 900)
     assert pii.found(none).count() == 0
 
@@ -427,6 +652,8 @@ def test_mixing_budgets(spark):
     got = {r.source: r.given for r in mixing.leaf_budgets(df, F.lit(1000.0), 1).collect()}
     # domains: 2 holds 10 of 200 and 3 nothing; 990 is split 4:3 between 0 and 1
     assert got["e"] == pytest.approx(10) and got["d"] == pytest.approx(990 * 3 / 7) and got[None] == 0
+    weighted = {r.source: r.given for r in mixing.leaf_budgets(df, F.lit(100.0), 1, (1.0,), {"en": 3.0, "de": 1.0}, {"b": 9.0, "a": 1.0}).collect()}
+    assert (weighted["a"], weighted["b"], weighted["c"], weighted["d"]) == (pytest.approx(7.5), pytest.approx(67.5), pytest.approx(25), 0)
     # in domain 0, de holds 50, and a holds 100: the shortage goes to siblings
     assert got["c"] == pytest.approx(50) and got["a"] == pytest.approx(100) and got["b"] == pytest.approx(990 * 4 / 7 - 150)
 
@@ -440,6 +667,9 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none, 0.5).count() == 0
     taken = mixing.mixture(docs, 0.7, 2, 3)
     assert taken.columns == docs.columns and taken.count() > 0
+    clashing = docs.selectExpr("*", "1 AS _hash", "2 AS domain", "3 AS tokens", "4 AS row", "5 AS id", "6 AS copies", "7 AS _id")
+    more = mixing.mixture(clashing, 0.7, 2, 3)
+    assert more.columns == clashing.columns and {tuple(r)[5:] for r in more.collect()} == {(1, 2, 3, 4, 5, 6, 7)} and more.count() == taken.count()
 
 
 def test_word_hashes():

@@ -24,3 +24,12 @@ def test_stages(spark):
         docs = spark.createDataFrame(after, docs.schema if name != "sharding" else None)
         assert docs.columns[: len(columns)] == columns and (name == "sharding") == ("shard" in docs.columns)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(ids)
+
+
+def test_clashing_columns(spark):
+    """Columns called like what the stages add pass through them."""
+    names = ("toxicity", "_hash", "n_items", "coverage", "item_id", "row", "id", "fp", "domain", "copies", "key")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and {tuple(r[c] for c in names) for r in after.collect()} == {tuple(range(len(names)))}

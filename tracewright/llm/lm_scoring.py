@@ -1,14 +1,17 @@
 """Language-model scores of texts by a weighted backoff automaton.
 
-N-grams of the training texts become states. A state's arc for a word weighs log10((c(h,w) + m(h) P(w|h')) / (c(h) + m(h))),
-where h' is h without its oldest word and m(h) = STRENGTH * c(h)**SPREAD is the mass that h leaves to it; a word without an arc takes the failure arc to
-h', of weight log10(m(h) / (c(h) + m(h))). One traversal from left to right carries the state and adds up weights. The lowest
-level gives every known word (c + 1) / (N + V + 1), and 1 / (N + V + 1) to all unknown words together, so that each state's probabilities add up to 1.
+States are the learned n-grams of fewer than ORDER words, from the empty one up. A state h has an arc for each word w that was seen after it, of weight
+log10((c(h,w) + m(h) P(w|h')) / (c(h) + m(h))), where h' is h without its oldest word and m(h) = STRENGTH * c(h)**SPREAD is the mass that h leaves to it;
+for any other word its failure arc leads to h', at log10(m(h) / (c(h) + m(h))). One traversal from left to right carries the state and adds up weights. The
+empty state gives every known word (c + 1) / (N + V + 1), and 1 / (N + V + 1) to all unknown words together, so that each state's probabilities add up to 1.
 
 Neither the model nor the texts pass through the driver or are broadcast. Texts are packed in parts of about PART_BYTES. Each
-part sends its distinct n-grams, as sorted 64-bit hashes, to buckets of the hash; a bucket sums the training counts over all parts and
-sends each part the totals of just the n-grams that it sent, in the same order. The part then builds the piece of the automaton that its texts walk through.
-Buckets grow in number, not in size, with the corpus.
+part sends its distinct n-grams, as sorted hashes, to buckets of the hash; a bucket sums the training counts over all parts and
+sends each part the totals of just the n-grams that it sent, in the same order. Words go first, so that N and V are known, then all longer n-grams. From the
+totals the part builds the piece of the automaton that its texts walk through. Buckets grow in number, not in size, with the corpus.
+
+Words are told apart by 96 bits, and buckets and parts split words whose first 64 agree: counts of words are exact. Longer n-grams have 56 bits; of
+10**12 distinct ones about one in 70,000 shares its count with another.
 
 Cases: a null text counts as empty, and an empty text is the end token alone; nothing to learn from leaves one unknown
 word, of probability 1; repeated rows and null ids are rows like others; an empty table gives no rows; extra columns are ignored.
@@ -16,7 +19,7 @@ word, of probability 1; repeated rows and null ids are rows like others; an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import col, written
 from .words import WordHasher, mixed
 
 ORDER, STRENGTH, SPREAD = 3, 3.0, 0.85
@@ -33,9 +36,14 @@ PART_BYTES = 8_000_000
 BUCKET_GRAMS = 2_000_000
 BEGIN, END = np.uint64(0x5DEECE66D), np.uint64(0xB5026F5AA96619E9)
 
+#: Long texts are walked in pieces of so many tokens, each after reading the few tokens before it that its state depends on.
+PIECE = 512
+#: Bits of a longer n-gram's hash that aren't kept.
+LOW = np.uint64(0xFF)
+
 _PART = "part long, ids binary, flags binary, sizes binary, texts binary, n_bytes long"
-_SENT = "bucket long, part long, grams binary, counts binary, n long"
-_TOTAL = "part long, bucket long, totals binary, n long, tokens long, kinds long"
+_SENT = "bucket long, part long, size int, grams binary, checks binary, counts binary, n long"
+_TOTAL = "part long, bucket long, size int, totals binary, n long, tokens long, kinds long"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -76,153 +84,238 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
     return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in ddl.split(", "))])
 
 
+def numbered(keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of one of each distinct (key, check) in order of the keys, the number of every row's, and how many rows each has.
+
+    Checks are looked at only to see whether they agree for a key, which is the rule; where they don't, the pairs are sorted.
+    """
+    found, first, number, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if checks is not None and (checks[first][number] != checks).any():
+        pairs = np.stack([keys, checks.astype(np.uint64)], axis=1)
+        found, first, number, n = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, number.ravel(), n
+
+
 class Part:
-    """The texts of a part as grams: for each order the hash at every place, and the place where its text starts."""
+    """The texts of a part as tokens between begin and end, and its distinct n-grams of each size."""
 
-    def __init__(self, row: dict, order: int):
-        self.order = order
+    def __init__(self, row: dict):
         self.ids, flags, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["flags"], np.uint8), np.frombuffer(row["sizes"], np.int64)
         self.held, self.no_id = (flags & 1) > 0, (flags & 2) > 0
         joined = pa.decompress(row["texts"], row["n_bytes"], codec="zstd", asbytes=True) if row["n_bytes"] else b""
         ends = np.cumsum(sizes)
-        words, counts, _ = WordHasher().hash([joined[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
+        hasher = WordHasher()
+        words, counts, _ = hasher.hash([joined[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], check=True)
         n = len(counts)
         self.lengths = counts + 2  # with begin and end
         self.last = np.cumsum(self.lengths) - 1
         self.first = self.last - self.lengths + 1
-        self.tokens = np.empty(len(words) + 2 * n, np.uint64)
+        self.tokens, self.checks = np.empty(len(words) + 2 * n, np.uint64), np.zeros(len(words) + 2 * n, np.uint32)
         inside = np.ones(len(self.tokens), bool)
         inside[self.first] = inside[self.last] = False
         self.tokens[inside], self.tokens[self.first], self.tokens[self.last] = words, BEGIN, END
+        self.checks[inside] = hasher.checks
         self.owner = np.repeat(np.arange(n), self.lengths)
         self.offset = np.arange(len(self.tokens)) - self.first[self.owner]
 
-    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order, the places that have such a gram and the grams' hashes, whose lowest two bits are the order."""
-        out, running = [], self.tokens
-        for k in range(1, self.order + 1):
-            if k > 1:
-                before = np.concatenate([np.zeros(1, np.uint64), running[:-1]])
-                running = mixed(before * np.uint64(0x9E3779B97F4A7C15)) ^ self.tokens
-            at = np.flatnonzero(self.offset >= k - 1)
-            out.append((at, (mixed(running[at] + np.uint64(k)) & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(k)))
-        return out
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """What distinct() gives first, without numbering the places, in half its memory."""
-        grams, learned = self.grams(), ~self.held
-        taught, every = np.concatenate([g[learned[self.owner[at]]] for at, g in grams]), np.concatenate([g for _, g in grams])
-        del grams
-        found = np.unique(every)
-        del every
-        seen, n = np.unique(taught, return_counts=True)
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where n-grams of that size end, and the n-grams' hashes."""
+        at = np.flatnonzero(self.offset >= size - 1)
+        if size == 1:
+            return at, self.tokens
+        running = self.tokens
+        for _ in range(size - 1):
+            before = np.concatenate([np.zeros(1, np.uint64), running[:-1]])
+            running = mixed(before * np.uint64(0x9E3779B97F4A7C15)) ^ self.tokens
+        return at, mixed(running[at] + np.uint64(size)) & ~LOW
+
+    def distinct(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places where n-grams end, the number of each place's n-gram in order of their hashes, and one place of each n-gram."""
+        at, grams = self.grams(size)
+        first, number, _ = numbered(grams, self.checks if size == 1 else None)
+        return at, number, at[first]
+
+    def counted(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams' sorted hashes, their checks (of words), and their counts in training texts."""
+        at, grams = self.grams(size)
+        learned = ~self.held[self.owner[at]]
+        if size == 1:
+            first, number, _ = numbered(grams, self.checks)
+            return grams[first], self.checks[first], np.bincount(number[learned], minlength=len(first)).astype(np.uint32)
+        seen, n = np.unique(grams[learned], return_counts=True)
+        found = np.unique(grams)
         counts = np.zeros(len(found), np.uint32)
         counts[np.searchsorted(found, seen)] = n
-        return found, counts
+        return found, np.zeros(0, np.uint32), counts
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Sorted distinct grams, their counts in training texts, and for each order the places and the grams' numbers."""
-        grams = self.grams()
-        found, number = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)
-        learned = np.concatenate([~self.held[self.owner[at]] for at, _ in grams])
-        counts = np.bincount(number[learned], minlength=len(found)).astype(np.uint32)
-        cuts = np.cumsum([len(at) for at, _ in grams])[:-1]
-        return found, counts, [(at, x) for (at, _), x in zip(grams, np.split(number, cuts), strict=True)]
 
+def _send(sizes: Sequence[int], bits: int):
+    """Each part's distinct n-grams, cut by the first bits of their hashes."""
 
-def _send(order: int, bits: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found, counts = Part(row, order).counted()
-                bucket = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                rows = []
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)], strict=True):
-                    if b > a:
-                        rows.append({"bucket": int(bucket[a]), "part": row["part"], "grams": pack(np.diff(found[a:b], prepend=np.uint64(0))), "counts": pack(counts[a:b]), "n": b - a})
-                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_SENT))
+                part = Part(row)
+                for size in sizes:
+                    found, checks, counts = part.counted(size)
+                    bucket = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+                    cuts = np.flatnonzero(np.diff(bucket)) + 1
+                    rows = []
+                    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)], strict=True):
+                        if b > a:
+                            rows.append({"bucket": int(bucket[a]), "part": row["part"], "size": size, "grams": pack(np.diff(found[a:b], prepend=np.uint64(0))), "checks": pack(checks[a:b]), "counts": pack(counts[a:b]), "n": b - a})
+                    yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_SENT))
 
     return each
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    """All rows of a bucket: totals of every gram over all parts, and for each part those of its grams."""
-    rows = table.to_pylist()
-    grams = [np.cumsum(unpack(r["grams"], np.uint64, r["n"])) for r in rows]
-    counts = [unpack(r["counts"], np.uint32, r["n"]) for r in rows]
-    found, number = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(number, np.concatenate(counts), len(found)).astype(np.uint64)
-    begin = (mixed(np.array([BEGIN]) + np.uint64(1)) & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(1)
-    word = ((found & np.uint64(3)) == 1) & (found != begin[0])
-    out, at = [], 0
-    for i, r in enumerate(rows):
-        out.append({"part": r["part"], "bucket": r["bucket"], "totals": pack(totals[number[at : at + r["n"]]]), "n": r["n"], "tokens": 0 if i else int(totals[word].sum()), "kinds": 0 if i else int((totals[word] > 0).sum())})
-        at += r["n"]
+    """All rows of a bucket: totals of every n-gram over all parts, and for each part those of its own; of words also their kinds and tokens."""
+    out = []
+    every = table.to_pylist()
+    for size in sorted({r["size"] for r in every}):
+        rows = [r for r in every if r["size"] == size]
+        grams = np.concatenate([np.cumsum(unpack(r["grams"], np.uint64, r["n"])) for r in rows])
+        checks = np.concatenate([unpack(r["checks"], np.uint32, r["n"]) for r in rows]) if size == 1 else None
+        first, number, _ = numbered(grams, checks)
+        totals = np.bincount(number, np.concatenate([unpack(r["counts"], np.uint32, r["n"]) for r in rows]), len(first)).astype(np.uint64)
+        word = grams[first] != BEGIN if size == 1 else np.zeros(len(first), bool)
+        at = 0
+        for i, r in enumerate(rows):
+            out.append({"part": r["part"], "bucket": r["bucket"], "size": size, "totals": pack(totals[number[at : at + r["n"]]]), "n": r["n"], "tokens": 0 if i else int(totals[word].sum()), "kinds": 0 if i else int((totals[word] > 0).sum())})
+            at += r["n"]
     return pa.Table.from_pylist(out, schema=_arrow(_TOTAL))
 
 
 class BackoffAutomaton:
-    """The states and arcs that the texts of one part use."""
-
-    def __init__(self, totals: np.ndarray, tokens: int, kinds: int, strength: float = STRENGTH, spread: float = SPREAD):
-        self.totals, self.tokens, self.kinds, self.strength, self.spread = totals.astype(float), tokens, kinds, strength, spread
-
-    def walk(self, part: Part, places: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every place: the word's training count, its weight at the lowest level, and the weight of the step there.
-
-        The state before a place is the longest n-gram before it that was learned. All places take their steps side by
-        side, level by level from the lowest: an arc if the longer state has one, else the failure arc's weight and the step below.
-        """
-        known = np.zeros(len(part.tokens))
-        at, number = places[0]
-        known[at] = self.totals[number]
-        lowest = np.log10((known + 1) / (self.tokens + self.kinds + 1))
-        step, state = lowest, known
-        for at, number in places[1:]:
-            arcs, history = self.totals[number], state[at - 1]
-            here = history > 0
-            at, arcs, history = at[here], arcs[here], history[here]
-            mass = self.strength * history**self.spread
-            failure = np.log10(mass / (history + mass))
-            step = step.copy()
-            step[at] = np.where(arcs > 0, np.log10((arcs + mass * 10 ** step[at]) / (history + mass)), failure + step[at])
-            state = np.zeros(len(part.tokens))
-            state[at] = arcs
-        return known, lowest, step
-
-
-def scores(part: Part, totals: np.ndarray, tokens: int, kinds: int, strength: float = STRENGTH, spread: float = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, known tokens, score of the lowest level alone, and score of each text."""
-    _, _, places = part.distinct()
-    known, lowest, step = BackoffAutomaton(totals, tokens, kinds, strength, spread).walk(part, places)
-    n, real = len(part.lengths), part.offset > 0
+    """The states and arcs that the texts of one part use.
+
+    State 0 is the empty n-gram; it has an arc for every word. The arcs of the others are sorted by (state, word).
+    """
+
+    def __init__(self, part: Part, totals: dict[int, np.ndarray], tokens: int, kinds: int, order: int, strength: float = STRENGTH, spread: float = SPREAD):
+        self.order = order
+        self.kept, self.failure, self.below = [np.zeros(1)], [np.zeros(1)], [np.zeros(1, np.int64)]  # by state: count, weight and end of the failure arc
+        _, self.word, _ = part.distinct(1)
+        self.count = totals[1].astype(float)
+        self.lowest = np.log10((self.count + 1) / (tokens + kinds + 1))
+        self.words = len(self.count)
+        keys, weights, ends = [], [], []
+        states, weight = 1, self.lowest[self.word]  # by place: the weight of the arc of the n-gram that is one word shorter
+        history = None  # by place: the state of the n-gram of `size` - 1 words that ends there, or -1
+        for size in range(1, order + 1):
+            at, number, one = part.distinct(size) if size > 1 else (np.arange(len(part.tokens)), self.word, None)
+            count = totals[size].astype(float)
+            learned = count > 0
+            if size > 1:  # what is learned has learned parts, unless hashes were equal
+                learned &= (history[one - 1] >= 0) & (history[one] >= 0)
+            state = np.full(len(count), -1)
+            if size < order:
+                state[learned] = states + np.arange(int(learned.sum()))
+                states += int(learned.sum())
+            here = np.full(len(part.tokens), -1)
+            here[at] = state[number]
+            if size == 1:
+                self.root_to = np.maximum(state, 0)
+                below = np.zeros(int(learned.sum()), np.int64)
+            else:
+                one = one[learned]
+                source = history[one - 1]
+                mass = strength * self.kept_of(source) ** spread
+                step = np.log10((count[learned] + mass * 10 ** weight[one]) / (self.kept_of(source) + mass))
+                keys.append(source * self.words + self.word[one])
+                weights.append(step)
+                below = history[one]
+                ends.append(state[learned] if size < order else below)
+                by_gram = np.zeros(len(count))
+                by_gram[learned] = step
+                weight = np.zeros(len(part.tokens))
+                weight[at] = by_gram[number]
+            if size < order:
+                mass = strength * count[learned] ** spread
+                self.kept.append(count[learned])
+                self.failure.append(np.log10(mass / (count[learned] + mass)))
+                self.below.append(below)
+                self._all = np.concatenate(self.kept)
+            history = here
+        self.failure, self.below = np.concatenate(self.failure), np.concatenate(self.below)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        sort = np.argsort(key, kind="stable")
+        self.key, self.weight, self.end = np.append(key[sort], -1), np.append((np.concatenate(weights) if weights else np.zeros(0))[sort], 0.0), np.append((np.concatenate(ends) if ends else np.zeros(0, np.int64))[sort], 0)
+
+    def kept_of(self, state: np.ndarray) -> np.ndarray:
+        return self._all[state]
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each state's next state and the weight of the way there: an arc, or failure arcs until a state has one."""
+        weight, out, left, at = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state)), state
+        while len(left):
+            key = at * self.words + word[left]
+            place = np.searchsorted(self.key[:-1], key)
+            arc, root = (self.key[place] == key) & (at > 0), at == 0
+            weight[left[arc]] += self.weight[place[arc]]
+            out[left[arc]] = self.end[place[arc]]
+            weight[left[root]] += self.lowest[word[left[root]]]
+            out[left[root]] = self.root_to[word[left[root]]]
+            rest = ~(arc | root)
+            weight[left[rest]] += self.failure[at[rest]]
+            left, at = left[rest], self.below[at[rest]]
+        return out, weight
+
+    def walk(self, part: Part) -> np.ndarray:
+        """The weight of the step to every token but the begins. Texts are walked side by side, each from left to right, long ones in pieces."""
+        n = -(-(part.lengths - 1) // PIECE)
+        text = np.repeat(np.arange(len(n)), n)
+        start = part.first[text] + 1 + PIECE * (np.arange(len(text)) - (np.cumsum(n) - n)[text])
+        stop = np.minimum(start + PIECE, part.last[text] + 1)
+        at = np.maximum(start - max(1, self.order - 1), part.first[text])
+        sort = np.argsort(at - stop, kind="stable")
+        at, start, stop = at[sort], start[sort], stop[sort]
+        out, state = np.zeros(len(part.tokens)), np.zeros(len(at), np.int64)
+        while len(at):
+            state, weight = self.read(state, self.word[at])
+            counts = at >= start
+            out[at[counts]] = weight[counts]
+            at = at + 1
+            going = at < stop
+            at, start, stop, state = at[going], start[going], stop[going], state[going]
+        return out
+
+
+def scores(part: Part, totals: dict[int, np.ndarray], tokens: int, kinds: int, order: int, strength: float = STRENGTH, spread: float = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, known tokens, score of the empty state alone, and score of each text."""
+    automaton = BackoffAutomaton(part, totals, tokens, kinds, order, strength, spread)
+    step, real, n = automaton.walk(part), part.offset > 0, len(part.lengths)
     total = lambda x: np.bincount(part.owner[real], x[real], n)
-    return part.lengths - 1, total((known > 0).astype(float)).astype(np.int64), total(lowest), total(step)
+    return part.lengths - 1, total((automaton.count[automaton.word] > 0).astype(float)).astype(np.int64), total(automaton.lowest[automaton.word]), total(step)
 
 
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows that aren't held out are learned from."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    parts = written(arrow_rows(rows).mapInArrow(_parts, _PART), "lm-parts")
+    rows = docs.select(col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), col(text).cast("string").alias("text"))
+    parts = written(rows.mapInArrow(_parts, _PART), "lm-parts")
     size = parts.agg(F.sum("n_bytes")).first()[0] or 0
-    # as many grams a word as the order says, a word taking about six bytes: no part of the result depends on this guess
-    bits = max(0, int(np.ceil(np.log2(max(1, size / 6 * order / BUCKET_GRAMS)))))
-    sent = parts.mapInArrow(_send(order, bits), _SENT)
-    totals = written(sent.groupBy("bucket").applyInArrow(_sum, _TOTAL), "lm-totals")
-    tokens, kinds = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+
+    def exchanged(sizes: Sequence[int]) -> DataFrame:
+        # a word takes about six bytes: no part of the result depends on this guess
+        bits = max(0, int(np.ceil(np.log2(max(1, size / 6 * len(sizes) / BUCKET_GRAMS)))))
+        sent = parts.mapInArrow(_send(sizes, bits), _SENT).repartition(1 << bits, "bucket")
+        return sent.groupBy("bucket").applyInArrow(_sum, _TOTAL)
+
+    words = written(exchanged([1]), "lm-words")
+    tokens, kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    totals = words.unionByName(exchanged(range(2, order + 1))) if order > 1 else words
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        mine = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-        counts = np.concatenate([unpack(r["totals"], np.uint64, r["n"]) for r in mine]) if mine else np.zeros(0, np.uint64)
+        out, mine = [], sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        counts = {n: np.concatenate([np.zeros(0, np.uint64), *(unpack(r["totals"], np.uint64, r["n"]) for r in mine if r["size"] == n)]) for n in range(1, order + 1)}
         for row in left.to_pylist():
-            part = Part(row, order)
-            n, known, base, score = scores(part, counts, tokens, kinds)
+            part = Part(row)
+            n, known, base, score = scores(part, counts, tokens, kinds, order)
             ids = pa.array(part.ids, mask=part.no_id)
             out.append(pa.table([ids, pa.array(part.held), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], schema=_arrow(_SCORE)))
         return pa.concat_tables(out) if out else _arrow(_SCORE).empty_table()

@@ -29,7 +29,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, expected=docs.count())
+    found = exact_dedup.deduplicate(docs, index)
+    index.forget()
+    return found
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     found = lm_scoring.scored(table(spark, sf_dir, "documents"), held_out)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")))
+    return found.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

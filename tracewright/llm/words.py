@@ -30,7 +30,8 @@ class WordHasher:
     """64-bit hashes of words: sums of byte values times powers of an odd number, shifted to the word's start and mixed.
 
     Words are runs of bytes other than separators (white space, and ASCII punctuation too if `punctuation`), with A-Z
-    lower-cased. `prefixes` gives hashes of the first k bytes as well.
+    lower-cased. `prefixes` gives hashes of the first k bytes as well. After each call with `check`, `checks` holds 32 bits more of every word: a
+    hash of its bytes whatever their order, so that of two words with the same 64 bits only ones of the same letters can share both.
     """
 
     def __init__(self, punctuation: bool = False):
@@ -39,7 +40,9 @@ class WordHasher:
         lower = np.arange(256, dtype=np.uint64)
         lower[65:91] += np.uint64(32)
         self.value = mixed((lower + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+        self.letter = mixed((lower + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
         self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.checks = np.zeros(0, np.uint32)
 
     def _grow(self, n: int) -> None:
         if n > len(self.powers):
@@ -48,6 +51,16 @@ class WordHasher:
             steps[0] = back[0] = 1
             self.powers, self.inverses = np.multiply.accumulate(steps), np.multiply.accumulate(back)
 
+    def _checks(self, data: np.ndarray) -> np.ndarray:
+        """The checks of the words of data, which ends with a separator."""
+        sep = self.separator[data]
+        edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
+        if len(data) and not sep[0]:
+            edge = np.concatenate([[0], edge])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letter[data], out=sums[1:])
+        return (mixed(sums[edge[1::2]] - sums[edge[0::2]]) >> np.uint64(32)).astype(np.uint32)
+
     def _window(self, data: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Starts, hashes and prefix hashes of the words of data, which ends with a separator."""
         self._grow(len(data) + 1)
@@ -84,10 +97,10 @@ class WordHasher:
             first, held, size = i + 1, [], 0
         yield first, len(texts), b" ".join(held)
 
-    def hash(self, texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def hash(self, texts: list[bytes], prefixes: tuple[int, ...] = (), check: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Hashes of the words of all texts in order, the number of words of each text, and hashes of prefixes."""
         counts = np.zeros(len(texts), np.int64)
-        hashes, fronts = [], [[] for _ in prefixes]
+        hashes, fronts, checks = [], [[] for _ in prefixes], [np.zeros(0, np.uint32)]
         for first, last, joined in self.windows(texts):
             starts, words, heads = self._window(np.frombuffer(joined + b" ", np.uint8), prefixes)
             if last - first == 1:
@@ -96,8 +109,11 @@ class WordHasher:
                 bounds = np.cumsum([len(t) + 1 for t in texts[first:last]])
                 counts[first:last] += np.diff(np.searchsorted(starts, bounds, "left"), prepend=0)
             hashes.append(words)
+            if check:
+                checks.append(self._checks(np.frombuffer(joined + b" ", np.uint8)))
             for kept, new in zip(fronts, heads, strict=True):
                 kept.append(new)
+        self.checks = np.concatenate(checks)
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         return join(hashes), counts, [join(x) for x in fronts]
 
