@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, mixing, sharding, simhash, toxicity
-from tracewright.llm.common import written
+from tracewright.llm.common import free_name, whole_row, written
 from tracewright.llm.queries import MIX_SEED, MIX_SHARE, SHARDS, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score at least the threshold; the model learns from all labels."""
-    return toxicity.scored(docs, table(spark, sf_dir, "labels")).where(F.col("toxicity") < toxicity.THRESHOLD).drop("toxicity")
+    score = free_name(docs, "toxicity")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels"), out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item."""
-    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_items = 0").select(*docs.columns)
+    held = docs.select(whole_row(docs).alias("row"), "text")
+    return decontamination.contamination(held, table(spark, sf_dir, "benchmark")).where("n_items = 0").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
