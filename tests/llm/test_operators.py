@@ -405,22 +405,25 @@ def lm_row(texts, flags=None):
 
 def test_lm_counts_as_numbered():
     part = lm_scoring.Part(lm_row(["a b a b c", "", "b a b", "a b c a"], [0, 0, 1, 2]))
-    for size in (1, 2, 3):
-        found, _, counts = part.counted(size)
+    _, _, _, word = part.words()
+    lone = word == word[5]  # c
+    for size in (2, 3):
+        found, counts, shared = part.counted(size, lone)
         at, number, one = part.distinct(size)
-        assert len(one) == len(found) and (np.diff(found.astype(object)) > 0).all()
+        assert len(one) == len(found) and (found[1:] > found[:-1]).all()
         grams = part.grams(size)[1]
         assert (grams == found[number]).all() and counts.tolist() == np.bincount(number[~part.held[part.owner[at]]], minlength=len(found)).tolist()
+        assert shared.tolist() == [not lone[i - size + 1 : i + 1].any() for i in one.tolist()]
 
 
 def test_lm_words_of_one_hash_are_split(monkeypatch):
     """Words whose 64 bits agree are told apart by their checks, in a part and in a bucket."""
-    keys, checks = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 0, 2, 1, 0], np.uint32)
+    keys, checks = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 0, 2, 1, 0], np.uint16)
     first, number, n = lm_scoring.numbered(keys, checks)
     assert keys[first].tolist() == [5, 7, 7] and checks[first].tolist() == [0, 1, 2] and number.tolist() == [1, 0, 2, 1, 0] and n.tolist() == [2, 2, 1]
-    sent = lambda part, check, count: {"bucket": 0, "part": part, "size": 1, "grams": lm_scoring.pack(np.array([9], np.uint64)), "checks": lm_scoring.pack(np.array([check], np.uint32)), "counts": lm_scoring.pack(np.array([count], np.uint32)), "n": 1}
+    sent = lambda part, check, count: {"bucket": 0, "part": part, "size": 1, "grams": lm_scoring.pack(np.array([9], np.uint64)), "checks": lm_scoring.pack(np.array([check], np.uint16)), "counts": lm_scoring.pack(np.array([count], np.uint32)), "n": 1}
     rows = lm_scoring._sum(pa.Table.from_pylist([sent(1, 4, 10), sent(2, 6, 3), sent(3, 4, 1)], schema=lm_scoring._arrow(lm_scoring._SENT))).to_pylist()
-    assert [lm_scoring.unpack(r["totals"], np.uint64, 1)[0] for r in rows] == [11, 3, 11] and (rows[0]["tokens"], rows[0]["kinds"]) == (14, 2)
+    assert [lm_scoring.unpack(r["totals"], np.uint64, 1)[0] for r in rows] == [2 * 11 + 1, 2 * 3, 2 * 11 + 1] and (rows[0]["tokens"], rows[0]["kinds"]) == (14, 2)
     hasher = WordHasher()
     hasher.hash([b"abc cab xyz", b"ABC"], check=True)
     assert hasher.checks[0] == hasher.checks[1] == hasher.checks[3] != hasher.checks[2]
@@ -432,7 +435,7 @@ def test_lm_pieces_carry_the_state(monkeypatch):
     texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (700, 3, 0, 64, 65)]
     for order in (1, 2, 3, 4):
         part = lm_scoring.Part(lm_row(texts, [0, 1, 0, 0, 1]))
-        totals = {k: part.counted(k)[2].astype(np.uint64) for k in range(1, order + 1)}
+        totals = {1: part.words()[2].astype(np.uint64)} | {k: part.counted(k, np.zeros(len(part.tokens), bool))[1].astype(np.uint64) for k in range(2, order + 1)}
         tokens, kinds = int(totals[1].sum()), len(totals[1])
         whole = lm_scoring.BackoffAutomaton(part, totals, tokens, kinds, order).walk(part)
         monkeypatch.setattr(lm_scoring, "PIECE", 7)

@@ -5,12 +5,13 @@ log10((c(h,w) + m(h) P(w|h')) / (c(h) + m(h))), where h' is h without its oldest
 for any other word its failure arc leads to h', at log10(m(h) / (c(h) + m(h))). One traversal from left to right carries the state and adds up weights. The
 empty state gives every known word (c + 1) / (N + V + 1), and 1 / (N + V + 1) to all unknown words together, so that each state's probabilities add up to 1.
 
-Neither the model nor the texts pass through the driver or are broadcast. Texts are packed in parts of about PART_BYTES. Each
-part sends its distinct n-grams, as sorted hashes, to buckets of the hash; a bucket sums the training counts over all parts and
-sends each part the totals of just the n-grams that it sent, in the same order. Words go first, so that N and V are known, then all longer n-grams. From the
+Neither the model nor the texts pass through the driver or are broadcast. Texts are packed in parts of about PART_BYTES, a table bucketed by part, so that no
+text is shuffled. Each part sends its distinct n-grams, as sorted hashes, to buckets of the hash; a bucket sums the training counts over all parts and
+sends each part the totals of just the n-grams that it sent, in the same order. Words go first, and come back with N, V and whether other parts have them too. A
+longer n-gram with a word that no other part has is in no other part either: its count is known where it is, and it isn't sent. From the
 totals the part builds the piece of the automaton that its texts walk through. Buckets grow in number, not in size, with the corpus.
 
-Words are told apart by 96 bits, and buckets and parts split words whose first 64 agree: counts of words are exact. Longer n-grams have 56 bits; of
+Words are told apart by 80 bits, and buckets and parts split words whose first 64 agree: counts of words are exact. Longer n-grams have 56 bits; of
 10**12 distinct ones about one in 70,000 shares its count with another.
 
 Cases: a null text counts as empty, and an empty text is the end token alone; nothing to learn from leaves one unknown
@@ -23,17 +24,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import bucketed, col, pieces, written
 from .words import WordHasher, mixed
 
 ORDER, STRENGTH, SPREAD = 3, 3.0, 0.85
 PART_BYTES = 8_000_000
 #: N-grams that a bucket gets, about.
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 1_000_000
 BEGIN, END = np.uint64(0x5DEECE66D), np.uint64(0xB5026F5AA96619E9)
 
 #: Long texts are walked in pieces of so many tokens, each after reading the few tokens before it that its state depends on.
@@ -114,19 +116,17 @@ class Part:
         self.lengths = counts + 2  # with begin and end
         self.last = np.cumsum(self.lengths) - 1
         self.first = self.last - self.lengths + 1
-        self.tokens, self.checks = np.empty(len(words) + 2 * n, np.uint64), np.zeros(len(words) + 2 * n, np.uint32)
+        self.tokens, self.checks = np.empty(len(words) + 2 * n, np.uint64), np.zeros(len(words) + 2 * n, np.uint16)
         inside = np.ones(len(self.tokens), bool)
         inside[self.first] = inside[self.last] = False
         self.tokens[inside], self.tokens[self.first], self.tokens[self.last] = words, BEGIN, END
-        self.checks[inside] = hasher.checks
+        self.checks[inside] = hasher.checks >> np.uint32(16)
         self.owner = np.repeat(np.arange(n), self.lengths)
         self.offset = np.arange(len(self.tokens)) - self.first[self.owner]
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The places where n-grams of that size end, and the n-grams' hashes."""
         at = np.flatnonzero(self.offset >= size - 1)
-        if size == 1:
-            return at, self.tokens
         running = self.tokens
         for _ in range(size - 1):
             before = np.concatenate([np.zeros(1, np.uint64), running[:-1]])
@@ -136,39 +136,64 @@ class Part:
     def distinct(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places where n-grams end, the number of each place's n-gram in order of their hashes, and one place of each n-gram."""
         at, grams = self.grams(size)
-        first, number, _ = numbered(grams, self.checks if size == 1 else None)
+        first, number, _ = numbered(grams)
         return at, number, at[first]
 
-    def counted(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct n-grams' sorted hashes, their checks (of words), and their counts in training texts."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words' sorted hashes, their checks, their counts in training texts, and every place's number among them."""
+        first, number, _ = numbered(self.tokens, self.checks)
+        return self.tokens[first], self.checks[first], np.bincount(number[~self.held[self.owner]], minlength=len(first)).astype(np.uint32), number
+
+    def counted(self, size: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams' sorted hashes, their counts in training texts, and whether other parts may have them. alone: places whose word no other part has."""
         at, grams = self.grams(size)
-        learned = ~self.held[self.owner[at]]
-        if size == 1:
-            first, number, _ = numbered(grams, self.checks)
-            return grams[first], self.checks[first], np.bincount(number[learned], minlength=len(first)).astype(np.uint32)
-        seen, n = np.unique(grams[learned], return_counts=True)
-        found = np.unique(grams)
-        counts = np.zeros(len(found), np.uint32)
-        counts[np.searchsorted(found, seen)] = n
-        return found, np.zeros(0, np.uint32), counts
+        before = np.concatenate([[0], np.cumsum(alone)])
+        marks = (~self.held[self.owner[at]]).astype(np.uint64) | (before[at + 1] == before[at + 1 - size]).astype(np.uint64) << np.uint64(1)
+        grams |= marks  # in bits that the hash leaves free
+        grams.sort()
+        start = np.flatnonzero(np.concatenate([[True], (grams[1:] ^ grams[:-1]) > LOW])) if len(grams) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(grams & np.uint64(1), start) if len(start) else np.zeros(0)
+        shared = np.maximum.reduceat(grams & np.uint64(2), start) > 0 if len(start) else np.zeros(0, bool)
+        return grams[start] & ~LOW, counts.astype(np.uint32), shared
+
+
+def _rows(part: int, size: int, bits: int, found: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> list[dict]:
+    """Rows of a part's sorted hashes, cut by their first bits."""
+    bucket = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    return [
+        {"bucket": int(bucket[a]), "part": part, "size": size, "grams": pack(np.diff(found[a:b], prepend=np.uint64(0))), "checks": pack(checks[a:b]), "counts": pack(counts[a:b]), "n": b - a}
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)], strict=True)
+        if b > a
+    ]
+
+
+def _send_words(bits: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(_rows(row["part"], 1, bits, *Part(row).words()[:3]), schema=_arrow(_SENT))
 
+    return each
 
-def _send(sizes: Sequence[int], bits: int):
-    """Each part's distinct n-grams, cut by the first bits of their hashes."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = Part(row)
-                for size in sizes:
-                    found, checks, counts = part.counted(size)
-                    bucket = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
-                    cuts = np.flatnonzero(np.diff(bucket)) + 1
-                    rows = []
-                    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)], strict=True):
-                        if b > a:
-                            rows.append({"bucket": int(bucket[a]), "part": row["part"], "size": size, "grams": pack(np.diff(found[a:b], prepend=np.uint64(0))), "checks": pack(checks[a:b]), "counts": pack(counts[a:b]), "n": b - a})
-                    yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_SENT))
+def _received(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of a part's n-grams of a size in order, and whether other parts have them."""
+    rows = sorted((r for r in table.to_pylist() if r["size"] == size), key=lambda r: r["bucket"])
+    both = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["totals"], np.uint64, r["n"]) for r in rows)])
+    return both >> np.uint64(1), (both & np.uint64(1)) > 0
+
+
+def _send_grams(order: int, bits: int):
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            part = Part(row)
+            alone = ~_received(right, 1)[1][part.words()[3]]
+            for size in range(2, order + 1):
+                found, counts, shared = part.counted(size, alone)
+                out.append(pa.Table.from_pylist(_rows(row["part"], size, bits, found[shared], np.zeros(0, np.uint16), counts[shared]), schema=_arrow(_SENT)))
+        return pa.concat_tables(out) if out else _arrow(_SENT).empty_table()
 
     return each
 
@@ -176,17 +201,16 @@ def _send(sizes: Sequence[int], bits: int):
 def _sum(table: pa.Table) -> pa.Table:
     """All rows of a bucket: totals of every n-gram over all parts, and for each part those of its own; of words also their kinds and tokens."""
     out = []
-    every = table.to_pylist()
-    for size in sorted({r["size"] for r in every}):
-        rows = [r for r in every if r["size"] == size]
+    for size in sorted(set(table.column("size").to_pylist())):
+        rows = table.filter(pc.equal(table.column("size"), size)).to_pylist()
         grams = np.concatenate([np.cumsum(unpack(r["grams"], np.uint64, r["n"])) for r in rows])
-        checks = np.concatenate([unpack(r["checks"], np.uint32, r["n"]) for r in rows]) if size == 1 else None
-        first, number, _ = numbered(grams, checks)
+        checks = np.concatenate([unpack(r["checks"], np.uint16, r["n"]) for r in rows]) if size == 1 else None
+        first, number, n = numbered(grams, checks)
         totals = np.bincount(number, np.concatenate([unpack(r["counts"], np.uint32, r["n"]) for r in rows]), len(first)).astype(np.uint64)
         word = grams[first] != BEGIN if size == 1 else np.zeros(len(first), bool)
-        at = 0
+        both, at = totals << np.uint64(1) | (n > 1).astype(np.uint64), 0
         for i, r in enumerate(rows):
-            out.append({"part": r["part"], "bucket": r["bucket"], "size": size, "totals": pack(totals[number[at : at + r["n"]]]), "n": r["n"], "tokens": 0 if i else int(totals[word].sum()), "kinds": 0 if i else int((totals[word] > 0).sum())})
+            out.append({"part": r["part"], "bucket": r["bucket"], "size": size, "totals": pack(both[number[at : at + r["n"]]]), "n": r["n"], "tokens": 0 if i else int(totals[word].sum()), "kinds": 0 if i else int((totals[word] > 0).sum())})
             at += r["n"]
     return pa.Table.from_pylist(out, schema=_arrow(_TOTAL))
 
@@ -200,7 +224,7 @@ class BackoffAutomaton:
     def __init__(self, part: Part, totals: dict[int, np.ndarray], tokens: int, kinds: int, order: int, strength: float = STRENGTH, spread: float = SPREAD):
         self.order = order
         self.kept, self.failure, self.below = [np.zeros(1)], [np.zeros(1)], [np.zeros(1, np.int64)]  # by state: count, weight and end of the failure arc
-        _, self.word, _ = part.distinct(1)
+        self.word = part.words()[3]
         self.count = totals[1].astype(float)
         self.lowest = np.log10((self.count + 1) / (tokens + kinds + 1))
         self.words = len(self.count)
@@ -297,24 +321,32 @@ def scores(part: Part, totals: dict[int, np.ndarray], tokens: int, kinds: int, o
 def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows that aren't held out are learned from."""
     rows = docs.select(col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), col(text).cast("string").alias("text"))
-    parts = written(rows.mapInArrow(_parts, _PART), "lm-parts")
-    size = parts.agg(F.sum("n_bytes")).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = bucketed(rows.mapInArrow(_parts, _PART), "lm_parts", "part", 1 << int(np.ceil(np.log2(max(1, size / PART_BYTES)))))
+
+    def bits(grams: float) -> int:
+        # how many n-grams there are is guessed, a word taking about six bytes: no result depends on it
+        return max(0, int(np.ceil(np.log2(max(1, grams / BUCKET_GRAMS)))))
 
-    def exchanged(sizes: Sequence[int]) -> DataFrame:
-        # a word takes about six bytes: no part of the result depends on this guess
-        bits = max(0, int(np.ceil(np.log2(max(1, size / 6 * len(sizes) / BUCKET_GRAMS)))))
-        sent = parts.mapInArrow(_send(sizes, bits), _SENT).repartition(1 << bits, "bucket")
-        return sent.groupBy("bucket").applyInArrow(_sum, _TOTAL)
+    def summed(sent: DataFrame, bits: int) -> DataFrame:
+        return sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_sum, _TOTAL)
 
-    words = written(exchanged([1]), "lm-words")
+    few, many = bits(size / 24), bits(size / 6 * (order - 1))
+    words = written(summed(parts.mapInArrow(_send_words(few), _SENT), few), "lm-words")
     tokens, kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    totals = words.unionByName(exchanged(range(2, order + 1))) if order > 1 else words
+    by_part = words.groupBy("part")
+    totals = words.unionByName(summed(parts.groupBy("part").cogroup(by_part).applyInArrow(_send_grams(order, many), _SENT), many)) if order > 1 else words
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, mine = [], sorted(right.to_pylist(), key=lambda r: r["bucket"])
-        counts = {n: np.concatenate([np.zeros(0, np.uint64), *(unpack(r["totals"], np.uint64, r["n"]) for r in mine if r["size"] == n)]) for n in range(1, order + 1)}
+        out = []
         for row in left.to_pylist():
             part = Part(row)
+            counts = {1: _received(right, 1)[0]}
+            alone = ~_received(right, 1)[1][part.words()[3]]
+            for n in range(2, order + 1):
+                _, own, shared = part.counted(n, alone)
+                counts[n] = own.astype(np.uint64)
+                counts[n][shared] = _received(right, n)[0]
             n, known, base, score = scores(part, counts, tokens, kinds, order)
             ids = pa.array(part.ids, mask=part.no_id)
             out.append(pa.table([ids, pa.array(part.held), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], schema=_arrow(_SCORE)))
