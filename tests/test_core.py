@@ -72,6 +72,17 @@ def test_merges_and_pads(spark):
     assert spans(ranges.covered(segs, segs.where("kind = 'a'").withColumn("e", F.lit(10)), "left_anti")) == [(15, 20), (25, 26)]
 
 
+def test_interval_relations_by_brute_force(spark):
+    rng = np.random.default_rng(21)
+    make = lambda n: [(str(rng.integers(3)), int(a), int(a + rng.integers(0, 12))) for a in rng.integers(0, 80, n)]
+    left, right = [*make(120), (None, 1, 2)], [*make(15), (None, 0, 9)]
+    table = lambda rows: spark.createDataFrame(rows, "trace_id string, s long, e long").repartition(3)
+    for f, meets in ((ranges.overlapping, lambda x, y: x[1] <= y[2] and y[1] <= x[2]), (ranges.covered, lambda x, y: y[1] <= x[1] and x[2] <= y[2])):
+        for how in ("left_semi", "left_anti"):
+            expected = [x for x in left if any(x[0] is not None and x[0] == y[0] and meets(x, y) for y in right) == (how == "left_semi")]
+            assert sorted(map(str, map(tuple, f(table(left), table(right), how).collect()))) == sorted(map(str, expected))
+
+
 def test_masks(spark):
     assert [r.m for r in trace(spark, [-1, 0, 5, float("nan"), float("inf"), None]).select(masks.missing_counts(F.col("v")).alias("m")).collect()] == [True, True, False, True, True, True]
     flat = [7.0] * 40 + [1.0, 2.0] * 5 + [9.0] * 10
@@ -113,7 +124,17 @@ def test_statistics(spark):
     assert (r.w_plus, r.w_minus, r.n) == (2 + 3.5 + 5 + 6, 3.5 + 1, 6) and r.rank_biserial == pytest.approx(12 / 21)
     p = spark.createDataFrame([(1, "a", 0.01), (1, "b", 0.04), (1, "c", 0.03), (1, "d", None)], "g int, u string, p double")
     assert {x.u: x.holm for x in stats.holm(p, ["g"], "p", ["u"]).collect()} == {"a": pytest.approx(0.03), "c": pytest.approx(0.06), "b": pytest.approx(0.06), "d": None}
-    assert stats.sign_flips(d, ["g"], "unit").first().p > 0.1
+    flips = [abs(sum(x * (1 if m >> i & 1 else -1) for i, x in enumerate([1.0, -2.0, 2.0, 3.0, -0.5, 4.0]))) for m in range(64)]
+    exact = (sum(t >= 7.5 - 1e-12 for t in flips) + 1) / 65
+    assert stats.sign_flips(d, ["g"], "unit").first().p == pytest.approx(exact)
+    assert stats.sign_flips(d, ["g"], "unit", draws=20_000, exact_up_to=0).first().p == pytest.approx(exact, abs=0.02)
+    assert stats.sign_flips(d.where("unit < 5"), ["g"], "unit").first().p is None
+    row = stats.signed_ranks(d.withColumn("d", F.col("d") * (1 + F.col("unit") / 100)), ["g"]).select(stats.wilcoxon_p("w_plus", "n", "ties").alias("p"), stats.wilcoxon_p_less("w_plus", "n", "ties").alias("less"), "w_plus").first()
+    sums = [sum(k + 1 for k in range(6) if m >> k & 1) for m in range(64)]
+    assert row.p == pytest.approx(2 * min(sum(x >= row.w_plus for x in sums), sum(x <= row.w_plus for x in sums)) / 64) and row.less == pytest.approx(sum(x <= row.w_plus for x in sums) / 64)
+    assert stats._wilcoxon(600.0, 60, 0.0, False) == pytest.approx(math.erfc(abs(600 - 915) / math.sqrt(60 * 61 * 121 / 24) / math.sqrt(2)))
+    few = stats.bootstrap_mean(d.where("unit < 2"), ["g"], "unit", "d", draws=20).first()
+    assert few.low is None and stats.bootstrap_mean(d, ["g"], "unit", "d", draws=500).first().low < 1.07 and stats.POISSON[6] == pytest.approx(0.9999167588507119) and len(stats.POISSON) > 12
 
 
 def test_triggers(spark):
@@ -122,6 +143,11 @@ def test_triggers(spark):
     found = spark.createDataFrame([("t", 8, 12), ("t", 30, 30)], "trace_id string, s long, e long")
     centres = spark.createDataFrame([("t", 9), ("t", 11), ("t", 50)], "trace_id string, c long")
     assert {(x.c, x.s) for x in triggers.matched(found, centres, 5).collect()} == {(9, 8), (11, None), (50, None)}
+    # the first one within reach, not the nearest; each is taken once
+    found = spark.createDataFrame([("t", 6, 6), ("t", 10, 10), ("t", 14, 14), ("u", 100, 100)], "trace_id string, s long, e long")
+    centres = spark.createDataFrame([("t", 10), ("t", 11), ("t", 12), ("t", 13), ("u", 10), ("v", 10)], "trace_id string, c long")
+    assert {(x.trace_id, x.c, x.s) for x in triggers.matched(found, centres, 5).collect()} == {("t", 10, 6), ("t", 11, 10), ("t", 12, 14), ("t", 13, None), ("u", 10, None), ("v", 10, None)}
+    assert {(x.trace_id, x.keep_rate, x.false_rate) for x in triggers.rates(found, centres, 5).collect()} == {("t", 0.75, 0.0), ("u", 0.0, 1.0), ("v", 0.0, None)}
 
 
 def test_names(spark):
@@ -232,18 +258,6 @@ def test_query_matches_its_sql(spark, duck, name):
     assert canonical(tuple(r) for r in df.select(*columns).collect()) == canonical(sql.fetchall())
 
 
-def test_smoothing_and_tapers():
-    t = np.arange(101) / 10
-    y = 1 + t - 0.5 * t**2 + 0.1 * t**3
-    assert kernels.savitzky_golay(y, 11, 3) == pytest.approx(y, abs=1e-8) and kernels.savitzky_golay(y[:3], 11, 3) == pytest.approx(y[:3])
-    v = kernels.slepian(128, 4.0, 7)
-    assert v @ v.T == pytest.approx(np.eye(7), abs=1e-9)
-    x = np.random.default_rng(7).normal(size=512)
-    assert kernels.multitaper(x, 2.0).sum() * 2 / 512 == pytest.approx(x.var(), rel=0.1)
-    ar = kernels.autoregressive_noise(np.convolve(x, np.ones(5) / 5, "same"), 400, 3)
-    assert len(ar) == 400 and np.corrcoef(ar[1:], ar[:-1])[0, 1] > 0.5 and (ar == kernels.autoregressive_noise(np.convolve(x, np.ones(5) / 5, "same"), 400, 3)).all()
-
-
 def test_settings():
     from tracewright.config import settings
 

@@ -298,46 +298,3 @@ def singular_spectrum(x: np.ndarray, hole: np.ndarray, window: int, rank: int =
 
 
 # Smoothing and other spectra.
-
-
-def savitzky_golay(x: np.ndarray, width: int, degree: int = 3) -> np.ndarray:
-    """Least-squares polynomials over an odd width; at the ends, the first and last full window's polynomial goes on."""
-    width = min(width | 1, len(x) - (len(x) + 1) % 2)
-    if width <= degree:
-        return x.copy()
-    half, t = width // 2, np.arange(width) - width // 2
-    fit = np.linalg.pinv(np.vander(t, degree + 1, increasing=True))
-    out = np.convolve(x, fit[0][::-1], mode="same")
-    for part, at in ((x[:width], slice(0, half)), (x[-width:], slice(len(x) - half, len(x)))):
-        places = t[:half] if at.start == 0 else t[half + 1 :]
-        out[at] = np.vander(places, degree + 1, increasing=True) @ (fit @ part)
-    return out
-
-
-def slepian(n: int, nw: float, k: int) -> np.ndarray:
-    """The k sequences of length n that are most concentrated in the band, from the commuting tridiagonal matrix."""
-    i = np.arange(n)
-    diagonal, beside = ((n - 1 - 2 * i) / 2) ** 2 * np.cos(2 * np.pi * nw / n), i[1:] * (n - i[1:]) / 2
-    _, v = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
-    return v[:, ::-1][:, :k].T
-
-
-def multitaper(x: np.ndarray, fs: float, nw: float = 4.0, k: int = 7) -> np.ndarray:
-    """Power density averaged over tapers, one-sided."""
-    tapers = slepian(len(x), nw, k)
-    p = np.mean(np.abs(np.fft.rfft(tapers * (x - x.mean()), axis=1)) ** 2, axis=0) / fs
-    p[1 : -1 if len(x) % 2 == 0 else None] *= 2
-    return p
-
-
-def autoregressive_noise(reference: np.ndarray, n: int, seed: int, order: int = 20) -> np.ndarray:
-    """A seeded series with the autocorrelation of a reference (Yule-Walker)."""
-    x = reference - reference.mean()
-    order = min(order, max(1, len(x) // 4))
-    r = np.array([x[: len(x) - k] @ x[k:] for k in range(order + 1)]) / len(x)
-    a = np.linalg.solve(r[np.abs(np.subtract.outer(np.arange(order), np.arange(order)))] + np.eye(order) * 1e-9 * max(r[0], 1e-12), r[1:])
-    noise = np.random.default_rng(seed).normal(size=n + 10 * order) * np.sqrt(max(r[0] - a @ r[1:], 0))
-    out = np.zeros(len(noise))
-    for i in range(order, len(noise)):
-        out[i] = a @ out[i - order : i][::-1] + noise[i]
-    return out[-n:] + reference.mean()

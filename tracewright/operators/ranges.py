@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 4096
@@ -18,19 +18,30 @@ def samples_in(samples: DataFrame, segments: DataFrame, how: str = "inner", s: s
     return left.join(right, within, how).select(*samples.columns, *(F.col(f"_r_{c}").alias(c) for c in rest if both))
 
 
+def _reached(left: DataFrame, right: DataFrame, keys: tuple[str, ...], at: str, least: str, how: str, s: str = "s", e: str = "e") -> DataFrame:
+    """Rows of left for which, of right's segments of the same keys that start at or before `at`, the one that reaches furthest reaches `least`, or doesn't.
+
+    A running maximum over both sides in order of place: no pair of segments is made, however many share a key.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    one = left.select(F.struct("*").alias("_row"), *named, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_end"))
+    other = right.select(F.lit(None).cast(one.schema["_row"].dataType).alias("_row"), *named, F.col(s).alias("_at"), F.lit(0).alias("_side"), F.col(e).cast("long").alias("_end"))
+    before = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = one.unionByName(other).withColumn("_reach", F.max("_end").over(before)).where("_side = 1")
+    hit = F.coalesce(F.col("_reach") >= F.col(f"_row.{least}"), F.lit(False))
+    for i in range(len(keys)):
+        hit &= F.col(f"_k{i}").isNotNull()
+    return rows.where(hit if how == "left_semi" else ~hit).select("_row.*")
+
+
 def overlapping(left: DataFrame, right: DataFrame, how: str, key: str = "trace_id", s: str = "s", e: str = "e") -> DataFrame:
     """Segments of left that share (left_semi) or don't share (left_anti) a place with one of right."""
-    r = right.select(F.col(key).alias("_k"), F.col(s).alias("_s"), F.col(e).alias("_e"))
-    return left.join(r, (F.col(key) == F.col("_k")) & (F.col(s) <= F.col("_e")) & (F.col(e) >= F.col("_s")), how)
+    return _reached(left, right, (key,), e, s, how, s, e)
 
 
 def covered(left: DataFrame, right: DataFrame, how: str, keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
     """Segments of left that lie (left_semi) or don't lie (left_anti) whole within one of right."""
-    r = right.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    on: Column = (F.col("_s") <= F.col("s")) & (F.col("e") <= F.col("_e"))
-    for k in keys:
-        on &= F.col(k) == F.col(f"_{k}")
-    return left.join(r, on, how)
+    return _reached(left, right, keys, "s", "e", how)
 
 
 def reference_windows(segments: DataFrame, n: DataFrame, reach: Column | int, gap: int) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from . import masks
 
 
 def long_form(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
@@ -41,7 +47,7 @@ def signed_ranks(pairs: DataFrame, by: list[str]) -> DataFrame:
     points = d.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
     upto = Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
     points = points.withColumn("rank", F.sum("c").over(upto) - (F.col("c") - 1) / 2)
-    sums = points.groupBy(*by).agg(F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("w_minus"), F.sum("c").alias("n"))
+    sums = points.groupBy(*by).agg(F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("w_minus"), F.sum("c").alias("n"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     return sums.withColumn("rank_biserial", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
 
 
@@ -67,28 +73,95 @@ def uniform(*parts: Column) -> Column:
     return bits / float(1 << 52)
 
 
-#: Bounds of the distribution function of a Poisson variable of mean 1.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+def _poisson() -> tuple[float, ...]:
+    bounds, p = [], math.exp(-1)
+    total = p
+    while total < 1 - 2**-52:
+        bounds.append(total)
+        p /= len(bounds)
+        total += p
+    return tuple(bounds)
+
 
+#: Bounds of the distribution function of a Poisson variable of mean 1, up to the last that a hashed number can reach.
+POISSON = _poisson()
 
-def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, draws: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """Percentile interval of the mean: in each draw a unit counts as often as a hashed Poisson number says.
+
+def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, draws: int = 20_000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """Percentile interval of the mean, null for fewer than 3 units: in each draw a unit counts as often as a hashed Poisson number says.
 
     Draws are rows, summed before they are shuffled, so that no group meets in one task.
     """
     u = uniform(F.lit(seed), F.col("draw"), F.col(unit))
     weight = sum((F.when(u >= b, 1).otherwise(0) for b in POISSON), F.lit(0))
     rows = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
-    means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("_m"))
+    means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("_m"), F.count(F.lit(1)).alias("_n"))
     tail = (1 - level) / 2
-    return means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
+    enough = lambda p: F.when(F.max("_n") >= 3, F.percentile("_m", F.lit(p)))
+    return means.groupBy(*by).agg(enough(tail).alias("low"), enough(1 - tail).alias("high"))
+
 
+def sign_flips(df: DataFrame, by: list[str], unit: str, d: str = "d", draws: int = 200_000, exact_up_to: int = 16, seed: int = 7) -> DataFrame:
+    """Two-sided permutation test of the mean difference; zeros don't count, and p is null for fewer than 6 pairs.
 
-def sign_flips(df: DataFrame, by: list[str], unit: str, d: str = "d", draws: int = 500, seed: int = 7) -> DataFrame:
-    """Two-sided permutation test of the mean difference: signs are flipped at random, zeros don't count; null for fewer than 6."""
-    rows = df.where(F.col(d) != 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    sign = F.when((F.col("draw") == 0) | (uniform(F.lit(seed), F.col("draw"), F.col(unit)) < 0.5), 1).otherwise(-1)
-    sums = rows.groupBy(*by, "draw").agg(F.abs(F.sum(F.col(d) * sign)).alias("_t"), F.count(F.lit(1)).alias("n"))
-    seen = sums.where("draw = 0").select(*by, F.col("_t").alias("_seen"), "n")
-    hits = sums.where("draw > 0").drop("n").join(seen, by).groupBy(*by, "n").agg(F.count_if(F.col("_t") >= F.col("_seen") - 1e-12).alias("_hits"))
-    return hits.select(*by, "n", F.when(F.col("n") >= 6, (F.col("_hits") + 1) / (draws + 1)).alias("p"))
+    Up to `exact_up_to` pairs all signs are tried; beyond, that many draws of hashed signs, 64 from each hash. Sums of draws are
+    merged by partial aggregation, so that no group meets in one task.
+    """
+    rows = df.where(F.col(d) != 0)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum(d)).alias("_seen"))
+    rows = rows.join(sizes, by)
+    numbered = rows.where(F.col("n") <= exact_up_to).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1)
+    each = numbered.withColumn("_draw", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(n as int)) - 1)")))
+    bit = F.expr("(_draw >> _k) & 1")
+    exact = each.groupBy(*by, "n", "_seen", "_draw").agg(F.abs(F.sum(F.when(bit == 1, F.col(d)).otherwise(-F.col(d)))).alias("_t"))
+    blocks = -(-draws // 64)
+    many = rows.where(F.col("n") > exact_up_to).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_signs", F.xxhash64(F.lit(seed), F.col("_block"), F.col(unit)))
+    sums = many.groupBy(*by, "n", "_seen", "_block").agg(*(F.sum(F.when(F.expr(f"(_signs >> {i}) & 1") == 1, F.col(d)).otherwise(-F.col(d))).alias(f"_s{i}") for i in range(64)))
+    drawn = sums.select(*by, "n", "_seen", (F.col("_block") * 64).alias("_first"), F.posexplode(F.array(*(F.abs(f"_s{i}") for i in range(64)))).alias("_i", "_t")).where(F.col("_first") + F.col("_i") < draws)
+    tried = exact.select(*by, "n", "_seen", "_t").unionByName(drawn.select(*by, "n", "_seen", "_t"))
+    out = tried.groupBy(*by, "n").agg(((F.count_if(F.col("_t") >= F.col("_seen") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return out.select(*by, "n", F.when(F.col("n") >= 6, F.col("p")).alias("p"))
+
+
+def _wilcoxon(w_plus: float, n: int, ties: float, less: bool) -> float:
+    if n == 0:
+        return math.nan
+    if n <= 50 and not ties:
+        ways = [1.0] + [0.0] * (n * (n + 1) // 2)
+        for rank in range(1, n + 1):
+            for at in range(len(ways) - 1, rank - 1, -1):
+                ways[at] += ways[at - rank]
+        low = sum(ways[: int(w_plus) + 1]) / 2.0**n
+        high = sum(ways[int(w_plus) :]) / 2.0**n
+        return low if less else min(1.0, 2 * min(low, high))
+    z = (w_plus - n * (n + 1) / 4) / math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    return 0.5 * math.erfc(-z / math.sqrt(2)) if less else math.erfc(abs(z) / math.sqrt(2))
+
+
+@F.pandas_udf(DoubleType())
+def wilcoxon_p(w_plus: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    """Two-sided p value of signed ranks: exact up to 50 pairs without ties, else by the normal distribution."""
+    return pd.Series([_wilcoxon(w, int(k), t, False) for w, k, t in zip(w_plus, n, ties, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def wilcoxon_p_less(w_plus: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    """The same, one-sided: small if differences tend to be below 0."""
+    return pd.Series([_wilcoxon(w, int(k), t, True) for w, k, t in zip(w_plus, n, ties, strict=True)])
+
+
+def p_floor(n: Column) -> Column:
+    """The least two-sided p value that n pairs can give; null without any."""
+    return F.when(n >= 1, F.least(F.lit(1.0), 2 / F.pow(F.lit(2.0), n)))
+
+
+def finite_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, deviation and median of what is finite, and how many values aren't."""
+    good = F.when(masks.finite(F.col(value)), F.col(value))
+    return df.groupBy(*by).agg(F.avg(good).alias("mean"), F.stddev_pop(good).alias("sd"), F.percentile(good, F.lit(0.5)).alias("median"), F.count_if(good.isNull()).alias("excluded"))
+
+
+def off_by_more(df: DataFrame, by: list[str], stored: str, found: str, tolerance: float = 0.0051) -> DataFrame:
+    """Stored values against recomputed ones: how many differ by more than the tolerance, and the greatest difference."""
+    d = F.abs(F.col(stored) - F.col(found))
+    return df.groupBy(*by).agg(F.count_if(d > tolerance).alias("off"), F.max(d).alias("most"), F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +42,33 @@ def intervals(df: DataFrame, column: str, on: float, gap: int, least: int) -> Da
 
 
 def matched(triggers: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
-    """Centres (trace_id, c) with the nearest trigger whose middle is within reach and that no nearer centre has: s, e or null."""
-    middle = triggers.withColumn("_m", (F.col("s") + F.col("e")) / 2)
-    b = max(1, reach)
-    left = centres.withColumn("_b", F.explode(F.sequence(F.floor((F.col("c") - reach) / b), F.floor((F.col("c") + reach) / b))))
-    right = middle.withColumn("_b", F.floor(F.col("_m") / b)).select(F.col("trace_id").alias("_k"), "s", "e", "_m", F.col("_b").alias("_rb"))
-    pairs = left.join(right, (F.col("trace_id") == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.abs(F.col("_m") - F.col("c")) <= reach)).withColumn("_d", F.abs(F.col("_m") - F.col("c")))
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("trace_id", "c").orderBy("_d", "s"))).where("_r = 1")
-    one = best.withColumn("_q", F.row_number().over(Window.partitionBy("trace_id", "s").orderBy("_d", "c"))).where("_q = 1")
-    return centres.join(one.select("trace_id", "c", "s", "e"), ["trace_id", "c"], "left")
+    """Centres (trace_id, c), in order, each with the first trigger whose middle is within reach and that no earlier centre took: s, e or null.
+
+    Centres and triggers with more than `reach` between them can't meet, so each stretch without such a gap is matched by itself.
+    """
+    rows = centres.select("trace_id", F.col("c").cast("double").alias("at"), F.col("c").cast("long").alias("c"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
+    rows = rows.unionByName(triggers.select("trace_id", ((F.col("s") + F.col("e")) / 2).alias("at"), F.lit(None).cast("long").alias("c"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")))
+    line = Window.partitionBy("trace_id").orderBy("at")
+    rows = rows.withColumn("new", (F.coalesce(F.col("at") - F.lag("at").over(line), F.lit(0.0)) > reach).cast("int"))
+    rows = rows.withColumn("stretch", F.sum("new").over(line.rangeBetween(Window.unboundedPreceding, 0)))
+
+    def sweep(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+        held = points[points.c.isna()].sort_values("s")
+        out, at = [], 0
+        for c in sorted(points.c.dropna()):
+            while at < len(held) and held["at"].iloc[at] < c - reach:
+                at += 1
+            hit = at < len(held) and held["at"].iloc[at] <= c + reach
+            out.append((key[0], int(c), int(held.s.iloc[at]) if hit else None, int(held.e.iloc[at]) if hit else None))
+            at += hit
+        return pd.DataFrame(out, columns=["trace_id", "c", "s", "e"]).astype({"c": "int64", "s": "Int64", "e": "Int64"})
+
+    return rows.groupBy("trace_id", "stretch").applyInPandas(sweep, "trace_id string, c long, s long, e long")
+
+
+def rates(triggers: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
+    """By trace: the share of centres that were hit, the share of triggers that hit none, and the mean distance of hits."""
+    found = matched(triggers, centres, reach)
+    hits = found.groupBy("trace_id").agg(F.count("s").alias("hits"), F.count(F.lit(1)).alias("centres"), F.avg(F.abs((F.col("s") + F.col("e")) / 2 - F.col("c"))).alias("time_error"))
+    rows = hits.join(triggers.groupBy("trace_id").agg(F.count(F.lit(1)).alias("triggers")), "trace_id", "left").withColumn("triggers", F.coalesce("triggers", F.lit(0)))
+    return rows.select("trace_id", (F.col("hits") / F.col("centres")).alias("keep_rate"), F.try_divide(F.col("triggers") - F.col("hits"), F.col("triggers")).alias("false_rate"), "time_error")

@@ -131,12 +131,25 @@ def classic_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.hysteresis(settled(triggers.classic_ratio(df, "x", "r", 6, 198), "ratio"), "r", 2.217, 1.113)
 
 
-@query(f"WITH {TRIGGER}, c AS (SELECT DISTINCT trace_id, (idx // 400) * 400 + 200 AS c FROM x), p AS (SELECT c.trace_id, c, s, e, abs((s + e) / 2.0 - c) AS d FROM c JOIN trig USING (trace_id) WHERE abs((s + e) / 2.0 - c) <= 120), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, c ORDER BY d, s) AS k FROM p) WHERE k = 1), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, s ORDER BY d, c) AS q FROM b) WHERE q = 1) SELECT c.trace_id, c.c, o.s, o.e FROM c LEFT JOIN o USING (trace_id, c)")
+CENTRES = f"{TRIGGER}, c AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY c) AS i FROM (SELECT DISTINCT trace_id, (idx // 400) * 400 + 200 AS c FROM x)), tj AS (SELECT *, (s + e) / 2.0 AS m, row_number() OVER (PARTITION BY trace_id ORDER BY s) AS j FROM trig), rec AS (SELECT DISTINCT trace_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS last, CAST(NULL AS BIGINT) AS hit FROM c UNION ALL SELECT c.trace_id, c.i, coalesce(min(tj.j), any_value(rec.last)), min(tj.j) FROM rec JOIN c ON c.trace_id = rec.trace_id AND c.i = rec.i + 1 LEFT JOIN tj ON tj.trace_id = c.trace_id AND tj.j > rec.last AND abs(tj.m - c.c) <= 120 GROUP BY c.trace_id, c.i), hits AS (SELECT c.trace_id, c.c, tj.s, tj.e, tj.m FROM c JOIN rec ON rec.trace_id = c.trace_id AND rec.i = c.i LEFT JOIN tj ON tj.trace_id = c.trace_id AND tj.j = rec.hit)"
+
+
+@query(f"WITH RECURSIVE {CENTRES} SELECT trace_id, c, s, e FROM hits")
 def trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.matched(*found_and_centres(spark, sf_dir), 120)
+
+
+def found_and_centres(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ratio = settled(sta_lta(spark, sf_dir), "ratio")
     found = settled(triggers.intervals(ratio, "r", 1.31, 13, 6), "triggers")
-    centres = ratio.select("trace_id", (F.floor(F.col("idx") / 400) * 400 + 200).alias("c")).distinct()
-    return triggers.matched(found, centres, 120)
+    return found, ratio.select("trace_id", (F.floor(F.col("idx") / 400) * 400 + 200).alias("c")).distinct()
+
+
+@query(f"WITH RECURSIVE {CENTRES} SELECT h.trace_id, round(count(h.s) / count(*), 6) AS keep_rate, round(CASE WHEN any_value(t.n) > 0 THEN (any_value(t.n) - count(h.s)) / any_value(t.n) END, 6) AS false_rate, round(avg(abs(h.m - h.c)), 6) AS time_error FROM hits h LEFT JOIN (SELECT trace_id, count(*) AS n FROM trig GROUP BY trace_id) t ON t.trace_id = h.trace_id GROUP BY h.trace_id")
+def trigger_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many known events are found again, and how many triggers are none."""
+    out = triggers.rates(*found_and_centres(spark, sf_dir), 120)
+    return out.select("trace_id", *(r(c).alias(c) for c in ("keep_rate", "false_rate", "time_error")))
 
 
 @query(f"WITH {TRC}, m AS (SELECT trace_id, median(v) AS m FROM trc GROUP BY trace_id), d AS (SELECT trace_id, m, 1.4826 * median(abs(v - m)) AS sc FROM trc JOIN m USING (trace_id) GROUP BY trace_id, m), w AS (SELECT trace_id, (idx - o) // 128 * 128 + o AS s, abs(v - m) > 2.5 * sc AS f FROM trc JOIN d USING (trace_id), (VALUES (0), (64)) t(o) WHERE idx >= o) SELECT trace_id, s, round(avg(f::INT), 6) AS density FROM w GROUP BY trace_id, s HAVING count(*) = 128")
@@ -230,13 +243,13 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.first_per_label(files(spark, sf_dir).withColumn("path", F.col("name")))
 
 
-CATALOG = "ct AS (SELECT 'S' || (11 + l_suppkey % 6) AS station, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS VARCHAR) AS day, l_partkey % 500 AS s, l_partkey % 500 + CAST(l_quantity AS BIGINT) AS e, CASE WHEN l_linenumber % 5 = 0 THEN 'event' WHEN l_linenumber % 7 = 0 THEN 'gap' ELSE 'repair' END AS role, CASE WHEN l_quantity <= 2 THEN 'linear' WHEN l_quantity <= 20 THEN 'zscore' ELSE 'core' END AS method FROM lineitem WHERE l_suppkey % 9 = 0)"
+CATALOG = "ct AS (SELECT 'S' || (11 + l_suppkey % 6) AS station, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS VARCHAR) AS day, l_partkey % 500 AS s, l_partkey % 500 + CAST(l_quantity AS BIGINT) AS e, CASE WHEN l_linenumber % 5 = 0 THEN 'event' WHEN l_linenumber % 7 = 0 THEN 'gap' ELSE 'repair' END AS role, CASE WHEN l_quantity <= 2 THEN 'linear' WHEN l_quantity <= 20 THEN 'zscore' ELSE 'core' END AS method FROM lineitem)"
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
     s = F.col("l_partkey") % 500
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 9 = 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("S"), (11 + F.col("l_suppkey") % 6).cast("string")).alias("station"), F.date_format("l_shipdate", "yyyyMM").alias("day"), s.alias("s"), (s + q).alias("e"), F.when(F.col("l_linenumber") % 5 == 0, "event").when(F.col("l_linenumber") % 7 == 0, "gap").otherwise("repair").alias("role"), F.when(q <= 2, "linear").when(q <= 20, "zscore").otherwise("core").alias("method"))
 
 

@@ -103,15 +103,22 @@ U = "CAST('0x' || substr(md5(7 || '|' || {draw} || '|' || {unit}), 1, 13) AS BIG
 WEIGHT = " + ".join(f"(CASE WHEN u >= {b!r} THEN 1 ELSE 0 END)" for b in stats.POISSON)
 
 
-@query(f"WITH {EXP}, w AS (SELECT method, draw, rmse, {U.format(draw='draw', unit='unit')} AS u FROM ex, range(1, 201) t(draw)), m AS (SELECT method, draw, sum(rmse * ({WEIGHT})) / sum({WEIGHT}) AS m FROM w GROUP BY method, draw) SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY method")
+@query(f"WITH {EXP}, w AS (SELECT method, draw, rmse, {U.format(draw='draw', unit='unit')} AS u FROM ex, range(1, 20001) t(draw)), m AS (SELECT method, draw, sum(rmse * ({WEIGHT})) / sum({WEIGHT}) AS m FROM w GROUP BY method, draw) SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY method")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.bootstrap_mean(exp(spark, sf_dir), ["method"], "unit", "rmse")
     return out.select("method", r("low").alias("low"), r("high").alias("high"))
 
 
-@query(f"WITH {PAIRS}, s AS (SELECT record, draw, abs(sum(d * CASE WHEN draw = 0 OR {U.format(draw='draw', unit='unit')} < 0.5 THEN 1 ELSE -1 END)) AS t, count(*) AS n FROM pd, range(0, 501) x(draw) WHERE d <> 0 GROUP BY record, draw), o AS (SELECT record, t AS seen, n FROM s WHERE draw = 0) SELECT record, n, round(CASE WHEN n >= 6 THEN (hits + 1) / 501.0 END, 6) AS p FROM (SELECT s.record, o.n, count(*) FILTER (WHERE t >= seen - 1e-12) AS hits FROM s JOIN o USING (record) WHERE draw > 0 GROUP BY s.record, o.n)")
+@query(f"WITH {PAIRS}, q AS (SELECT unit // 12 AS record, d, row_number() OVER (PARTITION BY unit // 12 ORDER BY unit) - 1 AS k FROM pd WHERE d <> 0), o AS (SELECT record, count(*) AS n, abs(sum(d)) AS seen FROM q GROUP BY record), s AS (SELECT record, x.draw, abs(sum(CASE WHEN (x.draw >> k) & 1 = 1 THEN d ELSE -d END)) AS t FROM q JOIN o USING (record), range(0, 4096) x(draw) WHERE x.draw < (1 << n) GROUP BY record, x.draw) SELECT record, n, round(CASE WHEN n >= 6 THEN (count(*) FILTER (WHERE t >= seen - 1e-12) + 1) / ((1 << n) + 1.0) END, 6) AS p FROM s JOIN o USING (record) GROUP BY record, n")
 def sign_flip_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.sign_flips(pairs(spark, sf_dir), ["record"], "unit").withColumn("p", r("p"))
-
+    """Records of 12 units, for which all signs are tried."""
+    rows = pairs(spark, sf_dir).withColumn("record", F.floor(F.col("unit") / 12))
+    return stats.sign_flips(rows, ["record"], "unit").withColumn("p", r("p"))
 
 
+@query()
+def wilcoxon_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed ranks of each record with their p values, and the least p that so many pairs can give."""
+    out = stats.signed_ranks(pairs(spark, sf_dir), ["record"])
+    args = (F.col("w_plus"), F.col("n"), F.col("ties"))
+    return out.select("record", "n", F.least("w_plus", "w_minus").alias("w"), r(stats.wilcoxon_p(*args), 9).alias("p"), r(stats.wilcoxon_p_less(*args), 9).alias("p_less"), stats.p_floor(F.col("n")).alias("floor"))

@@ -111,11 +111,26 @@ def window_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("station", "day", F.greatest("s", F.lit(100)).alias("s"), F.least("e", F.lit(299)).alias("e"), F.col("role").alias("kind"))
 
 
-@query(f"WITH {TRC}, s AS (SELECT trace_id, avg((v > 900)::INT) AS share, kurtosis_pop(v) AS k, count(*) / 6.625 / 60 AS span FROM trc GROUP BY trace_id), t AS (SELECT trace_id, least(share / 0.1, 1) * 25 + least(greatest(k, 0) / 20, 1) * 40 + least(greatest(span, 0) / 60, 1) * 15 + least(share * 2 / 0.5, 1) * 20 AS score FROM s) SELECT trace_id, round(score, 6) AS score, CASE WHEN score < 10 THEN 'none' WHEN score < 35 THEN 'mild' WHEN score < 65 THEN 'moderate' ELSE 'severe' END AS label FROM t")
+SEVERITY = """w AS (SELECT trace_id, avg((v > 900)::INT) AS ratio, kurtosis_pop(v) + 3 AS k, count(*) FILTER (WHERE v > 900 AND idx < 400) AS sig, count(*) FILTER (WHERE v > 900 AND idx >= 400) AS noise, count(*) AS n FROM trc GROUP BY trace_id, idx // 200 HAVING stddev_pop(v) > 0),
+    s AS (SELECT trace_id, sum(ratio * n) / sum(n) AS a, max(k) AS k, stddev_pop(k) AS d, sum(sig) AS sig, sum(noise) AS noise FROM w GROUP BY trace_id),
+    p AS (SELECT *, CASE WHEN a <= 0 THEN 0 WHEN a < 0.001 THEN 5 WHEN a < 0.01 THEN 10 + 10 * (a / 0.01) WHEN a < 0.05 THEN 20 + 5 * ((a - 0.01) / 0.04) ELSE 25 END AS pa,
+        CASE WHEN k <= 3 THEN 0 WHEN k < 10 THEN 10 * ((k - 3) / 7) WHEN k < 50 THEN 10 + 20 * ((k - 10) / 40) WHEN k < 200 THEN 30 + 10 * ((k - 50) / 150) ELSE 40 END AS pk,
+        CASE WHEN d <= 0 THEN 0 WHEN d < 2 THEN 3 * d WHEN d < 10 THEN 6 + 5 * ((d - 2) / 8) ELSE 15 END AS pd,
+        CASE WHEN sig > 0 AND noise > 0 THEN 20 WHEN sig > 0 THEN 15 WHEN noise > 0 THEN 8 ELSE 0 END AS pw FROM s),
+    t AS (SELECT *, least(100, pa + pk + pd + least(10, pa * 0.4)) AS score, least(100, pa + pk + pd + pw) AS with_window FROM p),
+    l AS (SELECT *, CASE WHEN with_window < 10 THEN 'none' WHEN with_window < 35 THEN 'mild' WHEN with_window < 65 THEN 'moderate' ELSE 'severe' END AS label FROM t)"""
+
+
+@query(f"WITH {TRC}, {SEVERITY} SELECT trace_id, round(score, 4) AS score, round(with_window, 4) AS with_window, label, CASE label WHEN 'none' THEN 'no_action' WHEN 'mild' THEN 'optional_review' WHEN 'moderate' THEN CASE WHEN sig > 0 THEN 'suggest_clean' ELSE 'optional_review' END ELSE CASE WHEN sig > 0 THEN 'strongly_recommend_clean' WHEN noise > 0 AND a > 0.01 THEN 'recommend_clean' ELSE 'suggest_clean' END END AS advice FROM l")
 def severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = trc(spark, sf_dir).groupBy("trace_id").agg(F.avg((F.col("v") > 900).cast("double")).alias("share"), F.kurtosis("v").alias("k"), (F.count(F.lit(1)) / 6.625 / 60).alias("span"))
-    score = catalogs.severity(F.col("share"), F.col("k"), F.col("span"), F.col("share") * 2)
-    return s.select("trace_id", r(score).alias("score"), catalogs.severity_label(score).alias("label"))
+    """Windows of 200 samples; the first 400 stand for a signal's window. Scored without and with it."""
+    high = F.col("v") > 900
+    w = trc(spark, sf_dir).groupBy("trace_id", F.floor(F.col("idx") / 200).alias("k")).agg(F.count_if(high).alias("high"), (F.kurtosis("v") + 3).alias("kurtosis"), F.count_if(high & (F.col("idx") < 400)).alias("sig"), F.count_if(high & (F.col("idx") >= 400)).alias("noise"), F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("sd")).where("sd > 0")
+    s = w.groupBy("trace_id").agg((F.sum("high") / F.sum("n")).alias("a"), F.max("kurtosis").alias("k"), F.stddev_pop("kurtosis").alias("d"), F.sum("sig").alias("sig"), F.sum("noise").alias("noise"))
+    parts = (F.col("a"), F.col("k"), F.col("d"))
+    windowed = catalogs.severity(*parts, F.col("sig"), F.col("noise"))
+    label = catalogs.severity_label(windowed)
+    return s.select("trace_id", r(catalogs.severity(*parts), 4).alias("score"), r(windowed, 4).alias("with_window"), label.alias("label"), catalogs.recommendation(label, F.col("a"), F.col("sig"), F.col("noise")).alias("advice"))
 
 
 @query(f"WITH {CLAMP}, d AS (SELECT trace_id, round_even(w, 0) AS q, w FROM filled) SELECT trace_id, count(*) FILTER (WHERE q <> w) AS moved, round(max(abs(q - w)), 6) AS most, round(avg(q) - avg(w), 6) AS shift FROM d GROUP BY trace_id")

@@ -47,11 +47,27 @@ def event_times(df: DataFrame, date: str = "Date") -> DataFrame:
     return df.select(made.alias("event_ts")).where("event_ts IS NOT NULL").distinct()
 
 
-def severity(share: Column, kurtosis: Column, longest_s: Column, density: Column) -> Column:
-    """0 to 100 from the share of outliers, the kurtosis, the longest run and the spread of windows with outliers."""
-    cap = lambda x, top, points: F.least(F.greatest(x, F.lit(0.0)) / top, F.lit(1.0)) * points
-    return cap(share, 0.10, 25) + cap(kurtosis, 20.0, 40) + cap(longest_s, 60.0, 15) + cap(density, 0.5, 20)
+def severity(ratio: Column, kurtosis: Column, spread: Column, in_signal: Column | None = None, in_noise: Column | None = None) -> Column:
+    """0 to 100 from the share of outliers, the greatest kurtosis of a window (3 is normal), the deviation of the windows' kurtosis, and the outliers inside and outside a signal's window.
+
+    Each part rises piece by piece: up to 25, 40, 15 and 20. Without a signal's window the last is 0.4 of the first, 10 at most.
+    """
+    by_ratio = F.when(ratio <= 0, 0.0).when(ratio < 0.001, 5.0).when(ratio < 0.01, 10 + 10 * ratio / 0.01).when(ratio < 0.05, 20 + 5 * (ratio - 0.01) / 0.04).otherwise(25.0)
+    by_kurtosis = F.when(kurtosis <= 3, 0.0).when(kurtosis < 10, 10 * (kurtosis - 3) / 7).when(kurtosis < 50, 10 + 20 * (kurtosis - 10) / 40).when(kurtosis < 200, 30 + 10 * (kurtosis - 50) / 150).otherwise(40.0)
+    by_spread = F.when(spread <= 0, 0.0).when(spread < 2, 3 * spread).when(spread < 10, 6 + 5 * (spread - 2) / 8).otherwise(15.0)
+    if in_signal is None or in_noise is None:
+        by_window = F.least(F.lit(10.0), by_ratio * 0.4)
+    else:
+        by_window = F.when((in_signal > 0) & (in_noise > 0), 20.0).when(in_signal > 0, 15.0).when(in_noise > 0, 8.0).otherwise(0.0)
+    return F.least(F.lit(100.0), by_ratio + by_kurtosis + by_spread + by_window)
 
 
 def severity_label(score: Column) -> Column:
     return F.when(score < 10, "none").when(score < 35, "mild").when(score < 65, "moderate").otherwise("severe")
+
+
+def recommendation(label: Column, ratio: Column, in_signal: Column, in_noise: Column) -> Column:
+    """What to do about outliers of that severity."""
+    moderate = F.when(in_signal > 0, "suggest_clean").otherwise("optional_review")
+    severe = F.when(in_signal > 0, "strongly_recommend_clean").when((in_noise > 0) & (ratio > 0.01), "recommend_clean").otherwise("suggest_clean")
+    return F.when(label == "none", "no_action").when(label == "mild", "optional_review").when(label == "moderate", moderate).otherwise(severe)

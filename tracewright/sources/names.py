@@ -32,6 +32,12 @@ def in_scope(files: DataFrame, stations: list[str], first: int, last: int) -> Co
     return F.col("sta").isNotNull() & (F.lit(not stations) | F.col("sta").isin(stations)) & day.between(first, last)
 
 
+def stations_and_years(files: DataFrame) -> DataFrame:
+    """One row: the distinct stations and years of the files, in order, with commas between."""
+    listed_in_order = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return files.where("sta IS NOT NULL").agg(listed_in_order(F.col("sta")).alias("stations"), listed_in_order(F.substring("day", 1, 4)).alias("years"))
+
+
 def diagnosed(files: DataFrame, stations: list[str], first: int, last: int) -> DataFrame:
     """One row: names seen, and those that fail first by form, then by station, then by day."""
     bad_name = F.col("sta").isNull()
@@ -51,6 +57,14 @@ def stream_label(net: str = "net", sta: str = "sta", loc: str = "loc", cha: str
     return F.concat_ws(".", *(F.nullif(F.col(c), F.lit("")) for c in (net, sta, loc, cha)))
 
 
+def split_stream_label(label: Column) -> Column:
+    """Network, station, location and channel of a label; a label of one part is a station, one of three has no location."""
+    p = F.split(label, r"\.")
+    n = F.size(p)
+    at = lambda i: F.try_element_at(p, F.lit(i))
+    return F.struct(F.when(n > 1, at(1)).otherwise("").alias("net"), F.when(n == 1, at(1)).otherwise(at(2)).alias("sta"), F.when(n >= 4, at(3)).otherwise("").alias("loc"), F.when(n >= 4, at(4)).when(n == 3, at(3)).otherwise("").alias("cha"))
+
+
 def counterparts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each path of left with the path of right for it: same relative path, else same year/month/name, else same station and day (the first by path)."""
     month = lambda d: F.concat_ws("/", F.substring(d, 1, 4), F.substring(d, 5, 2), F.col("name"))
