@@ -60,17 +60,31 @@ def injected(kind: str, x: Column, place: Column, s: int, e: int) -> Column:
     return F.when(inside, value).otherwise(x)
 
 
-def oscillation_clusters(segments: DataFrame, samples: DataFrame, gap: int, least: int, column: str = "x") -> DataFrame:
-    """Clusters of near segments that swing rather than step: long, with a path much longer than its largest move, and livelier than what surrounds them."""
+def oscillation_clusters(segments: DataFrame, samples: DataFrame, gap: int, least: int, reach: int, column: str = "x", spread: float = 12.0, ratio: float = 1.3, floor: float = 0.5) -> DataFrame:
+    """Clusters of segments less than `gap` apart with more than `least` samples in their segments, and whether they swing rather than step.
+
+    They swing if their path is longer than `spread` times their largest move, and if they are livelier, by the median
+    deviation, than `ratio` times the samples within `reach` around them (at least `floor`); both need 8 samples.
+    """
     from . import runs
 
-    clusters = runs.merged(segments, gap).where(runs.length() > least)
-    order = Window.partitionBy("trace_id", "s", "e").orderBy("idx")
-    inside = ranges.samples_in(samples.select("trace_id", "idx", column), clusters).withColumn("_d", F.abs(F.col(column) - F.lag(column).over(order)))
-    p = lambda x: F.percentile(x, F.lit(0.5))
-    own = inside.groupBy("trace_id", "s", "e").agg(F.sum("_d").alias("path"), F.max("_d").alias("most"), p(column).alias("_m"))
-    own = ranges.samples_in(samples.select("trace_id", "idx", column), own).groupBy("trace_id", "s", "e", "path", "most").agg((1.4826 * p(F.abs(F.col(column) - F.col("_m")))).alias("mad"))
-    return own.withColumn("swings", F.col("path") > 12 * F.col("most"))
+    key = ["trace_id", "s", "e"]
+    clusters = runs.merged(segments.select(*key), gap - 1)
+    starts = segments.select("trace_id", F.col("s").alias("idx"), runs.length().alias("_len"))
+    clusters = ranges.samples_in(starts, clusters).groupBy(*key).agg(F.sum("_len").alias("total")).where(F.col("total") > least)
+    x, median = F.col(column), lambda c: F.percentile(c, F.lit(0.5))
+    points = samples.select("trace_id", "idx", column)
+    order = Window.partitionBy(*key).orderBy("idx")
+    inside = ranges.samples_in(points, clusters).withColumn("_d", F.abs(x - F.lag(column).over(order)))
+    own = inside.groupBy(*key, "total").agg(F.sum("_d").alias("path"), F.max("_d").alias("most"), median(column).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    own = ranges.samples_in(points, own).groupBy(*key, "total", "path", "most", "_n").agg((1.4826 * median(F.abs(x - F.col("_m")))).alias("mad"))
+    wide = clusters.select(*key, (F.col("s") - reach).alias("_w0"), (F.col("e") + reach).alias("_w1"))
+    beside = ranges.samples_in(points, wide, s="_w0", e="_w1").where((F.col("idx") < F.col("s")) | (F.col("idx") > F.col("e")))
+    middle = beside.groupBy(*key).agg(median(column).alias("_c"), F.count(F.lit(1)).alias("_around"))
+    around = beside.join(middle, key).groupBy(*key, "_around").agg(F.greatest(1.4826 * median(F.abs(x - F.col("_c"))), F.lit(floor)).alias("around"))
+    swings = (F.col("path") > spread * F.col("most")) & (F.col("mad") > ratio * F.col("around")) & (F.col("_n") >= 8) & (F.col("_around") >= 8)
+    return own.join(around, key, "left").select(*key, "total", "path", "most", "mad", "around", F.coalesce(swings, F.lit(False)).alias("swings"))
+
 
 
 def adaptive_bounds(segments: DataFrame, samples: DataFrame, reach: int, column: str, k: float = 0.5) -> DataFrame:

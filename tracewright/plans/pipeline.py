@@ -31,13 +31,13 @@ def cleaned(samples: DataFrame, methods: list[tuple[str, dict]]) -> DataFrame:
 def repaired(samples: DataFrame, detection: Detection | None = None, repair: Repair | None = None, protected: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Samples (trace_id, idx, v) with w, and a catalog of what was done (trace_id, s, e, role, method).
 
-    Runs of missing samples are graded by length: short ones lie on a line, middle ones too after a robust look around,
+    Runs of missing samples are graded by length: short and middle ones, of which no sample is known, lie on a line between their neighbours,
     long ones are rebuilt from both sides; runs longer than the longest repair are gaps and stay. Spikes are put on a line.
     Protected segments (trace_id, s, e) are written back as they were. What is repaired looks at the samples as given.
     """
     detection, repair = detection or Detection(), repair or Repair()
     df = settled(samples.select("trace_id", "idx", "v").withColumn("bad", masks.missing_counts(F.col("v"))), "raw")
-    found = settled(runs.runs(df, "bad").withColumn("method", segments.graded_run(repair)), "runs")
+    found = settled(runs.runs(df, "bad").withColumn("method", F.when(segments.graded_run(repair) == "core", "core").otherwise("linear")), "runs")
     if protected is not None:
         found = ranges.overlapping(found, protected, "left_anti")
     gaps = found.where(runs.length() > detection.samples(detection.longest_s))

@@ -68,16 +68,16 @@ def zscore_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("v <> w").select("trace_id", "idx", r("w").alias("w"))
 
 
-@query(f"WITH {CLAMP} SELECT trace_id, count(*) AS n, round(sqrt(avg((w - clean) * (w - clean))), 6) AS rmse, round(avg(abs(w - clean)), 6) AS mae, round(10 * log10(sum(clean * clean) / sum((w - clean) * (w - clean) + 1e-12)), 6) AS snr_db, round(var_pop(w) / var_pop(clean), 6) AS energy_ratio, round(stddev_pop(w) / stddev_pop(clean), 6) AS std_ratio, true AS valid FROM filled GROUP BY trace_id")
+@query(f"WITH {CLAMP} SELECT trace_id, count(*) AS n, round(sqrt(avg((w - clean) * (w - clean))), 6) AS rmse, round(avg(abs(w - clean)), 6) AS mae, round(10 * log10(sum(clean * clean) / sum((w - clean) * (w - clean) + 1e-12)), 6) AS snr_db, round(var_pop(w) / var_pop(clean), 6) AS energy_ratio, round(stddev_pop(w) / stddev_pop(clean), 6) AS std_ratio, bool_and(w IS NOT NULL AND NOT isnan(w)) AS valid FROM filled GROUP BY trace_id")
 def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics.errors("clean", "w")
     return filled(spark, sf_dir).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), *((c if n == "valid" else r(c)).alias(n) for n, c in m.items()))
 
 
-@query(f"WITH {CLAMP}, p AS (SELECT trace_id, clean AS v, 1 AS a, 0 AS b FROM filled UNION ALL SELECT trace_id, w, 0, 1 FROM filled WHERE NOT bad OR idx % 3 = 0), q AS (SELECT trace_id, v, sum(a) AS a, sum(b) AS b FROM p GROUP BY trace_id, v), c AS (SELECT trace_id, sum(a) OVER w / sum(a) OVER (PARTITION BY trace_id) AS f, sum(b) OVER w / sum(b) OVER (PARTITION BY trace_id) AS g, lead(v) OVER (PARTITION BY trace_id ORDER BY v) - v AS dx FROM q WINDOW w AS (PARTITION BY trace_id ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT trace_id, round(sum(abs(f - g) * coalesce(dx, 0)), 6) AS wasserstein FROM c GROUP BY trace_id")
+@query(f"WITH {CLAMP}, p AS (SELECT trace_id, clean AS v, 1 AS a, 0 AS b FROM filled UNION ALL SELECT trace_id, w, 0, 1 FROM filled), q AS (SELECT trace_id, v, sum(a) AS a, sum(b) AS b FROM p GROUP BY trace_id, v), c AS (SELECT trace_id, sum(a) OVER w / sum(a) OVER (PARTITION BY trace_id) AS f, sum(b) OVER w / sum(b) OVER (PARTITION BY trace_id) AS g, lead(v) OVER (PARTITION BY trace_id ORDER BY v) - v AS dx FROM q WINDOW w AS (PARTITION BY trace_id ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT trace_id, round(sum(abs(f - g) * coalesce(dx, 0)), 6) AS wasserstein FROM c GROUP BY trace_id")
 def wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = filled(spark, sf_dir)
-    out = metrics.wasserstein(df.select("trace_id", F.col("clean").alias("v")), df.where("NOT bad OR idx % 3 = 0").select("trace_id", F.col("w").alias("v")), ["trace_id"])
+    out = metrics.wasserstein(df.select("trace_id", F.col("clean").alias("v")), df.select("trace_id", F.col("w").alias("v")), ["trace_id"])
     return out.select("trace_id", r("wasserstein").alias("wasserstein"))
 
 

@@ -85,7 +85,7 @@ def pipeline_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~p & ~t & masks.missing_counts(F.col("w"))).alias("residual"), F.count_if(leak).alias("leaks"), F.count_if(p).alias("protected"), F.count_if(p & changed).alias("protected_changed"))
 
 
-@query()
+@query(f"WITH {MISS_RUNS} SELECT trace_id, CASE WHEN e - s + 1 > 47700 THEN 'gap' ELSE 'repair' END AS role, CASE WHEN e - s + 1 > 47700 THEN 'keep' WHEN e - s + 1 > 20 THEN 'core' ELSE 'linear' END AS method, count(*) AS n, CAST(sum(e - s + 1) AS BIGINT) AS samples FROM miss GROUP BY ALL")
 def pipeline_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pipeline did to each trace, by role and method."""
     raw = trc(spark, sf_dir).select("trace_id", "idx", "v")

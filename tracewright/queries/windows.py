@@ -160,12 +160,19 @@ def part_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("part").agg(F.bool_and(~bad).alias("ok"), F.count(F.lit(1)).alias("n_files"), F.count_if(bad).alias("n_fail"))
 
 
-@query(f"WITH {TR}, x AS (SELECT trace_id, idx, v - 430 AS x FROM tr), sg AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM (SELECT trace_id, idx, idx - row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS g FROM x WHERE x > 0) GROUP BY trace_id, g), c AS (SELECT * FROM ({MERGED.format(apart='s - prev > 3', table='sg')}) WHERE e - s + 1 > 20), d AS (SELECT c.trace_id, s, e, x, abs(x - lag(x) OVER (PARTITION BY c.trace_id, s ORDER BY idx)) AS d FROM c JOIN x ON x.trace_id = c.trace_id AND idx BETWEEN s AND e), o AS (SELECT trace_id, s, e, sum(d) AS path, max(d) AS most, median(x) AS m FROM d GROUP BY ALL) SELECT o.trace_id, o.s, o.e, round(path, 6) AS path, round(most, 6) AS most, round(1.4826 * median(abs(x - m)), 6) AS mad, path > 12 * most AS swings FROM o JOIN d USING (trace_id, s, e) GROUP BY ALL")
+OSCILLATION = f"""{TR}, x AS (SELECT trace_id, idx, v - 430 AS x FROM tr), sg AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM (SELECT trace_id, idx, idx - row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS g FROM x WHERE x > 0) GROUP BY trace_id, g),
+    c0 AS ({MERGED.format(apart='s - prev >= 3', table='sg')}), c AS (SELECT c0.trace_id, c0.s, c0.e, sum(sg.e - sg.s + 1) AS total FROM c0 JOIN sg ON sg.trace_id = c0.trace_id AND sg.s BETWEEN c0.s AND c0.e GROUP BY ALL HAVING total > 20),
+    d AS (SELECT c.*, x, abs(x - lag(x) OVER (PARTITION BY c.trace_id, s ORDER BY idx)) AS d FROM c JOIN x ON x.trace_id = c.trace_id AND idx BETWEEN s AND e), o AS (SELECT trace_id, s, e, total, sum(d) AS path, max(d) AS most, median(x) AS m, count(*) AS n FROM d GROUP BY ALL),
+    i AS (SELECT trace_id, s, e, total, path, most, n, 1.4826 * median(abs(x - m)) AS mad FROM o JOIN d USING (trace_id, s, e, total) GROUP BY ALL),
+    b AS (SELECT c.trace_id, s, e, x FROM c JOIN x ON x.trace_id = c.trace_id AND idx BETWEEN s - 300 AND e + 300 AND (idx < s OR idx > e)), bm AS (SELECT trace_id, s, e, median(x) AS m, count(*) AS k FROM b GROUP BY ALL), a AS (SELECT trace_id, s, e, k, greatest(1.4826 * median(abs(x - m)), 0.5) AS around FROM b JOIN bm USING (trace_id, s, e) GROUP BY ALL)"""
+
+
+@query(f"WITH {OSCILLATION} SELECT i.trace_id, i.s, i.e, CAST(total AS BIGINT) AS total, round(path, 6) AS path, round(most, 6) AS most, round(mad, 6) AS mad, round(around, 6) AS around, coalesce(path > 12 * most AND mad > 1.3 * around AND n >= 8 AND k >= 8, false) AS swings FROM i LEFT JOIN a USING (trace_id, s, e)")
 def oscillation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = settled(tr(spark, sf_dir).select("trace_id", "idx", (F.col("v") - 430).alias("x")), "x")
-    segs = runs.runs(df.withColumn("up", F.col("x") > 0), "up")
-    out = windows.oscillation_clusters(segs, df, 3, 20)
-    return out.select("trace_id", "s", "e", *(r(c).alias(c) for c in ("path", "most", "mad")), "swings")
+    segs = settled(runs.runs(df.withColumn("up", F.col("x") > 0), "up"), "segments")
+    out = windows.oscillation_clusters(segs, df, 3, 20, 300)
+    return out.select("trace_id", "s", "e", "total", *(r(c).alias(c) for c in ("path", "most", "mad", "around")), "swings")
 
 
 @query(f"WITH {TRC} SELECT trace_id, min(idx) AS s, max(idx) AS e, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT trace_id, idx, v, idx - row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS g FROM trc WHERE NOT {MISSING}) GROUP BY trace_id, g")
