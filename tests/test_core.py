@@ -89,7 +89,7 @@ def test_oscillation_is_livelier_than_its_surroundings(spark):
     rng = np.random.default_rng(22)
     x = np.concatenate([rng.normal(0, 1, 200), rng.normal(0, 9, 100), rng.normal(0, 1, 200), [0] * 40, [500] * 40, [0] * 40, rng.normal(0, 1, 200)])
     segs = spark.createDataFrame([("t", 200, 249), ("t", 252, 299), ("t", 540, 579), ("t", 700, 710), ("t", 720, 760)], "trace_id string, s long, e long")
-    out = {(r.s, r.e, r.total): r.swings for r in windows.oscillation_clusters(segs, trace(spark, x).withColumnRenamed("v", "x"), 10, 35, 150).collect()}
+    out = {(r.s, r.e, r.total): r.swings for r in windows.oscillation_clusters(segs, trace(spark, x).withColumnRenamed("v", "x"), 11, 35, 150).collect()}
     assert out == {(200, 299, 98): True, (540, 579, 40): False, (700, 760, 52): False}
 
 

@@ -90,6 +90,19 @@ def zscore_fill(df: DataFrame, segments: DataFrame, bad: str, column: str, out:
     return clamped_fill(rows.withColumn("_hit", hit | F.col(bad)), "_hit", column, "_line").withColumn(out, F.when(hit, F.col("_line")).otherwise(F.col(column))).drop("_mean", "_std", "_hit", "_line")
 
 
+def background(df: DataFrame, segments: DataFrame, bad: str, column: str, sr: float, context_s: float = 30.0) -> DataFrame:
+    """Segments (trace_id, s, e) with `level`: the median of the good samples within context_s around each, of three times that if there are fewer than 30, of the trace if still fewer than 8."""
+    key, reach = ["trace_id", "s", "e"], int(context_s * sr)
+    good = df.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("_v"))
+    wide = segments.select(*key, (F.col("s") - 3 * reach).alias("_w0"), (F.col("e") + 3 * reach).alias("_w1"))
+    near = ranges.samples_in(good, wide, s="_w0", e="_w1").where((F.col("idx") < F.col("s")) | (F.col("idx") > F.col("e")))
+    close = F.when((F.col("idx") >= F.col("s") - reach) & (F.col("idx") <= F.col("e") + reach), F.col("_v"))
+    found = near.groupBy(*key).agg(F.count(close).alias("_n1"), rolling.median(close).alias("_m1"), F.count("_v").alias("_n2"), rolling.median("_v").alias("_m2"))
+    whole = good.groupBy("trace_id").agg(rolling.median("_v").alias("_m3"))
+    rows = segments.select(*key).join(found, key, "left").join(whole, "trace_id", "left")
+    return rows.select(*key, F.when(F.col("_n1") >= 30, F.col("_m1")).when(F.col("_n2") >= 8, F.col("_m2")).otherwise(F.col("_m3")).alias("level"))
+
+
 def floored(df: DataFrame, column: str, out: str, kept: str) -> DataFrame:
     """What isn't above 0 is put on a line, then rounded half to even, at least 1; kept samples stay."""
     bad = ~F.col(kept) & (F.col(column).isNull() | F.isnan(column) | (F.col(column) <= 0))

@@ -31,21 +31,24 @@ def cleaned(samples: DataFrame, methods: list[tuple[str, dict]]) -> DataFrame:
 def repaired(samples: DataFrame, detection: Detection | None = None, repair: Repair | None = None, protected: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Samples (trace_id, idx, v) with w, and a catalog of what was done (trace_id, s, e, role, method).
 
-    Runs of missing samples are graded by length: short and middle ones, of which no sample is known, lie on a line between their neighbours,
+    Runs of missing samples are graded by length: short ones lie on a line, middle ones, of which no sample is known, at the level of their surroundings,
     long ones are rebuilt from both sides; runs longer than the longest repair are gaps and stay. Spikes are put on a line.
     Protected segments (trace_id, s, e) are written back as they were. What is repaired looks at the samples as given.
     """
     detection, repair = detection or Detection(), repair or Repair()
     df = settled(samples.select("trace_id", "idx", "v").withColumn("bad", masks.missing_counts(F.col("v"))), "raw")
-    found = settled(runs.runs(df, "bad").withColumn("method", F.when(segments.graded_run(repair) == "core", "core").otherwise("linear")), "runs")
+    found = settled(runs.runs(df, "bad").withColumn("method", segments.graded_run(repair)), "runs")
     if protected is not None:
         found = ranges.overlapping(found, protected, "left_anti")
     gaps = found.where(runs.length() > detection.samples(detection.longest_s))
     work = found.where(runs.length() <= detection.samples(detection.longest_s))
     values, report = replaced(df, work.where("method = 'core'").select("trace_id", "s", "e", "method"), detection.sr, repair.reference_gap_s, seed)
     core = settled(written_back(df, settled(values, "core")), "rebuilt")
-    small = ranges.samples_in(df.select("trace_id", "idx"), work.where("method <> 'core'")).select("trace_id", "idx", F.lit(True).alias("_small"))
-    marked = core.join(small, ["trace_id", "idx"], "left").select("trace_id", "idx", "v", "bad", F.col("w").alias("x"), F.coalesce("_small", F.lit(False)).alias("_fill"))
+    small = ranges.samples_in(df.select("trace_id", "idx"), work.where("method = 'linear'")).select("trace_id", "idx", F.lit(True).alias("_small"))
+    levels = fill.background(df, work.where("method = 'zscore'"), "bad", "v", detection.sr, repair.zscore_context_s)
+    level = ranges.samples_in(df.select("trace_id", "idx"), levels).select("trace_id", "idx", "level")
+    marked = core.join(small, ["trace_id", "idx"], "left").join(level, ["trace_id", "idx"], "left")
+    marked = marked.select("trace_id", "idx", "v", "bad", F.coalesce("level", "w").alias("x"), F.coalesce("_small", F.lit(False)).alias("_fill"))
     lined = settled(fill.clamped_fill(settled(marked, "marked"), "_fill", "x", "y"), "lined")
     spiky = masks.spike(lined.select("trace_id", "idx", F.col("y").alias("x")), detection, "x", "_spike").select("trace_id", "idx", "_spike")
     both = settled(lined.join(spiky, ["trace_id", "idx"]), "spikes")

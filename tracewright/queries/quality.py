@@ -68,6 +68,14 @@ def zscore_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("v <> w").select("trace_id", "idx", r("w").alias("w"))
 
 
+@query(f"WITH {FLAGGED}, sg AS (SELECT * FROM miss WHERE e - s + 1 BETWEEN 3 AND 20), nb AS (SELECT sg.trace_id, s, e, v, idx BETWEEN s - 198 AND e + 198 AS near FROM sg JOIN fl ON fl.trace_id = sg.trace_id AND NOT bad AND idx BETWEEN s - 594 AND e + 594 AND (idx < s OR idx > e)), lv AS (SELECT trace_id, s, e, count(*) FILTER (WHERE near) AS n1, median(v) FILTER (WHERE near) AS m1, count(*) AS n2, median(v) AS m2 FROM nb GROUP BY trace_id, s, e), wh AS (SELECT trace_id, median(v) AS m3 FROM fl WHERE NOT bad GROUP BY trace_id) SELECT sg.trace_id, sg.s, sg.e, round(CASE WHEN n1 >= 30 THEN m1 WHEN n2 >= 8 THEN m2 ELSE m3 END, 6) AS level FROM sg LEFT JOIN lv USING (trace_id, s, e) LEFT JOIN wh USING (trace_id)")
+def background_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level that a missing run of middle length is put at."""
+    df = flagged(spark, sf_dir)
+    segs = runs.runs(df, "bad").where(runs.length().between(3, 20))
+    return fill.background(df, segs, "bad", "v", SR).select("trace_id", "s", "e", r("level").alias("level"))
+
+
 @query(f"WITH {CLAMP} SELECT trace_id, count(*) AS n, round(sqrt(avg((w - clean) * (w - clean))), 6) AS rmse, round(avg(abs(w - clean)), 6) AS mae, round(10 * log10(sum(clean * clean) / sum((w - clean) * (w - clean) + 1e-12)), 6) AS snr_db, round(var_pop(w) / var_pop(clean), 6) AS energy_ratio, round(stddev_pop(w) / stddev_pop(clean), 6) AS std_ratio, bool_and(w IS NOT NULL AND NOT isnan(w)) AS valid FROM filled GROUP BY trace_id")
 def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics.errors("clean", "w")

@@ -85,7 +85,7 @@ def pipeline_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~p & ~t & masks.missing_counts(F.col("w"))).alias("residual"), F.count_if(leak).alias("leaks"), F.count_if(p).alias("protected"), F.count_if(p & changed).alias("protected_changed"))
 
 
-@query(f"WITH {MISS_RUNS} SELECT trace_id, CASE WHEN e - s + 1 > 47700 THEN 'gap' ELSE 'repair' END AS role, CASE WHEN e - s + 1 > 47700 THEN 'keep' WHEN e - s + 1 > 20 THEN 'core' ELSE 'linear' END AS method, count(*) AS n, CAST(sum(e - s + 1) AS BIGINT) AS samples FROM miss GROUP BY ALL")
+@query(f"WITH {MISS_RUNS} SELECT trace_id, CASE WHEN e - s + 1 > 47700 THEN 'gap' ELSE 'repair' END AS role, CASE WHEN e - s + 1 > 47700 THEN 'keep' WHEN e - s + 1 > 20 THEN 'core' WHEN e - s + 1 > 2 THEN 'zscore' ELSE 'linear' END AS method, count(*) AS n, CAST(sum(e - s + 1) AS BIGINT) AS samples FROM miss GROUP BY ALL")
 def pipeline_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pipeline did to each trace, by role and method."""
     raw = trc(spark, sf_dir).select("trace_id", "idx", "v")
@@ -103,7 +103,7 @@ U = "CAST('0x' || substr(md5(7 || '|' || {draw} || '|' || {unit}), 1, 13) AS BIG
 WEIGHT = " + ".join(f"(CASE WHEN u >= {b!r} THEN 1 ELSE 0 END)" for b in stats.POISSON)
 
 
-@query(f"WITH {EXP}, w AS (SELECT method, draw, rmse, {U.format(draw='draw', unit='unit')} AS u FROM ex, range(1, 20001) t(draw)), m AS (SELECT method, draw, sum(rmse * ({WEIGHT})) / sum({WEIGHT}) AS m FROM w GROUP BY method, draw) SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY method")
+@query(f"WITH {EXP}, w AS (SELECT method, draw, rmse, {U.format(draw='draw', unit='unit')} AS u FROM ex, range(1, 20001) t(draw)), m AS (SELECT method, draw, sum(rmse * ({WEIGHT})) / nullif(sum({WEIGHT}), 0) AS m FROM w GROUP BY method, draw) SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY method")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.bootstrap_mean(exp(spark, sf_dir), ["method"], "unit", "rmse")
     return out.select("method", r("low").alias("low"), r("high").alias("high"))
