@@ -165,3 +165,51 @@ def off_by_more(df: DataFrame, by: list[str], stored: str, found: str, tolerance
     """Stored values against recomputed ones: how many differ by more than the tolerance, and the greatest difference."""
     d = F.abs(F.col(stored) - F.col(found))
     return df.groupBy(*by).agg(F.count_if(d > tolerance).alias("off"), F.max(d).alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def levels(pairs: DataFrame, by: dict[str, list[str]], one: str = "one", other: str = "other") -> DataFrame:
+    """Paired differences at several levels: level, n, median_diff, share_better, rank_biserial, w and the least p that n pairs can give.
+
+    by: level -> columns whose groups are its units; a group counts with the difference of its medians, so that what is repeated within it adds nothing.
+    """
+    out = None
+    for level, keys in by.items():
+        p = lambda c: F.percentile(c, F.lit(0.5))
+        d = pairs.groupBy(*keys).agg(F.round(p(one) - p(other), 9).alias("d")).withColumn("level", F.lit(level))
+        all_of = d.groupBy("level").agg(F.count("d").alias("n"), p("d").alias("median_diff"), F.avg((F.col("d") < 0).cast("double")).alias("share_better"))
+        ranks = signed_ranks(d, ["level"]).select("level", "rank_biserial", F.least("w_plus", "w_minus").alias("w"))
+        rows = all_of.join(ranks, "level", "left").withColumn("floor", p_floor(F.col("n")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def ordinal_ranks(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """df with rank 1, 2, ... by value; equal values rank in the given order."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(value, *order)))
+
+
+def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, draws: int = 20_000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """Percentile interval of the median of clusters' medians, null for fewer than 3 clusters.
+
+    Each draw takes as many clusters as there are, by hashed numbers and with repeats. A row stands for one taking, so the work is draws times
+    clusters; values have been summed up by cluster before.
+    """
+    medians = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    medians = medians.withColumns({"_i": F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1, "_k": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+    takings = medians.select(*by, "_k", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    takings = takings.withColumn("_i", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("_slot")) * F.col("_k")).cast("int"))
+    found = takings.join(medians.select(*by, "_i", "_m"), [*by, "_i"]).groupBy(*by, "_k", "draw").agg(F.percentile("_m", F.lit(0.5)).alias("_d"))
+    tail = (1 - level) / 2
+    edge = lambda p: F.when(F.col("_k") >= 3, F.percentile("_d", F.lit(p)))
+    return found.groupBy(*by, "_k").agg(edge(tail).alias("low"), edge(1 - tail).alias("high")).select(*by, F.col("_k").alias("clusters"), "low", "high")
+
+
+def length_effects(df: DataFrame, by: list[str], length: str, value: str, excluded: tuple[float, ...] = (), tolerance: float = 1e-6) -> DataFrame:
+    """By method: least and greatest of the values' trimmed means by length, the deviation between them, and their change per decade of length.
+
+    Lengths within the tolerance of excluded ones are left out, as the caller asks.
+    """
+    for x in excluded:
+        df = df.where(F.abs(F.col(length) - x) > tolerance)
+    rows = trimmed_mean(df, [*by, length], value)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("lengths"), F.min("trimmed").alias("least"), F.max("trimmed").alias("most"), F.stddev_samp("trimmed").alias("sd"), F.regr_slope("trimmed", F.log10(length)).alias("per_decade"))

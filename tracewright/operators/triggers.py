@@ -72,3 +72,35 @@ def rates(triggers: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
     hits = found.groupBy("trace_id").agg(F.count("s").alias("hits"), F.count(F.lit(1)).alias("centres"), F.avg(F.abs((F.col("s") + F.col("e")) / 2 - F.col("c"))).alias("time_error"))
     rows = hits.join(triggers.groupBy("trace_id").agg(F.count(F.lit(1)).alias("triggers")), "trace_id", "left").withColumn("triggers", F.coalesce("triggers", F.lit(0)))
     return rows.select("trace_id", (F.col("hits") / F.col("centres")).alias("keep_rate"), F.try_divide(F.col("triggers") - F.col("hits"), F.col("triggers")).alias("false_rate"), "time_error")
+
+
+def onsets(df: DataFrame, columns: list[str], thresholds: list[float], off: float, short: int, long: int) -> DataFrame:
+    """trace_id, series, threshold, s, e: triggers of each column's ratio at each threshold, which end below `off` times it. Columns lose their trace's mean."""
+    from .storage import settled
+
+    rows = rolling.per_trace(df, **{f"_m{i}": F.avg(c) for i, c in enumerate(columns)})
+    series = F.explode(F.array(*(F.struct(F.lit(c).alias("series"), (F.col(c) - F.col(f"_m{i}")).alias("x")) for i, c in enumerate(columns))))
+    rows = rows.select("trace_id", "idx", series.alias("_x")).select(F.struct("trace_id", "_x.series").alias("trace_id"), "idx", "_x.x")
+    cf = settled(classic_ratio(rows, "x", "r", short, long).select("trace_id", "idx", "r"), "ratios")
+    many = cf.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    many = many.select(F.struct("trace_id.trace_id", "trace_id.series", "threshold").alias("trace_id"), "idx", (F.col("r") / F.col("threshold")).alias("q"))
+    found = hysteresis(many, "q", 1.0, off)
+    return found.select("trace_id.*", "s", "e")
+
+
+def retention(found: DataFrame, windows: DataFrame, truth: str, series: list[str], thresholds: list[float]) -> DataFrame:
+    """series, threshold, mean and retained_pct: triggers that start in a window (trace_id, s, e), averaged over windows, and that in percent of the truth's."""
+    every = windows.select("trace_id", F.col("s").alias("w0"), F.col("e").alias("w1"))
+    hits = _started(found, every)
+    n = windows.groupBy().agg(F.count(F.lit(1)).alias("windows"))
+    grid = n.withColumn("series", F.explode(F.array(*(F.lit(c) for c in series)))).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    means = grid.join(hits, ["series", "threshold"], "left").select("series", "threshold", F.try_divide(F.coalesce("hits", F.lit(0)).cast("double"), F.col("windows")).alias("mean"))
+    return means.join(means.where(F.col("series") == truth).select("threshold", F.col("mean").alias("_t")), "threshold", "left").select("series", "threshold", "mean", F.try_divide(100 * F.col("mean"), F.col("_t")).alias("retained_pct"))
+
+
+def _started(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """series, threshold and hits: pairs of a trigger and a window that holds its start."""
+    from .ranges import samples_in
+
+    starts = found.select("trace_id", F.col("s").alias("idx"), "series", "threshold")
+    return samples_in(starts, windows, s="w0", e="w1").groupBy("series", "threshold").agg(F.count(F.lit(1)).alias("hits"))
