@@ -72,8 +72,10 @@ def verified(segments: DataFrame, catalog: DataFrame, config: Detection) -> Data
 
 def longest_run(segments: DataFrame, within: DataFrame) -> DataFrame:
     """Segments with the longest part that a run of `within` has in them, 0 if none."""
-    r = within.select(F.col("trace_id").alias("_k"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    rows = segments.join(r, (F.col("trace_id") == F.col("_k")) & (F.col("s") <= F.col("_e")) & (F.col("e") >= F.col("_s")), "left")
+    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / ranges.BUCKET), F.floor(F.col(b) / ranges.BUCKET)))
+    r = within.select(F.col("trace_id").alias("_k"), F.col("s").alias("_s"), F.col("e").alias("_e"), spread("s", "e").alias("_rb"))
+    left = segments.withColumn("_b", spread("s", "e"))
+    rows = left.join(r, (F.col("trace_id") == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.col("s") <= F.col("_e")) & (F.col("e") >= F.col("_s")), "left")
     part = F.least("e", "_e") - F.greatest("s", "_s") + 1
     return rows.groupBy(*segments.columns).agg(F.coalesce(F.max(part), F.lit(0)).cast("long").alias("max_run"))
 

@@ -99,6 +99,30 @@ def cleaning_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(raw, [("threshold", {"limit": 1000}), ("spike", {}), ("z_score", {"k": 3.0})]).select("trace_id", "idx", r("v").alias("v"))
 
 
+@query()
+def composite_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair by kinds: what was done, by role, kind and method."""
+    from ..plans.composite import composite
+
+    catalog = composite(trc(spark, sf_dir).select("trace_id", "idx", "v"))[1]
+    return catalog.groupBy("trace_id", "role", "kind", "method").agg(F.count(F.lit(1)).alias("n"), F.sum(runs.length()).alias("samples"))
+
+
+@query(f"WITH {TRC} SELECT trace_id, count(*) AS n, CAST(0 AS BIGINT) AS touched_walls, CAST(0 AS BIGINT) AS unexplained, CAST(0 AS BIGINT) AS below_one, CAST(0 AS BIGINT) AS outside_catalog FROM trc GROUP BY trace_id")
+def composite_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair by kinds changes nothing in events and gaps, leaves nothing below 1 elsewhere, and says where it changed what."""
+    from ..plans.composite import _marks, composite
+
+    out, catalog = composite(trc(spark, sf_dir).select("trace_id", "idx", "v"))
+    df = _marks(settled(out, "composite"), settled(catalog.where("role = 'repair'"), "repairs"), "listed")
+    df = _marks(df, settled(catalog.where("role <> 'repair'"), "kept"), "wall")
+    changed = ~F.col("v").eqNullSafe(F.col("w"))
+    return df.groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("wall") & changed).alias("touched_walls"), F.count_if(changed & F.col("how").isNull()).alias("unexplained"),
+        F.count_if(~F.col("wall") & (F.col("w").isNull() | (F.col("w") < 1))).alias("below_one"), F.count_if(changed & ~F.col("listed") & (F.col("how") == "segment")).alias("outside_catalog"),
+    )
+
+
 U = "CAST('0x' || substr(md5(7 || '|' || {draw} || '|' || {unit}), 1, 13) AS BIGINT) / 4503599627370496.0"
 WEIGHT = " + ".join(f"(CASE WHEN u >= {b!r} THEN 1 ELSE 0 END)" for b in stats.POISSON)
 
