@@ -76,7 +76,7 @@ def longest_run(segments: DataFrame, within: DataFrame) -> DataFrame:
     r = within.select(F.col("trace_id").alias("_k"), F.col("s").alias("_s"), F.col("e").alias("_e"), spread("s", "e").alias("_rb"))
     left = segments.withColumn("_b", spread("s", "e"))
     rows = left.join(r, (F.col("trace_id") == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.col("s") <= F.col("_e")) & (F.col("e") >= F.col("_s")), "left")
-    part = F.least("e", "_e") - F.greatest("s", "_s") + 1
+    part = F.when(F.col("_s").isNotNull(), F.least("e", "_e") - F.greatest("s", "_s") + 1)
     return rows.groupBy(*segments.columns).agg(F.coalesce(F.max(part), F.lit(0)).cast("long").alias("max_run"))
 
 

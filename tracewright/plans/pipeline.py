@@ -29,7 +29,7 @@ def cleaned(samples: DataFrame, methods: list[tuple[str, dict]]) -> DataFrame:
 
 
 def repaired(samples: DataFrame, detection: Detection | None = None, repair: Repair | None = None, protected: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Samples (trace_id, idx, v) with w, and a catalog of what was done (trace_id, s, e, role, method).
+    """Samples (trace_id, idx, v) with w and whether they were taken for a spike, and a catalog of what was done (trace_id, s, e, role, method).
 
     Runs of missing samples are graded by length: short ones lie on a line, middle ones, of which no sample is known, at the level of their surroundings,
     long ones are rebuilt from both sides; runs longer than the longest repair are gaps and stay. Spikes are put on a line.
@@ -61,7 +61,7 @@ def repaired(samples: DataFrame, detection: Detection | None = None, repair: Rep
     in_gap = ranges.samples_in(df.select("trace_id", "idx"), gaps).select("trace_id", "idx", F.lit(True).alias("_gap"))
     done = done.join(in_gap, ["trace_id", "idx"], "left")
     value = F.when(keep | F.coalesce("_gap", F.lit(False)), F.col("v")).otherwise(F.greatest(F.lit(1.0), F.rint("z")) if repair.quantize else F.col("z"))
-    out = done.select("trace_id", "idx", "v", value.alias("w"))
+    out = done.select("trace_id", "idx", "v", value.alias("w"), (F.col("_spike") & ~keep).alias("spike"))
     rows = work.select("trace_id", "s", "e", F.lit("repair").alias("role"), "method").unionByName(gaps.select("trace_id", "s", "e", F.lit("gap").alias("role"), F.lit("keep").alias("method")))
     if protected is not None:
         rows = rows.unionByName(protected.select("trace_id", "s", "e", F.lit("event").alias("role"), F.lit("catalog_protect").alias("method")))

@@ -175,7 +175,7 @@ def primary_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.primary_kind(masked, found).select("trace_id", "s", "e", "kind", r("missing_share").alias("missing_share"))
 
 
-@query(f"WITH {MISS_RUNS}, blocks AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM trc GROUP BY trace_id, idx // 250), l AS (SELECT b.trace_id, b.s, b.e, coalesce(max(least(b.e, m.e) - greatest(b.s, m.s) + 1), 0) AS max_run FROM blocks b LEFT JOIN miss m ON m.trace_id = b.trace_id AND m.s <= b.e AND m.e >= b.s GROUP BY ALL), q AS (SELECT l.*, avg(CASE WHEN {MISSING} THEN 1.0 ELSE 0.0 END) AS f FROM l JOIN trc ON trc.trace_id = l.trace_id AND trc.idx BETWEEN l.s AND l.e GROUP BY ALL) SELECT trace_id, s, e, CAST(max_run AS BIGINT) AS max_run, round(f, 6) AS missing_share, CASE WHEN f > 0.1 THEN CASE WHEN f <= 0.12 THEN 'missing_runs' WHEN max_run <= 2 THEN 'linear' WHEN max_run <= 20 THEN 'zscore' ELSE 'core' END ELSE 'core' END AS method, 'miss_frac=' || printf('%.3f', f) || ' max_run=' || max_run AS note FROM q")
+@query(f"WITH {MISS_RUNS}, blocks AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM trc GROUP BY trace_id, idx // 250), l AS (SELECT b.trace_id, b.s, b.e, coalesce(max(CASE WHEN m.s IS NOT NULL THEN least(b.e, m.e) - greatest(b.s, m.s) + 1 END), 0) AS max_run FROM blocks b LEFT JOIN miss m ON m.trace_id = b.trace_id AND m.s <= b.e AND m.e >= b.s GROUP BY ALL), q AS (SELECT l.*, avg(CASE WHEN {MISSING} THEN 1.0 ELSE 0.0 END) AS f FROM l JOIN trc ON trc.trace_id = l.trace_id AND trc.idx BETWEEN l.s AND l.e GROUP BY ALL) SELECT trace_id, s, e, CAST(max_run AS BIGINT) AS max_run, round(f, 6) AS missing_share, CASE WHEN f > 0.1 THEN CASE WHEN f <= 0.12 THEN 'missing_runs' WHEN max_run <= 2 THEN 'linear' WHEN max_run <= 20 THEN 'zscore' ELSE 'core' END ELSE 'core' END AS method, 'miss_frac=' || printf('%.3f', f) || ' max_run=' || max_run AS note FROM q")
 def graded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 250 samples graded by their share of missing samples and the longest run, with a note."""
     samples = trc(spark, sf_dir).withColumn("missing", masks.missing_counts(F.col("v")))

@@ -80,8 +80,7 @@ def pipeline_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = out.join(inside(safe, "p"), ["trace_id", "idx"], "left").join(inside(touching, "t"), ["trace_id", "idx"], "left").join(inside(missing, "m"), ["trace_id", "idx"], "left")
     p, t, m = (F.coalesce(c, F.lit(False)) for c in ("p", "t", "m"))
     changed = ~F.col("v").eqNullSafe(F.col("w"))
-    # a change of a sample that wasn't missing can only be a spike, and spikes are far from what they become
-    leak = ~p & ~m & changed & (F.abs(F.col("v") - F.col("w")) < 8 * 0.25)
+    leak = ~p & ~m & ~F.col("spike") & changed
     return df.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~p & ~t & masks.missing_counts(F.col("w"))).alias("residual"), F.count_if(leak).alias("leaks"), F.count_if(p).alias("protected"), F.count_if(p & changed).alias("protected_changed"))
 
 
