@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, sharding, simhash, sql, toxicity
+from . import decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, quality_rules, sharding, simhash, sql, toxicity, vector_codes
+from .common import written
 
 #: Shards of the placement query.
 SHARDS = 16
@@ -73,10 +74,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_id").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op9_pii, op10_mixing)}
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *quality_rules.MEASURES, F.array_join("failed", ",").alias("failed"), "base_failed", "kept")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encoded(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = written(coded.select("vec_id", "code", "error", "label"), "vector-codes")
+    found = vector_codes.with_label_error(coded)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_sha256(books)).alias("codebooks_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op9_pii, op10_mixing, op12_quality_rules, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": sql.sharding_sql(SHARDS),
     "op3_exact_dedup": sql.EXACT_DEDUP_SQL,
     "op4_line_dedup": sql.LINE_DEDUP_SQL,
     "op10_mixing": sql.mixing_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op12_quality_rules": sql.quality_rules_sql(),
+    "op13_vector_codes": sql.vector_codes_sql(),
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .line_dedup import SITES
 from .mixing import DOMAIN_WEIGHTS
+from .quality_rules import BASE_RULES, MARKS, MEASURES, RULES, STOP_WORDS, WINDOW, Rule
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 
 def sharding_sql(shards: int, per_rack: int = 4, racks_per_region: int = 2) -> str:
@@ -68,3 +70,53 @@ WITH rows AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, lang,
     o AS (SELECT r.*, given, whole, given - whole * held AS rest, md5('{seed}|' || whole || '|' || id) AS h FROM rows r JOIN sg ON r.domain = sg.domain AND r.lang IS NOT DISTINCT FROM sg.lang AND r.source IS NOT DISTINCT FROM sg.source),
     b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN given > 0 AND whole < {epochs} AND before + tokens / 2 <= rest + 1e-6 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM b"""
+
+
+def quality_rules_sql() -> str:
+    """Measures by rows of words, windows and lines; the rules as comparisons of whole numbers."""
+    quoted = lambda texts: ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    listed = quoted(sorted({w + mark for words in STOP_WORDS.values() for w in words for mark in ("", *MARKS)}))
+
+    def broken(rule: Rule) -> str:
+        whole = rule.whole or "1"
+        bounds = [f"{rule.part} * 1000 {sign} {whole} * {bound}" for sign, bound in (("<", rule.low), (">", rule.high)) if bound is not None]
+        return f"({whole} > 0 AND n_words >= {rule.words} AND ({' OR '.join(bounds)}))"
+
+    names = ", ".join(f"CASE WHEN {broken(rule)} THEN '{rule.name}' END" for rule in (*BASE_RULES, *RULES))
+    base = " OR ".join(broken(rule) for rule in BASE_RULES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+        list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x IN ({listed})) AS stops FROM d),
+    windows AS (SELECT r, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS window_words FROM (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) > {WINDOW})),
+    twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, window_words) AS n FROM windows) WHERE n > 1),
+    covered AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS pos FROM twice) GROUP BY r),
+    m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(length(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS BIGINT) AS n_capitals, CAST(len(stops) AS BIGINT) AS n_stop_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (r))
+SELECT doc_id, {", ".join(MEASURES)}, concat_ws(',', {names}) AS failed, {base} AS base_failed, concat_ws(',', {names}) = '' AS kept FROM m"""
+
+
+def vector_codes_sql() -> str:
+    """Each round's codebooks are a table of their own; every part is compared with every entry."""
+
+    def nearest(books: str) -> str:
+        return f"""SELECT vec_id, part, v, d.e AS entry, d.d AS distance FROM (SELECT vec_id, part, p.v AS v, min({{'d': p.norm - 2 * CAST(list_inner_product(p.d, b.d) AS BIGINT) + b.norm, 'e': entry}}) AS d FROM parts p JOIN {books} b USING (part) GROUP BY ALL)"""
+
+    rounds = []
+    for i in range(1, ROUNDS + 1):
+        rounds.append(f"""
+    near_{i} AS MATERIALIZED ({nearest(f"books_{i - 1}")}),
+    moved_{i} AS (SELECT part, entry, list(mean ORDER BY pos) AS v FROM (SELECT part, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mean FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM near_{i}) GROUP BY ALL) GROUP BY ALL),
+    books_{i} AS MATERIALIZED (SELECT part, entry, v, {_FLOATS}, {_NORM} FROM (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM books_{i - 1} b LEFT JOIN moved_{i} m USING (part, entry))),""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, part, v, {_FLOATS}, {_NORM} FROM (SELECT vec_id, part, v[part * len(v) // {PARTS} + 1:(part + 1) * len(v) // {PARTS}] AS v FROM kept, range({PARTS}) t(part))),
+    books_0 AS MATERIALIZED (SELECT part, n AS entry, v, d, norm FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM kept) USING (vec_id) WHERE n < {ENTRIES}),{"".join(rounds)}
+    found AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM ({nearest(f"books_{ROUNDS}")}) GROUP BY vec_id),
+    books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books_{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM found JOIN kept USING (vec_id), books"""
+
+
+_FLOATS, _NORM = "list_transform(v, lambda x: CAST(x AS DOUBLE)) AS d", "CAST(list_sum(list_transform(v, lambda x: x * x)) AS BIGINT) AS norm"
