@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, quality_rules, sharding, simhash, sql, toxicity, vector_codes
+from . import conversation_repair, decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, mixing, pii, quality_rules, sharding, simhash, sql, toxicity, vector_codes
 from .common import written
 
 #: Shards of the placement query.
@@ -74,6 +74,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_id").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with a fault in every fourth row, by a checksum of its place: dropped, emptied, left without ends of sentences, repeated, or given to the user."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in turns.columns}
+    fault = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    body = F.when(fault == 1, "").when(fault == 2, F.translate(text["text"], ".!?", "")).otherwise(text["text"])
+    rows = turns.where(fault != 0).select("conv_id", "turn", F.when(fault == 4, "user").otherwise(text["role"]).alias("role"), body.alias("text"), F.when(fault == 3, 2).otherwise(1).alias("times"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, _ = conversation_repair.repaired(damaged(turns))
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *quality_rules.MEASURES, F.array_join("failed", ",").alias("failed"), "base_failed", "kept")
@@ -86,7 +103,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_sha256(books)).alias("codebooks_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op9_pii, op10_mixing, op12_quality_rules, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op9_pii, op10_mixing, op11_conversation_repair, op12_quality_rules, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": sql.sharding_sql(SHARDS),
     "op3_exact_dedup": sql.EXACT_DEDUP_SQL,
