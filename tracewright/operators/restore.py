@@ -113,19 +113,23 @@ def low_edges(segments: DataFrame, samples: DataFrame, column: str, bad: str, mo
 def masked_references(segments: DataFrame, others: DataFrame, samples: DataFrame, column: str, reach: int, bad: str) -> DataFrame:
     """trace_id, s, e, a, b, level: the parts a to b of other segments within `reach` of a segment, and the level to put them at while it is rebuilt.
 
-    The level is the median of the good samples within `reach` of the part, or the trace's if there are fewer than 8.
+    The level is the median of the good samples within `reach` of the part, or the trace's if there are fewer than 8; a column `whole` of the samples, if there is one, is that
+    median. With a column `seq` in both, other segments count if they come later or have none.
     """
+    ordered = "seq" in segments.columns and "seq" in others.columns
     size = max(ranges.BUCKET, reach)
     spread = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
-    left = segments.select(*KEY, (F.col("s") - reach).alias("_w0"), (F.col("e") + reach).alias("_w1")).withColumn("_b", spread(F.col("_w0"), F.col("_w1")))
-    right = others.select("trace_id", F.col("s").alias("_s"), F.col("e").alias("_e")).withColumn("_b", spread(F.col("_s"), F.col("_e")))
+    own, their = ([F.col("seq").alias("_seq")], [F.col("seq").alias("_later")]) if ordered else ([], [])
+    left = segments.select(*KEY, *own, (F.col("s") - reach).alias("_w0"), (F.col("e") + reach).alias("_w1")).withColumn("_b", spread(F.col("_w0"), F.col("_w1")))
+    right = others.select("trace_id", F.col("s").alias("_s"), F.col("e").alias("_e"), *their).withColumn("_b", spread(F.col("_s"), F.col("_e")))
     pairs = left.join(right, ["trace_id", "_b"]).where("_s <= _w1 AND _e >= _w0 AND NOT (_s = s AND _e = e)")
+    pairs = pairs.where("_later IS NULL OR _later > _seq") if ordered else pairs
     parts = settled(pairs.select(*KEY, F.greatest("_s", F.greatest("_w0", F.lit(0))).cast("long").alias("a"), F.least("_e", "_w1").cast("long").alias("b")).distinct(), "parts")
     good = samples.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("v"))
     spans = parts.select("trace_id", "a", "b").distinct().withColumns({"_w0": F.greatest(F.col("a") - reach, F.lit(0)), "_w1": F.col("b") + reach})
     near = ranges.samples_in(good, spans, s="_w0", e="_w1").where((F.col("idx") < F.col("a")) | (F.col("idx") > F.col("b")))
     near = near.groupBy("trace_id", "a", "b").agg(rolling.median("v").alias("_m"), F.count(F.lit(1)).alias("_k"))
-    whole = good.groupBy("trace_id").agg(rolling.median("v").alias("_whole"))
+    whole = samples.groupBy("trace_id").agg(F.first("whole").alias("_whole")) if "whole" in samples.columns else good.groupBy("trace_id").agg(rolling.median("v").alias("_whole"))
     rows = parts.join(near, ["trace_id", "a", "b"], "left").join(whole, "trace_id", "left")
     return rows.select(*KEY, "a", "b", F.when(F.col("_k") >= 8, F.col("_m")).otherwise(F.col("_whole")).alias("level"))
 
@@ -136,9 +140,9 @@ def guard(segments: DataFrame, samples: DataFrame, raw: str, rebuilt: str, bad:
     'energy': it moves more than the good samples it replaces and than its surroundings. 'alive': half or more of the segment was there
     and moved like its surroundings, so that it needn't be repaired. Else 'kept'.
     """
-    rows = samples.select("trace_id", "idx", F.col(raw).alias("v"), F.col(rebuilt).alias("w"), F.col(bad).alias("_bad"))
+    rows = rolling.sized(samples).select("trace_id", "idx", "n", F.col(raw).alias("v"), F.col(rebuilt).alias("w"), F.col(bad).alias("_bad"))
     good = F.when(~F.col("_bad"), F.col("v"))
-    inside = ranges.samples_in(rolling.sized(rows), segments.select(*KEY)).groupBy(*KEY).agg(
+    inside = ranges.samples_in(rows, segments.select(*KEY)).groupBy(*KEY).agg(
         F.count(good).alias("_k"), F.when(F.count(good) > 3, F.stddev_pop(good)).alias("raw_std"), F.when(F.count("w") > 3, F.stddev_pop("w")).otherwise(0.0).alias("new_std"), F.avg(F.col("_bad").cast("double")).alias("_gone"),
         F.count_if(F.col("idx") <= F.col("n") - 2).alias("_n1"), (F.max(F.when(F.col("idx") <= F.col("n") - 2, F.col("v"))) > F.min(F.when(F.col("idx") <= F.col("n") - 2, F.col("v")))).alias("_moves"),
     )
@@ -155,15 +159,41 @@ def guard(segments: DataFrame, samples: DataFrame, raw: str, rebuilt: str, bad:
     return segments.join(rows.select(*KEY, "raw_std", "new_std", "around_std", verdict.alias("verdict"), (around_factor * F.col("around_std")).alias("most_std")), KEY)
 
 
+def realigned(segments: DataFrame, samples: DataFrame, raw: str, rebuilt: str, bad: str, sr: float, side_s: float = 45.0, skip_s: tuple[float, float] = (10.0, 35.0), long_s: float = 60.0) -> DataFrame:
+    """trace_id, s, e, idx, w of the segments' samples: what was rebuilt, on the line that its surroundings give, and pressed to most_std around it.
+
+    segments have around_std and most_std. The line runs from the median of the good samples just before to that of those after, where what directly follows is
+    skipped (more of it after a long segment). If the right is far from the left or much less steady, or isn't there, the line is level at the left's median; without a left, at the
+    rebuilt segment's own.
+    """
+    good = samples.where(~F.col(bad)).select("trace_id", "idx", F.col(raw).alias("v"))
+    side, skip = int(side_s * sr), F.when(runs.length() > int(long_s * sr), int(skip_s[1] * sr)).otherwise(int(skip_s[0] * sr))
+    out = segments.select(*KEY, "around_std", "most_std")
+    for name, low, high in (("l", F.col("s") - side, F.col("s") - 1), ("r", F.col("e") + 1 + skip, F.col("e") + skip + side)):
+        wide = segments.select(*KEY, F.greatest(low, F.lit(0)).cast("long").alias("_w0"), high.cast("long").alias("_w1")).where("_w1 >= _w0")
+        found = _levels(ranges.samples_in(good, wide, s="_w0", e="_w1"), KEY, "v").where("k >= 4")
+        out = out.join(found.select(*KEY, F.col("m").alias(f"_m{name}"), F.col("sc").alias(f"_c{name}")), KEY, "left")
+    inside = ranges.samples_in(samples.select("trace_id", "idx", F.col(rebuilt).alias("w")), out)
+    t = (F.col("idx") - F.col("s")) / F.greatest(F.col("e") - F.col("s"), F.lit(1))
+    fitted = inside.groupBy(*KEY).agg(rolling.median("w").alias("_own"), F.regr_slope("w", t).alias("_b"), F.regr_intercept("w", t).alias("_a"), F.avg("w").alias("_mean"))
+    inside = inside.join(fitted, KEY)
+    left, left_scale = F.coalesce("_ml", "_own"), F.when(F.col("_ml").isNull(), 0.0).otherwise(F.col("_cl"))
+    right, right_scale = F.coalesce("_mr", left), F.when(F.col("_mr").isNull(), left_scale).otherwise(F.col("_cr"))
+    unsteady = (right_scale > 0) & (left_scale > 0) & (right_scale > 3.0 * F.greatest(left_scale, F.lit(0.5)))
+    clean = (F.abs(right - left) < 2.0 * F.greatest(F.col("around_std"), F.lit(0.5))) & ~unsteady
+    line = left + F.when(clean, right - left).otherwise(0.0) * t
+    moved = inside.withColumn("_line", line).withColumn("_x", F.col("w") - F.coalesce(F.col("_a") + F.col("_b") * t, F.col("_mean")) + F.col("_line"))
+    spread = moved.groupBy(*KEY).agg(F.when(F.count("_x") > 3, F.stddev_pop("_x")).otherwise(0.0).alias("_std"))
+    most = F.greatest(F.col("most_std"), F.lit(0.5))
+    press = F.when((F.col("_std") > most) & (F.col("_std") > 1e-9), most / F.col("_std")).otherwise(1.0)
+    return moved.join(spread, KEY).select(*KEY, "idx", (F.col("_line") + (F.col("_x") - F.col("_line")) * press).alias("w"))
+
+
 def fade(position: Column, n: Column) -> Column:
     """0 at the first of n places, 1 at the last."""
     return position / F.greatest(n - 1, F.lit(1))
 
 
-def smoothstep(t: Column) -> Column:
-    return t * t * (3 - 2 * t)
-
-
 def crossfaded(segments: DataFrame, samples: DataFrame, raw: str, rebuilt: str, bad: str, sr: float, blend_s: float = 10.0, context_s: float = 30.0) -> DataFrame:
     """trace_id, s, e, idx, w of the segments' samples: at both edges what was rebuilt fades into the line that the good samples outside go on with.
 

@@ -41,29 +41,32 @@ def _fill(method: str, before, after, left, right, n: int, sr: float, gap: int,
     return np.interp(at, x, y)
 
 
-def segment_contexts(samples: DataFrame, segments: DataFrame, sr: float, gap: int, bad: str = "bad", column: str = "v", reach=None) -> DataFrame:
-    """Segments with arrays of the good samples before and after: references beyond the safety gap, and what touches the segment."""
-    good = samples.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("v"))
-    held = ranges.reference_windows(segments, rolling.lengths(samples), ranges.auto_reference(sr) if reach is None else reach, gap)
-    wide = held.withColumns({"w0": F.greatest(F.lit(0), F.least("b_s", F.col("s") - CONTEXT)).cast("long"), "w1": F.greatest("a_e", F.col("e") + CONTEXT)})
-    keys = ["trace_id", "s", "e"]
-    pairs = ranges.samples_in(good, wide, s="w0", e="w1")
+def context_windows(segments: DataFrame, n: DataFrame, sr: float, gap: int, reach=None) -> DataFrame:
+    """Segments with the bounds of their references, and w0 to w1, all that they look at. n: lengths of the traces."""
+    held = ranges.reference_windows(segments, n, ranges.auto_reference(sr) if reach is None else reach, gap)
+    return held.withColumns({"w0": F.greatest(F.lit(0), F.least("b_s", F.col("s") - CONTEXT)).cast("long"), "w1": F.greatest("a_e", F.col("e") + CONTEXT)})
+
+
+def context_arrays(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """From pairs of a good sample (idx, v) and a segment with bounds: arrays of the references, and of what touches the segment."""
     i = F.col("idx")
     take = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("idx", "v")))), lambda x: x["v"])
-    arrays = pairs.groupBy(*keys).agg(
+    return pairs.groupBy(*keys).agg(
         take(i.between(F.col("b_s"), F.col("b_e"))).alias("before"), take(i.between(F.col("a_s"), F.col("a_e"))).alias("after"),
         take(i.between(F.col("s") - CONTEXT, F.col("s") - 1)).alias("left"), take(i.between(F.col("e") + 1, F.col("e") + CONTEXT)).alias("right"),
     )
-    return segments.join(arrays, keys, "left")
 
 
-def replaced(samples: DataFrame, segments: DataFrame, sr: float, gap_s: float = 1.0, seed: int = 0, quantize: bool = False, bad: str = "bad", column: str = "v") -> tuple[DataFrame, DataFrame]:
-    """Repairs segments (trace_id, s, e, method): rows (trace_id, s, idx, w) of new values, and a report per segment.
+def segment_contexts(samples: DataFrame, segments: DataFrame, sr: float, gap: int, bad: str = "bad", column: str = "v", reach=None) -> DataFrame:
+    """Segments with arrays of the good samples before and after: references beyond the safety gap, and what touches the segment."""
+    good = samples.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("v"))
+    wide = context_windows(segments, rolling.lengths(samples), sr, gap, reach)
+    keys = ["trace_id", "s", "e"]
+    return segments.join(context_arrays(ranges.samples_in(good, wide, s="w0", e="w1"), keys), keys, "left")
 
-    Segments are repaired from the samples as given, side by side. Nothing outside them is written.
-    """
-    gap = round(gap_s * sr)
-    contexts = segment_contexts(samples, segments, sr, gap, bad, column)
+
+def rebuilt(contexts: DataFrame, sr: float, gap: int, seed: int = 0, quantize: bool = False) -> DataFrame:
+    """From segments (trace_id, s, e, method) with their references and surroundings as arrays: a report per segment with `values`."""
 
     def each(frames):
         for pdf in frames:
@@ -79,9 +82,22 @@ def replaced(samples: DataFrame, segments: DataFrame, sr: float, gap_s: float =
             columns = ["trace_id", "s", "e", "method", "mean", "std", "spectral", "envelope", "dc", "autocorr", "energy", "passed", "seed", "values"]
             yield pd.DataFrame(rows, columns=columns)
 
-    done = contexts.select("trace_id", "s", "e", "method", "before", "after", "left", "right").mapInPandas(each, f"{REPORT}, values array<double>")
-    values = done.select("trace_id", "s", F.posexplode("values").alias("k", "w")).select("trace_id", "s", (F.col("s") + F.col("k")).alias("idx"), "w")
-    return values, done.drop("values")
+    return contexts.select("trace_id", "s", "e", "method", "before", "after", "left", "right").mapInPandas(each, f"{REPORT}, values array<double>")
+
+
+def placed(done: DataFrame) -> DataFrame:
+    """trace_id, s, idx, w of segments with `values`."""
+    return done.select("trace_id", "s", F.posexplode("values").alias("k", "w")).select("trace_id", "s", (F.col("s") + F.col("k")).alias("idx"), "w")
+
+
+def replaced(samples: DataFrame, segments: DataFrame, sr: float, gap_s: float = 1.0, seed: int = 0, quantize: bool = False, bad: str = "bad", column: str = "v") -> tuple[DataFrame, DataFrame]:
+    """Repairs segments (trace_id, s, e, method): rows (trace_id, s, idx, w) of new values, and a report per segment.
+
+    Segments are repaired from the samples as given, side by side. Nothing outside them is written.
+    """
+    gap = round(gap_s * sr)
+    done = rebuilt(segment_contexts(samples, segments, sr, gap, bad, column), sr, gap, seed, quantize)
+    return placed(done), done.drop("values")
 
 
 def written_back(samples: DataFrame, values: DataFrame, column: str = "v", out: str = "w") -> DataFrame:
