@@ -55,6 +55,19 @@ def merge_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.merged_by_reference(missing(spark, sf_dir), SR, 6.0, 30.0, 0.5, 90.0)
 
 
+NEED = f"least(greatest({{}} / {SR} * 0.5, 6), 30)"
+
+
+@query(f"""WITH RECURSIVE {MISS_RUNS}, o AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY s) AS k FROM miss),
+    f AS (SELECT trace_id, k, s, e, 1 AS g FROM o WHERE k = 1
+        UNION ALL SELECT trace_id, k, CASE WHEN j THEN ps ELSE s END, CASE WHEN j THEN greatest(pe, e) ELSE e END, CASE WHEN j THEN g ELSE g + 1 END FROM (SELECT o.trace_id, o.k, o.s, o.e, f.s AS ps, f.e AS pe, g, (o.s - f.e - 1) / {SR} < {NEED.format('(f.e - f.s + 1)')} + {NEED.format('(o.e - o.s + 1)')} + 2 AS j FROM f JOIN o ON o.trace_id = f.trace_id AND o.k = f.k + 1)),
+    u AS (SELECT trace_id, g, min(s) AS m_s, max(e) AS m_e FROM f GROUP BY ALL)
+SELECT trace_id, o.s, o.e, m_s, m_e FROM o JOIN f USING (trace_id, k) JOIN u USING (trace_id, g)""")
+def merged_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing runs with the units that they are rebuilt in, as room for references demands."""
+    return runs.merged_by_need(missing(spark, sf_dir), SR, 6.0, 30.0)
+
+
 @query(f"WITH {MISS_RUNS}, m AS ({MERGED.format(apart='s - prev > 100', table='miss')}), f AS (SELECT m.trace_id, m.s, m.e, avg(CASE WHEN {MISSING} THEN 1.0 ELSE 0.0 END) AS share FROM m JOIN trc ON trc.trace_id = m.trace_id AND trc.idx BETWEEN m.s AND m.e GROUP BY ALL) SELECT trace_id, s, e, 'repair' AS role FROM f WHERE e - s + 1 <= 150 UNION ALL SELECT trace_id, s, e, 'gap' FROM f WHERE e - s + 1 > 150 AND share > 0.5 UNION ALL SELECT trace_id, b, least(b + 149, e), 'repair' FROM (SELECT *, unnest(generate_series(s, e, 150)) AS b FROM f WHERE e - s + 1 > 150 AND share <= 0.5)")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = trc(spark, sf_dir).withColumn("missing", masks.missing_counts(F.col("v")))
