@@ -184,7 +184,7 @@ def test_day_replacement(spark):
     old = spark.createDataFrame([("S1", "d1", 0, 5, "repair", "core", ""), ("S1", "d2", 0, 5, "repair", "core", "")], cols)
     new = spark.createDataFrame([("S1", "d1", 3, 9, "repair", "linear", "a"), ("S1", "d1", 50, 60, "repair", "core", "b")], cols)
     manual = spark.createDataFrame([("S1", "d1", 9, 12)], "station string, day string, s long, e long")
-    assert {(r.day, r.s, r.method, r.note) for r in catalogs.day_replaced(old, new, manual).collect()} == {("d2", 0, "core", ""), ("d1", 3, "manual_apply", "a | manual"), ("d1", 50, "core", "b")}
+    assert {(r.day, r.s, r.method, r.note) for r in catalogs.day_replaced(old, new, manual).collect()} == {("d2", 0, "core", ""), ("d1", 3, "manual_apply", "a | manual apply"), ("d1", 50, "core", "b")}
 
 
 def test_kernels():
@@ -245,7 +245,7 @@ NAMES = [n for n in __spark_entry__.oracle_sql() if not n.startswith("op") and n
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "orders lineitem events embeddings".split():
+    for t in "orders lineitem events embeddings part".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

@@ -17,16 +17,62 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("_r", rank).where("_r = 1").drop("_r", "_batch")
 
 
+def marked_manual(rows: DataFrame, manual: DataFrame, bucket: int = ranges.BUCKET) -> DataFrame:
+    """Rows where repairs that overlap a manual range (station, day, s, e) have method manual_apply and a note more. The join is on buckets of the place."""
+    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
+    by_hand = manual.select("station", "day", F.col("s").alias("_s"), F.col("e").alias("_e")).withColumn("_b", spread("_s", "_e"))
+    repairs = rows.where("kind = 'repair'").select(*KEY).distinct().withColumn("_b", spread("s", "e"))
+    marks = repairs.join(by_hand, ["station", "day", "_b"]).where("s <= _e AND e >= _s").select(*KEY).distinct().withColumn("_m", F.lit(True))
+    rows = rows.join(marks, list(KEY), "left")
+    note = F.concat_ws(" | ", F.nullif("note", F.lit("")), F.lit("manual apply"))
+    return rows.withColumns({"note": F.when(F.col("_m"), note).otherwise(F.col("note")), "method": F.when(F.col("_m"), "manual_apply").otherwise(F.col("method"))}).drop("_m")
+
+
 def day_replaced(old: DataFrame, new: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """All rows of the days in new replaced; new repair rows that overlap a manual range (station, day, s, e) are marked."""
     kept = old.join(new.select("station", "day").distinct(), ["station", "day"], "left_anti")
-    if manual is not None:
-        r = manual.select(F.col("station").alias("_st"), F.col("day").alias("_d"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-        hit = new.join(r, (F.col("station") == F.col("_st")) & (F.col("day") == F.col("_d")) & (F.col("s") <= F.col("_e")) & (F.col("e") >= F.col("_s")), "left_semi")
-        marks = hit.where("kind = 'repair'").select(*KEY).distinct().withColumn("_m", F.lit(True))
-        new = new.join(marks, list(KEY), "left")
-        new = new.withColumns({"note": F.when(F.col("_m"), F.concat_ws(" | ", F.nullif("note", F.lit("")), F.lit("manual"))).otherwise(F.col("note")), "method": F.when(F.col("_m"), "manual_apply").otherwise(F.col("method"))}).drop("_m")
-    return kept.unionByName(new)
+    return kept.unionByName(new if manual is None else marked_manual(new, manual))
+
+
+def first_by_name(files: DataFrame, prefix: str, suffix: str = ".csv") -> DataFrame:
+    """Of files (path, name, priority) called prefix...suffix the one of the least priority for each name, and of those the first path."""
+    named = files.where(F.col("name").startswith(prefix) & F.col("name").endswith(suffix))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("priority", "path"))
+    return named.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
+def event_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """priority, form ('json' or 'csv') and text of the event catalogs among the paths that exist, the first being the one to go by."""
+    found = spark.createDataFrame([], "priority int, form string, text string")
+    conf = spark._jsc.hadoopConfiguration()
+    for k, path in enumerate(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            rows = spark.read.text(path, wholetext=True)
+            found = found.unionByName(rows.select(F.lit(k).alias("priority"), F.lit("csv" if path.endswith(".csv") else "json").alias("form"), F.col("value").alias("text")))
+    return found
+
+
+def events_of(documents: DataFrame) -> DataFrame:
+    """event_ts, distinct, of the event catalog to go by: the first JSON document whose list `events` isn't empty, else all CSV documents.
+
+    JSON events are ISO times, CSV ones stand in the column Date as YYMMDDHHMM; what isn't a time is dropped, and a document that can't be read counts as one without events.
+    """
+    events = F.from_json("text", "events array<string>")["events"]
+    lists = documents.where("form = 'json'").select("priority", events.alias("events")).where(F.size("events") > 0)
+    first = lists.agg(F.min("priority").alias("_first"))
+    chosen = lists.join(F.broadcast(first), F.col("priority") == F.col("_first")).select(F.explode("events").alias("at"))
+    by_json = chosen.select(F.to_timestamp_ntz(F.when(F.try_to_timestamp("at").isNotNull(), F.try_to_timestamp("at").cast("string"))).alias("event_ts")).where("event_ts IS NOT NULL")
+    lines = documents.where("form = 'csv'").select(F.split(F.regexp_replace("text", "\r", ""), "\n").alias("lines"))
+    place = F.array_position(F.transform(F.split(F.regexp_replace(F.col("lines")[0], "^\ufeff", ""), ","), F.trim), "Date").cast("int")
+    dates = lines.select(place.alias("place"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).where("place > 0")
+    dates = dates.select(F.trim(F.try_element_at(F.split("line", ","), F.col("place"))).alias("Date")).where(F.col("Date").rlike("^[0-9]{10}$"))
+    return by_json.unionByName(event_times(dates).join(F.broadcast(first.where("_first IS NOT NULL")), how="left_anti")).distinct()
+
+
+def seconds_of_day(events: DataFrame) -> DataFrame:
+    """day (YYYYMMDD) and the distinct seconds after its beginning, of event_ts."""
+    return events.select(F.date_format("event_ts", "yyyyMMdd").alias("day"), (F.hour("event_ts") * 3600 + F.minute("event_ts") * 60 + F.second("event_ts")).cast("long").alias("second")).distinct()
 
 
 def catalog_rows(segments: DataFrame, sr: float) -> DataFrame:

@@ -19,12 +19,12 @@ def parsed(df: DataFrame, name: str = "name") -> DataFrame:
     parts = F.split(F.regexp_replace(F.col(name), r"(?i)\.mseed$", ""), r"\.")
     count, is_file = F.size("_p"), F.col(name).rlike(r"(?i)\.mseed$")
     day_file, fragment = is_file & (count == 3), is_file & (count >= 5)
-    start = F.substring(F.regexp_replace(F.element_at(F.split(F.col("_p")[4], "-"), 1), "_", ""), 1, 8)
+    start = F.substring(F.regexp_replace(F.element_at(F.split(F.get("_p", F.lit(4)), "-"), 1), "_", ""), 1, 8)
     df = df.withColumn("_p", F.explode(F.array(parts)))  # split once: a plain column would be put in each place that uses it
-    day = F.when(day_file, F.col("_p")[2]).when(fragment, start)
-    ok = day.rlike("^[0-9]{8}$") & (F.col("_p")[0] != "") & (F.col("_p")[1] != "")
+    day = F.when(day_file, F.get("_p", F.lit(2))).when(fragment, start)
+    ok = day.rlike("^[0-9]{8}$") & (F.get("_p", F.lit(0)) != "") & (F.get("_p", F.lit(1)) != "")
     pick = lambda one, other: F.when(ok & day_file, one).when(ok & fragment, other)
-    return df.withColumns({"net": pick(F.col("_p")[0], F.col("_p")[0]), "sta": pick(F.col("_p")[1], F.col("_p")[1]), "loc": pick(F.lit(""), F.col("_p")[2]), "cha": pick(F.lit(""), F.col("_p")[3]), "day": F.when(ok, day)}).drop("_p")
+    return df.withColumns({"net": pick(F.get("_p", F.lit(0)), F.get("_p", F.lit(0))), "sta": pick(F.get("_p", F.lit(1)), F.get("_p", F.lit(1))), "loc": pick(F.lit(""), F.get("_p", F.lit(2))), "cha": pick(F.lit(""), F.get("_p", F.lit(3))), "day": F.when(ok, day)}).drop("_p")
 
 
 def in_scope(files: DataFrame, stations: list[str], first: int, last: int) -> Column:
@@ -77,6 +77,27 @@ def counterparts(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.select("path", F.coalesce(other("p1"), other("p2"), other("p3")).alias("counterpart"))
 
 
+def resolved(requests: DataFrame, index: DataFrame, raw: DataFrame, fix: DataFrame) -> DataFrame:
+    """stream, day, raw_path, fix_path, error for requests (stream, day), where stream is a label or a station.
+
+    The raw file is the index's (label, day, path) for the stream, else for its station; else the raw file called NET.STATION.DAY.mseed at the root; else the first fragment of that station and day, which
+    is no whole day: RAW_SEGMENT. With none of these: RAW_MISSING. The repaired file is its counterpart among `fix`; without one the path is where it should be: FIX_MISSING.
+    raw and fix are parsed files with path and rel, the path below their root.
+    """
+    asked = requests.withColumn("sta", split_stream_label(F.col("stream"))["sta"])
+    held = index.select(F.col("label").alias("_label"), F.col("day").alias("_day"), F.col("path").alias("_path"))
+    whole = raw.where("loc = '' AND cha = '' AND rel = name").groupBy("sta", "day").agg(F.min("path").alias("guess"))
+    parts = raw.where("cha <> ''").groupBy("sta", "day").agg(F.min("path").alias("fragment"))
+    rows = asked.join(held.withColumnRenamed("_path", "by_label"), (F.col("stream") == F.col("_label")) & (F.col("day") == F.col("_day")), "left").drop("_label", "_day")
+    rows = rows.join(held.withColumnRenamed("_path", "by_station"), (F.col("sta") == F.col("_label")) & (F.col("day") == F.col("_day")), "left").drop("_label", "_day")
+    rows = rows.join(whole, ["sta", "day"], "left").join(parts, ["sta", "day"], "left")
+    rows = rows.select("stream", "day", F.coalesce("by_label", "by_station", "guess").alias("found"), "fragment")
+    pairs = counterparts(raw, fix).select(F.col("path").alias("_path"), "counterpart").join(raw.select(F.col("path").alias("_path"), "rel"), "_path")
+    rows = rows.join(pairs, F.col("found") == F.col("_path"), "left")
+    error = F.when(F.col("found").isNotNull(), F.when(F.col("counterpart").isNull(), "FIX_MISSING")).when(F.col("fragment").isNotNull(), "RAW_SEGMENT").otherwise("RAW_MISSING")
+    return rows.select("stream", "day", F.coalesce("found", "fragment").alias("raw_path"), F.when(F.col("found").isNotNull(), F.coalesce("counterpart", "rel")).alias("fix_path"), error.alias("error"))
+
+
 def first_per_label(files: DataFrame) -> DataFrame:
     """The first path of each stream label and day, and of each bare station and day."""
     labels = files.where("sta IS NOT NULL").select(F.explode(F.array_distinct(F.array(stream_label(), F.col("sta")))).alias("label"), "day", "path")
