@@ -9,7 +9,8 @@ Neither the model nor the texts pass through the driver or are broadcast. Texts
 text is shuffled. Each part sends its distinct n-grams, as sorted hashes, to buckets of the hash; a bucket sums the training counts over all parts and
 sends each part the totals of just the n-grams that it sent, in the same order. Words go first, and come back with N, V and whether other parts have them too. A
 longer n-gram with a word that no other part has is in no other part either: its count is known where it is, and it isn't sent. From the
-totals the part builds the piece of the automaton that its texts walk through. Buckets grow in number, not in size, with the corpus.
+totals the part builds the piece of the automaton that its texts walk through. Buckets grow in number, not in size, with the corpus; how many of them a partition holds grows too, so that
+no corpus asks for more partitions than Spark allows. A part sends a row to each bucket that it has n-grams for: never more rows than n-grams.
 
 Words are told apart by 80 bits, and buckets and parts split words whose first 64 agree: counts of words are exact. Longer n-grams have 56 bits; of
 10**12 distinct ones about one in 70,000 shares its count with another.
@@ -36,6 +37,8 @@ ORDER, STRENGTH, SPREAD = 3, 3.0, 0.85
 PART_BYTES = 8_000_000
 #: N-grams that a bucket gets, about.
 BUCKET_GRAMS = 1_000_000
+#: Buckets of the table of parts, and partitions of a shuffle, at most: beyond so many each holds several parts, or several buckets of n-grams that are summed one after the other.
+MOST_BUCKETS = 1 << 15
 BEGIN, END = np.uint64(0x5DEECE66D), np.uint64(0xB5026F5AA96619E9)
 
 #: Long texts are walked in pieces of so many tokens, each after reading the few tokens before it that its state depends on.
@@ -322,14 +325,14 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows that aren't held out are learned from."""
     rows = docs.select(col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = bucketed(rows.mapInArrow(_parts, _PART), "lm_parts", "part", 1 << int(np.ceil(np.log2(max(1, size / PART_BYTES)))))
+    parts = bucketed(rows.mapInArrow(_parts, _PART), "lm_parts", "part", min(MOST_BUCKETS, 1 << int(np.ceil(np.log2(max(1, size / PART_BYTES))))))
 
     def bits(grams: float) -> int:
         # how many n-grams there are is guessed, a word taking about six bytes: no result depends on it
         return max(0, int(np.ceil(np.log2(max(1, grams / BUCKET_GRAMS)))))
 
     def summed(sent: DataFrame, bits: int) -> DataFrame:
-        return sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_sum, _TOTAL)
+        return sent.repartition(min(MOST_BUCKETS, 1 << bits), "bucket").groupBy("bucket").applyInArrow(_sum, _TOTAL)
 
     few, many = bits(size / 24), bits(size / 6 * (order - 1))
     words = written(summed(parts.mapInArrow(_send_words(few), _SENT), few), "lm-words")
