@@ -77,30 +77,33 @@ def spike_fill(df: DataFrame, column: str, out: str, width: int = 7, k: float =
     return clamped_fill(marked, "_spike", column, out).drop("_spike")
 
 
-def zscore_fill(df: DataFrame, segments: DataFrame, bad: str, column: str, out: str, sr: float, context_s: float = 30.0, z: float = 4.0) -> DataFrame:
-    """In segments, samples that are bad or far from the good ones around the segment are put on a line; others stay."""
-    reach = int(context_s * sr)
-    wide = segments.select("trace_id", "s", "e", (F.col("s") - reach).alias("w0"), (F.col("e") + reach).alias("w1")).withColumn("w0", F.greatest(F.col("w0"), F.lit(0)))
-    near = ranges.samples_in(df.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("_v")), wide, s="w0", e="w1").where((F.col("idx") < F.col("s")) | (F.col("idx") > F.col("e")))
-    stats = near.groupBy("trace_id", "s", "e").agg(F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"))
-    inside = ranges.samples_in(df.select("trace_id", "idx"), stats)
-    rows = df.join(inside.select("trace_id", "idx", "_mean", "_std"), ["trace_id", "idx"], "left")
-    far = F.abs(F.col(column) - F.col("_mean")) > z * F.greatest(F.col("_std"), F.lit(1e-9))
-    hit = F.col("_mean").isNotNull() & (F.col(bad) | far)
-    return clamped_fill(rows.withColumn("_hit", hit | F.col(bad)), "_hit", column, "_line").withColumn(out, F.when(hit, F.col("_line")).otherwise(F.col(column))).drop("_mean", "_std", "_hit", "_line")
-
-
 def background(df: DataFrame, segments: DataFrame, bad: str, column: str, sr: float, context_s: float = 30.0) -> DataFrame:
-    """Segments (trace_id, s, e) with `level`: the median of the good samples within context_s around each, of three times that if there are fewer than 30, of the trace if still fewer than 8."""
+    """Segments (trace_id, s, e) with `level` and `spread`: the median of the good samples within context_s around each, of three times that if there are fewer than 30, of the
+    trace if still fewer than 8; and 1.4826 times the median deviation from it, 0.5 at least."""
     key, reach = ["trace_id", "s", "e"], int(context_s * sr)
     good = df.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("_v"))
     wide = segments.select(*key, (F.col("s") - 3 * reach).alias("_w0"), (F.col("e") + 3 * reach).alias("_w1"))
     near = ranges.samples_in(good, wide, s="_w0", e="_w1").where((F.col("idx") < F.col("s")) | (F.col("idx") > F.col("e")))
-    close = F.when((F.col("idx") >= F.col("s") - reach) & (F.col("idx") <= F.col("e") + reach), F.col("_v"))
+    near = settled(near.select(*key, "_v", ((F.col("idx") >= F.col("s") - reach) & (F.col("idx") <= F.col("e") + reach)).alias("_close")), "near")
+    close = F.when(F.col("_close"), F.col("_v"))
     found = near.groupBy(*key).agg(F.count(close).alias("_n1"), rolling.median(close).alias("_m1"), F.count("_v").alias("_n2"), rolling.median("_v").alias("_m2"))
-    whole = good.groupBy("trace_id").agg(rolling.median("_v").alias("_m3"))
+    whole = rolling.mad_scale(good.withColumnRenamed("_v", "v"), "v", "_c3", "_m3").groupBy("trace_id").agg(F.first("_m3").alias("_m3"), F.first("_c3").alias("_c3"))
     rows = segments.select(*key).join(found, key, "left").join(whole, "trace_id", "left")
-    return rows.select(*key, F.when(F.col("_n1") >= 30, F.col("_m1")).when(F.col("_n2") >= 8, F.col("_m2")).otherwise(F.col("_m3")).alias("level"))
+    rows = settled(rows.select(*key, "_c3", F.when(F.col("_n1") >= 30, 1).when(F.col("_n2") >= 8, 2).otherwise(3).alias("_set"), F.when(F.col("_n1") >= 30, F.col("_m1")).when(F.col("_n2") >= 8, F.col("_m2")).otherwise(F.col("_m3")).alias("level")), "levels")
+    spread = near.join(rows, key).where("_set = 2 OR (_set = 1 AND _close)").groupBy(*key).agg((1.4826 * rolling.median(F.abs(F.col("_v") - F.col("level")))).alias("_c"))
+    return rows.join(spread, key, "left").select(*key, "level", F.greatest(F.coalesce("_c", "_c3", F.lit(0.0)), F.lit(0.5)).alias("spread"))
+
+
+def zscore_fill(df: DataFrame, segments: DataFrame, bad: str, column: str, out: str, sr: float, context_s: float = 30.0, z: float = 4.0) -> DataFrame:
+    """In segments that don't overlap, samples that are bad or beyond z spreads from the background's level are put on the line through the segment's other samples, or at that level if fewer than two are left."""
+    inside = ranges.samples_in(df.select("trace_id", "idx", F.col(column).alias("_v"), F.col(bad).alias("_bad")), background(df, segments, bad, column, sr, context_s))
+    hit = F.col("_bad") | (F.abs(F.col("_v") - F.col("level")) > z * F.col("spread"))
+    rows = settled(inside.select("trace_id", F.col("s").alias("seg_id"), "idx", "_v", "level", F.coalesce(hit, F.lit(True)).alias("_hit")), "inside")
+    known = rows.groupBy("trace_id", "seg_id").agg(F.count_if(~F.col("_hit")).alias("_known"))
+    lined = segment_fill(rows, "_hit", "_v", "_line").join(known, ["trace_id", "seg_id"])
+    new = lined.where("_hit").select("trace_id", "idx", F.when(F.col("_known") < 2, F.col("level")).otherwise(F.col("_line")).alias("_new"))
+    rest = df.drop(out) if out != column else df
+    return rest.join(new, ["trace_id", "idx"], "left").withColumn(out, F.coalesce("_new", F.col(column))).drop("_new")
 
 
 def floored(df: DataFrame, column: str, out: str, kept: str) -> DataFrame:

@@ -21,7 +21,7 @@ VALUES = "trace_id string, s long, e long, idx long, w double"
 
 #: From tasks with arrays before, after, left and right: trace_id, s, e and `values`.
 Rebuild = Callable[[DataFrame], DataFrame]
-#: From tasks, the samples near them (v, w, bad, n) and nothing else: the values to keep (VALUES), and a verdict per task.
+#: From tasks, the samples near them (v, w, bad, n, and the samples' other columns): the values to keep (VALUES), and a verdict per task.
 Finish = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -62,14 +62,14 @@ def seen(mine: DataFrame, others: DataFrame, near: DataFrame, n: DataFrame, sr:
 
 
 def in_rounds(samples: DataFrame, tasks: DataFrame, events: DataFrame, rebuild: Rebuild, sr: float, gap_s: float = 1.0, most_s: float = 600.0, finish: Finish | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Repairs tasks (trace_id, s, e, round, ...) of samples (trace_id, idx, v, bad): their new values (trace_id, s, e, idx, w, step), and the verdicts if there is a `finish`.
+    """Repairs tasks (trace_id, s, e, round, ...) of samples (trace_id, idx, v, bad, ...): their new values (trace_id, s, e, idx, w, step), and the verdicts if there is a `finish`.
 
     References reach most_s at most. Where several tasks give a sample a value, the last one's holds.
     """
     spark = samples.sparkSession
     gap, reach = round(gap_s * sr), int(most_s * sr) + round(gap_s * sr)
     whole = samples.groupBy("trace_id").agg((F.max("idx") + 1).alias("n"), rolling.median(F.when(~F.col("bad"), F.col("v"))).alias("whole"))
-    held = settled(samples.select("trace_id", "idx", F.col("v").cast("double").alias("v"), "bad").join(whole, "trace_id"), "ordered")
+    held = settled(samples.withColumn("v", F.col("v").cast("double")).join(whole, "trace_id"), "ordered")
     n = settled(whole.select("trace_id", "n"), "lengths")
     todo = settled(leveled(tasks, 2 * reach).withColumn("seq", F.struct("round", "s", "e")), "tasks")
     others = settled(todo.select(*KEY, "seq").unionByName(events.select(*KEY, F.lit(None).cast(todo.schema["seq"].dataType).alias("seq"))), "others")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fill, masks, metrics, runs, stats, triggers
+from ..operators import fill, masks, metrics, ranges, runs, stats, triggers
 from ..operators.storage import settled
 from ..sources import catalogs, names
 from .registry import query
@@ -56,16 +56,25 @@ def spike_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("v <> w").select("trace_id", "idx", r("w").alias("w"))
 
 
-@query(
-    f"WITH {FLAGGED}, sg AS (SELECT * FROM miss WHERE e - s + 1 BETWEEN 3 AND 20), st AS (SELECT sg.trace_id, s, e, avg(fl.v) AS m, stddev_pop(fl.v) AS sd FROM sg JOIN fl ON fl.trace_id = sg.trace_id AND NOT bad AND ((fl.idx BETWEEN s - 198 AND s - 1) OR (fl.idx BETWEEN e + 1 AND e + 198)) GROUP BY ALL),"
-    " h AS (SELECT fl.*, m IS NOT NULL AND (bad OR abs(fl.v - m) > 4.0 * greatest(sd, 1e-9)) AS inside FROM fl LEFT JOIN st ON st.trace_id = fl.trace_id AND fl.idx BETWEEN s AND e), o AS (SELECT *, inside OR bad AS hit FROM h), i AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM (SELECT trace_id, idx, idx - row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS k FROM o WHERE hit) GROUP BY trace_id, k)"
-    " SELECT o.trace_id, o.idx, round(coalesce(a.v + (b.v - a.v) * (o.idx - s + 1) / (e - s + 2), a.v, b.v), 6) AS w FROM o JOIN i ON i.trace_id = o.trace_id AND o.idx BETWEEN s AND e LEFT JOIN trc a ON a.trace_id = o.trace_id AND a.idx = s - 1 LEFT JOIN trc b ON b.trace_id = o.trace_id AND b.idx = e + 1 WHERE inside"
-)
+@query(f"""WITH {FLAGGED}, sg AS (SELECT trace_id, k * 500 + 90 AS s, k * 500 + 139 AS e FROM (SELECT trace_id, idx // 500 AS k FROM trc WHERE idx % 500 BETWEEN 90 AND 139 GROUP BY ALL HAVING count(*) = 50) UNION ALL SELECT trace_id, s, e FROM miss WHERE e - s + 1 BETWEEN 3 AND 20 AND s % 500 NOT BETWEEN 60 AND 150),
+    nb AS (SELECT sg.trace_id, s, e, v, idx BETWEEN s - 198 AND e + 198 AS near FROM sg JOIN fl ON fl.trace_id = sg.trace_id AND NOT bad AND idx BETWEEN s - 594 AND e + 594 AND (idx < s OR idx > e)),
+    lv AS (SELECT trace_id, s, e, CASE WHEN count(*) FILTER (WHERE near) >= 30 THEN 1 ELSE 2 END AS st, CASE WHEN count(*) FILTER (WHERE near) >= 30 THEN median(v) FILTER (WHERE near) ELSE median(v) END AS level FROM nb GROUP BY ALL HAVING count(*) >= 8),
+    sc AS (SELECT trace_id, s, e, level, greatest(1.4826 * median(abs(v - level)), 0.5) AS spread FROM nb JOIN lv USING (trace_id, s, e) WHERE st = 2 OR near GROUP BY ALL),
+    h AS (SELECT sc.*, idx, v, bad OR abs(v - level) > 4.0 * spread AS hit FROM sc JOIN fl ON fl.trace_id = sc.trace_id AND idx BETWEEN s AND e),
+    kn AS (SELECT trace_id, s, idx, v, row_number() OVER (PARTITION BY trace_id, s ORDER BY idx) AS k FROM h WHERE NOT hit),
+    w AS (SELECT *, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY trace_id, s) AS c, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY trace_id, s ORDER BY idx) AS ka FROM h),
+    p AS (SELECT *, CASE WHEN ka = 0 THEN 1 WHEN ka = c THEN c - 1 ELSE ka END AS k FROM w WHERE hit)
+SELECT trace_id, idx, w FROM (SELECT p.trace_id, p.idx, p.v AS v0, round(CASE WHEN c < 2 THEN level ELSE a.v + (b.v - a.v) * (p.idx - a.idx) / (b.idx - a.idx) END, 6) AS w FROM p LEFT JOIN kn a ON a.trace_id = p.trace_id AND a.s = p.s AND a.k = p.k LEFT JOIN kn b ON b.trace_id = p.trace_id AND b.s = p.s AND b.k = p.k + 1) WHERE v0 <> w""")
 def zscore_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = flagged(spark, sf_dir)
-    segs = runs.runs(df, "bad").where(runs.length().between(3, 20))
+    """Blocks around missing runs, and short runs by themselves: what is missing or stands out lies on the line of the block's other samples, or at the background's level."""
+    df = settled(flagged(spark, sf_dir), "flagged")
+    k = F.floor(F.col("idx") / 500)
+    whole = df.where((F.col("idx") % 500).between(90, 139)).groupBy("trace_id", k.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n = 50")
+    short = runs.runs(df, "bad").where(runs.length().between(3, 20) & ~(F.col("s") % 500).between(60, 150))
+    segs = settled(whole.select("trace_id", (F.col("k") * 500 + 90).alias("s"), (F.col("k") * 500 + 139).alias("e")).unionByName(short), "segments")
     out = fill.zscore_fill(df, segs, "bad", "v", "w", SR)
-    return out.where("v <> w").select("trace_id", "idx", r("w").alias("w"))
+    inside = ranges.samples_in(out, segs)
+    return inside.where("v <> w").select("trace_id", "idx", r("w").alias("w"))
 
 
 @query(f"WITH {FLAGGED}, sg AS (SELECT * FROM miss WHERE e - s + 1 BETWEEN 3 AND 20), nb AS (SELECT sg.trace_id, s, e, v, idx BETWEEN s - 198 AND e + 198 AS near FROM sg JOIN fl ON fl.trace_id = sg.trace_id AND NOT bad AND idx BETWEEN s - 594 AND e + 594 AND (idx < s OR idx > e)), lv AS (SELECT trace_id, s, e, count(*) FILTER (WHERE near) AS n1, median(v) FILTER (WHERE near) AS m1, count(*) AS n2, median(v) AS m2 FROM nb GROUP BY trace_id, s, e), wh AS (SELECT trace_id, median(v) AS m3 FROM fl WHERE NOT bad GROUP BY trace_id) SELECT sg.trace_id, sg.s, sg.e, round(CASE WHEN n1 >= 30 THEN m1 WHEN n2 >= 8 THEN m2 ELSE m3 END, 6) AS level FROM sg LEFT JOIN lv USING (trace_id, s, e) LEFT JOIN wh USING (trace_id)")
