@@ -475,6 +475,11 @@ def test_lm_scoring(spark, docs, none, rows, monkeypatch):
         got = lm_scoring.scored(docs, held_out, order=order).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(expected)
         assert sum(10 ** math.log10(p(("stone",), w)) for w in [*kinds, "unseen"]) == pytest.approx(1)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 0.1)  # without a bound this asks for more buckets than Spark allows
+    monkeypatch.setattr(lm_scoring, "BUCKET_GRAMS", 0.01)
+    monkeypatch.setattr(lm_scoring, "MOST_BUCKETS", 8)
+    again = lm_scoring.scored(docs, held_out).collect()
+    assert sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in again) == sorted((e[0], e[3], e[6]) for e in expected)
     assert lm_scoring.scored(none, held_out).count() == 0
     clashing = docs.selectExpr("*", "true AS held_out", "1 AS score", "2 AS n_tokens", "3 AS part")
     assert lm_scoring.scored(clashing, F.lit(False)).count() == len(rows)

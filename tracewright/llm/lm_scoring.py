@@ -34,7 +34,7 @@ from .common import bucketed, col, pieces, written
 from .words import WordHasher, mixed
 
 ORDER, STRENGTH, SPREAD = 3, 3.0, 0.85
-PART_BYTES = 8_000_000
+PART_BYTES = 6_000_000
 #: N-grams that a bucket gets, about.
 BUCKET_GRAMS = 1_000_000
 #: Buckets of the table of parts, and partitions of a shuffle, at most: beyond so many each holds several parts, or several buckets of n-grams that are summed one after the other.
