@@ -164,50 +164,6 @@ def reconstructed(before, after, left, right, n: int, fs: float, gap: int, seed:
     return blended(x, left, right, fs)
 
 
-# Verification of a repaired interval against its references.
-
-
-def periodogram(x: np.ndarray) -> np.ndarray:
-    n = power_of_two(len(x))
-    return np.abs(np.fft.rfft(x - x.mean(), n=n)) ** 2 / n
-
-
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    na, nb = np.linalg.norm(a), np.linalg.norm(b)
-    return float(a @ b / (na * nb)) if na > 1e-15 and nb > 1e-15 else 0.0
-
-
-def first_negative_lag(x: np.ndarray) -> int:
-    n = power_of_two(2 * len(x))
-    acf = np.fft.irfft(np.abs(np.fft.rfft(x - x.mean(), n=n)) ** 2)[: len(x)]
-    below = np.flatnonzero(acf < 0)
-    return int(below[0]) if len(below) else len(x)
-
-
-def verified(x: np.ndarray, before, after, fs: float) -> dict[str, float | bool]:
-    """Five measures of continuity and whether all are within bounds."""
-    refs = [r for r in (before, after) if r is not None and len(r) >= 8]
-    if not refs or len(x) < 8:
-        return {"spectral": 0.0, "envelope": 0.0, "dc": 0.0, "autocorr": 0.0, "energy": 0.0, "passed": False}
-    n = min([len(x), *(len(r) for r in refs)])
-    band = lambda p: p[(f := np.linspace(0, fs / 2, len(p))) >= 0.5][: max(1, int(0.9 * np.sum(f >= 0.5)))]
-    spectral = min(cosine(band(periodogram(x[:n])), band(periodogram(r[:n]))) for r in refs)
-    quarter = max(2, n // 4)
-    envelope = lambda v: np.abs(analytic(v - v.mean())).mean()
-    jumps, levels, lags = [], [], []
-    for r, inside, outside in ((before, x[:quarter], -quarter), (after, x[-quarter:], quarter)):
-        if r is None or len(r) < 8:
-            continue
-        near = r[outside:] if outside < 0 else r[:outside]
-        jumps.append(abs(envelope(inside) - envelope(near)) / max(envelope(near), 1e-12))
-        levels.append(abs(inside.mean() - near.mean()) / max(np.std(r), 1e-12))
-        lags.append(abs(first_negative_lag(x) - first_negative_lag(r)) / max(first_negative_lag(r), 1))
-    power = np.mean([np.mean((r - r.mean()) ** 2) for r in refs])
-    energy = float(np.mean((x - x.mean()) ** 2) / max(power, 1e-12))
-    out = {"spectral": float(spectral), "envelope": float(max(jumps)), "dc": float(max(levels)), "autocorr": float(max(lags)), "energy": energy}
-    return out | {"passed": bool(spectral >= 0.95 and max(jumps) <= 0.15 and max(levels) <= 0.05 and max(lags) <= 0.2 and 0.7 <= energy <= 1.3)}
-
-
 # Baselines.
 
 

@@ -12,7 +12,7 @@ from ..operators import ranges, rolling
 
 CONTEXT = 132
 
-REPORT = "trace_id string, s long, e long, method string, mean double, std double, spectral double, envelope double, dc double, autocorr double, energy double, passed boolean, seed long"
+REPORT = "trace_id string, s long, e long, method string, mean double, std double, seed long"
 
 
 def _fill(method: str, before, after, left, right, n: int, sr: float, gap: int, seed: int) -> np.ndarray:
@@ -78,8 +78,8 @@ def rebuilt(contexts: DataFrame, sr: float, gap: int, seed: int = 0, quantize: b
                 own = seed + int(r.s)
                 x = _fill(r.method, before, after, left, right, int(r.e - r.s + 1), sr, gap, own)
                 x = np.rint(x) if quantize else x
-                rows.append({"trace_id": r.trace_id, "s": r.s, "e": r.e, "method": r.method, "values": x, "mean": float(x.mean()), "std": float(x.std()), "seed": own, **kernels.verified(x, before, after, sr)})
-            columns = ["trace_id", "s", "e", "method", "mean", "std", "spectral", "envelope", "dc", "autocorr", "energy", "passed", "seed", "values"]
+                rows.append({"trace_id": r.trace_id, "s": r.s, "e": r.e, "method": r.method, "values": x, "mean": float(x.mean()), "std": float(x.std()), "seed": own})
+            columns = ["trace_id", "s", "e", "method", "mean", "std", "seed", "values"]
             yield pd.DataFrame(rows, columns=columns)
 
     return contexts.select("trace_id", "s", "e", "method", "before", "after", "left", "right").mapInPandas(each, f"{REPORT}, values array<double>")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import Detection
 from ..functions import arrays
-from ..operators import masks, ranges, runs, stats
+from ..operators import masks, ranges, rolling, runs, stats, verification
 from ..operators.storage import settled
 from ..plans.pipeline import cleaned, repaired
-from ..plans.replace import replaced
+from ..plans.replace import replaced, written_back
 from .quality import PAIRS, pairs
 from .registry import query
 from .views import EXP, MISS_RUNS, SR, TRC, exp, r, table, trc
@@ -47,10 +47,14 @@ def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def core_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long missing runs rebuilt from both sides: the report of each."""
+    """Long missing runs rebuilt from both sides: the report of each, and how it goes on from its references."""
     df = settled(trc(spark, sf_dir).select("trace_id", "idx", "v").withColumn("bad", masks.missing_counts(F.col("v"))), "raw")
     segs = settled(runs.runs(df, "bad").where(runs.length() > 20).withColumn("method", F.lit("core")), "segments")
-    return replaced(df, segs, SR)[1]
+    values, report = replaced(df, segs, SR)
+    values = settled(values, "rebuilt")
+    wide = ranges.reference_windows(segs, rolling.lengths(df), ranges.auto_reference(SR), round(SR))
+    checked = verification.verified(settled(written_back(df, values), "written"), wide.select("trace_id", "s", "e", "b_s", "b_e", "a_s", "a_e"), SR)
+    return report.join(checked.select("trace_id", "s", "spectral", "envelope", "level", "autocorrelation", "energy", "passed", "issues"), ["trace_id", "s"])
 
 
 @query(f"WITH {TRC}, g AS (SELECT DISTINCT trace_id, idx // 500 * 500 + 200 AS s, idx // 500 * 500 + 219 AS e FROM trc) SELECT g.trace_id, g.s, g.e, count(*) AS n, m.method FROM g JOIN trc ON trc.trace_id = g.trace_id AND trc.idx BETWEEN g.s AND g.e, (VALUES ('linear'), ('pchip'), ('spline'), ('ar'), ('ssa'), ('lowpass'), ('core')) m(method) GROUP BY ALL HAVING count(*) = 20")
