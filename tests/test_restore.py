@@ -115,13 +115,36 @@ def test_composite_repairs_by_kind(spark):
     x[3000:3010] = 0
     x[5000:5600] = -1
     x[8000] = 900
+    x[10500:10800] = x[10500]
+    x[10600:10605] = -1
     out, catalog = composite(trace(spark, x), Detection(), Repair())
     rows = sorted(out.collect(), key=lambda r: r.idx)
     w = np.array([r.w for r in rows])
     assert len(rows) == 12000 and w.min() >= 1 and abs(w[3005] - 450) < 10 and abs(w[2000] - 450) < 10 and abs(w[8000] - 450) < 20
     assert abs(w[5000:5600].mean() - 450) < 15 and w[5000:5600].std() < 12
-    assert all(r.v == r.w for r in rows if r.how is None)
-    assert {r.method for r in catalog.collect()} >= {"core", "zscore"} and catalog.where("role = 'repair'").count() >= 3
+    assert set(w[10500:10800]) == {x[10500]}  # what is frozen stays, and only what is missing in it is filled
+    assert all(r.v == r.w or r.how for r in rows) and {r.how for r in rows} == {None, "repair"}
+    listed = {i for r in catalog.collect() for i in range(r.s, r.e + 1)}
+    assert len(set(np.flatnonzero(w != x).tolist()) - listed) <= 3  # single spikes of the noise
+    assert {r.method for r in catalog.collect()} >= {"core", "missing_runs"} and catalog.where("role = 'repair'").count() >= 3
+
+
+def test_only_the_catalog_makes_events(spark):
+    from tracewright.plans.composite import found_segments
+
+    x = quiet(9000, 3)
+    n = np.arange(2000)
+    x[3000:5000] += np.round(150 * np.exp(-n / 500) * np.sin(n / 4))
+    x[7000:7040] = -1
+    ts = F.timestamp_seconds(F.lit(1_000_000) + F.col("idx") / SR)
+    df = trace(spark, x).withColumn("ts", ts).cache()
+    _, alone = found_segments(df, Detection())
+    at = spark.range(1).select(F.timestamp_seconds(F.lit(1_000_000 + 3000 / SR)).alias("event_ts"))
+    _, seen = found_segments(df, Detection(), at)
+    _, unseen = found_segments(df, Detection(), at.select((F.col("event_ts") + F.expr("INTERVAL 9 HOURS")).alias("event_ts")))
+    roles = lambda found: {(r.role, r.kind) for r in found.where("s < 5000 AND e > 3000").collect()}
+    assert "event" not in {role for role, _ in roles(unseen)} and all(role in ("event", "repair") for role, _ in roles(seen))
+    assert {role for role, _ in roles(alone)} <= {"event", "repair"} and ("event" in {role for role, _ in roles(seen)})
 
 
 def test_spikes_are_told(spark):

@@ -114,10 +114,11 @@ def moving_average_outliers(df: DataFrame, column: str, width: int, limit: float
     return rolling.boxcar(df, column, width, "_mean").withColumn(out, F.abs(F.col(column) - F.col("_mean")) > limit).drop("_mean")
 
 
-def segment_outliers(df: DataFrame, column: str = "v", z: float = 4.0) -> DataFrame:
-    """Marks samples of segments (trace_id, seg_id) by a robust z-score; with no median deviation, by 15 or 5 % of the median."""
-    by = ["trace_id", "seg_id"]
-    df = df.join(df.groupBy(*by).agg(rolling.median(column).alias("_med")), by).withColumn("_dev", F.abs(F.col(column) - F.col("_med")))
+def segment_outliers(df: DataFrame, column: str = "v", z: float = 4.0, least: int = 10) -> DataFrame:
+    """Marks samples of segments (trace_id, seg_id) by a robust z-score over those that are there; with no median deviation, by 15 or 5 % of the median. Missing samples are never marked, nor any of a segment with fewer than `least` others."""
+    by, there = ["trace_id", "seg_id"], F.when(~missing_counts(F.col(column)), F.col(column))
+    df = df.withColumn("_x", there)
+    df = df.join(df.groupBy(*by).agg(rolling.median("_x").alias("_med"), F.count("_x").alias("_n")), by).withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
     df = df.join(df.groupBy(*by).agg(rolling.median("_dev").alias("_mad")), by)
-    score = F.when(F.col("_mad") > 0, 0.6745 * F.col("_dev") / F.col("_mad") > z).otherwise(F.col("_dev") > F.greatest(F.lit(15.0), 0.05 * F.abs("_med")))
-    return df.withColumn("outlier", score).drop("_med", "_dev", "_mad")
+    score = F.when(F.col("_mad") >= 1e-6, 0.6745 * F.col("_dev") / F.col("_mad") > z).otherwise(F.col("_dev") > F.greatest(F.lit(15.0), 0.05 * F.col("_med")))
+    return df.withColumn("outlier", F.coalesce(score & (F.col("_n") >= least), F.lit(False))).drop("_med", "_dev", "_mad", "_x", "_n")

@@ -70,14 +70,25 @@ def verified(segments: DataFrame, catalog: DataFrame, config: Detection) -> Data
     return rows.withColumn("verdict", verdict)
 
 
-def longest_run(segments: DataFrame, within: DataFrame) -> DataFrame:
-    """Segments with the longest part that a run of `within` has in them, 0 if none."""
+def longest_run(segments: DataFrame, within: DataFrame, config: Repair | None = None) -> DataFrame:
+    """Segments with the longest part that a run of `within` has in them, 0 if none; and how many parts there are for each repair by length (n_linear, n_zscore, n_core)."""
     spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / ranges.BUCKET), F.floor(F.col(b) / ranges.BUCKET)))
     r = within.select(F.col("trace_id").alias("_k"), F.col("s").alias("_s"), F.col("e").alias("_e"), spread("s", "e").alias("_rb"))
     left = segments.withColumn("_b", spread("s", "e"))
     rows = left.join(r, (F.col("trace_id") == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.col("s") <= F.col("_e")) & (F.col("e") >= F.col("_s")), "left")
-    part = F.when(F.col("_s").isNotNull(), F.least("e", "_e") - F.greatest("s", "_s") + 1)
-    return rows.groupBy(*segments.columns).agg(F.coalesce(F.max(part), F.lit(0)).cast("long").alias("max_run"))
+    size = F.when(F.col("_s").isNotNull(), F.least("e", "_e") - F.greatest("s", "_s") + 1)
+    # a part over the edge of buckets is met in each of them, and counts in the first
+    first = F.col("_b") == F.floor(F.greatest("s", "_s") / ranges.BUCKET)
+    kind = graded_run(config or Repair(), size)
+    counts = [F.count_if(F.coalesce(first & (kind == k), F.lit(False))).alias(f"n_{k}") for k in ("linear", "zscore", "core")]
+    return rows.groupBy(*segments.columns).agg(F.coalesce(F.max(size), F.lit(0)).cast("long").alias("max_run"), *counts)
+
+
+def note(method: Column) -> Column:
+    """What a catalog says about a repaired segment with missing_share, max_run and the counts of its missing runs."""
+    share = F.format_string("miss_frac=%.3f", "missing_share")
+    by_length = F.concat(share, F.format_string(" lin=%d z=%d core=%d", "n_linear", "n_zscore", "n_core"))
+    return F.when(method.isin("freeze_missing", "missing_runs"), by_length).when(method.isin("linear", "zscore"), F.format_string("max_run=%d", "max_run")).when(method.isin("core", "spike"), share).otherwise("")
 
 
 def graded_run(config: Repair, n: Column | None = None) -> Column:

@@ -188,14 +188,17 @@ def primary_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.primary_kind(masked, found).select("trace_id", "s", "e", "kind", r("missing_share").alias("missing_share"))
 
 
-@query(f"WITH {MISS_RUNS}, blocks AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM trc GROUP BY trace_id, idx // 250), l AS (SELECT b.trace_id, b.s, b.e, coalesce(max(CASE WHEN m.s IS NOT NULL THEN least(b.e, m.e) - greatest(b.s, m.s) + 1 END), 0) AS max_run FROM blocks b LEFT JOIN miss m ON m.trace_id = b.trace_id AND m.s <= b.e AND m.e >= b.s GROUP BY ALL), q AS (SELECT l.*, avg(CASE WHEN {MISSING} THEN 1.0 ELSE 0.0 END) AS f FROM l JOIN trc ON trc.trace_id = l.trace_id AND trc.idx BETWEEN l.s AND l.e GROUP BY ALL) SELECT trace_id, s, e, CAST(max_run AS BIGINT) AS max_run, round(f, 6) AS missing_share, CASE WHEN f > 0.1 THEN CASE WHEN f <= 0.12 THEN 'missing_runs' WHEN max_run <= 2 THEN 'linear' WHEN max_run <= 20 THEN 'zscore' ELSE 'core' END ELSE 'core' END AS method, 'miss_frac=' || printf('%.3f', f) || ' max_run=' || max_run AS note FROM q")
+PART = "least(b.e, m.e) - greatest(b.s, m.s) + 1"
+
+
+@query(f"WITH {MISS_RUNS}, blocks AS (SELECT trace_id, min(idx) AS s, max(idx) AS e FROM trc GROUP BY trace_id, idx // 250), l AS (SELECT b.trace_id, b.s, b.e, coalesce(max(CASE WHEN m.s IS NOT NULL THEN least(b.e, m.e) - greatest(b.s, m.s) + 1 END), 0) AS max_run, count(*) FILTER (WHERE {PART} <= 2) AS n1, count(*) FILTER (WHERE {PART} BETWEEN 3 AND 20) AS n2, count(*) FILTER (WHERE {PART} > 20) AS n3 FROM blocks b LEFT JOIN miss m ON m.trace_id = b.trace_id AND m.s <= b.e AND m.e >= b.s GROUP BY b.trace_id, b.s, b.e), q AS (SELECT l.*, avg(CASE WHEN {MISSING} THEN 1.0 ELSE 0.0 END) AS f FROM l JOIN trc ON trc.trace_id = l.trace_id AND trc.idx BETWEEN l.s AND l.e GROUP BY ALL) SELECT trace_id, s, e, CAST(max_run AS BIGINT) AS max_run, round(f, 6) AS missing_share, CASE WHEN f > 0.1 THEN CASE WHEN f <= 0.12 THEN 'missing_runs' WHEN max_run <= 2 THEN 'linear' WHEN max_run <= 20 THEN 'zscore' ELSE 'core' END ELSE 'core' END AS method, CASE WHEN f > 0.1 AND f <= 0.12 THEN 'miss_frac=' || printf('%.3f', f) || ' lin=' || n1 || ' z=' || n2 || ' core=' || n3 WHEN f > 0.12 AND max_run <= 20 THEN 'max_run=' || max_run ELSE 'miss_frac=' || printf('%.3f', f) END AS note FROM q")
 def graded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 250 samples graded by their share of missing samples and the longest run, with a note."""
     samples = trc(spark, sf_dir).withColumn("missing", masks.missing_counts(F.col("v")))
     blocks = samples.groupBy("trace_id", F.floor(F.col("idx") / 250).alias("b")).agg(F.min("idx").alias("s"), F.max("idx").alias("e")).drop("b")
     rows = segments.longest_run(segments.shares(samples, blocks, ("missing",)), runs.runs(samples, "missing")).withColumn("kind", F.lit("other"))
-    note = F.format_string("miss_frac=%.3f max_run=%d", "missing_share", "max_run")
-    return rows.select("trace_id", "s", "e", "max_run", r("missing_share").alias("missing_share"), segments.graded(REPAIR.with_options(missing_share=0.1, core_missing_share=0.12)).alias("method"), note.alias("note"))
+    rows = rows.withColumn("method", segments.graded(REPAIR.with_options(missing_share=0.1, core_missing_share=0.12)))
+    return rows.select("trace_id", "s", "e", "max_run", r("missing_share").alias("missing_share"), "method", segments.note(F.col("method")).alias("note"))
 
 
 @query(f"WITH {MISS_RUNS}, seg AS (SELECT miss.*, a.ts AS s_ts, b.ts AS e_ts, CASE WHEN e - s + 1 > 20 THEN 'event' ELSE 'repair' END AS role, CASE WHEN e - s + 1 > 2 THEN 'missing' ELSE 'burst' END AS kind FROM miss JOIN trc a ON a.trace_id = miss.trace_id AND a.idx = s JOIN trc b ON b.trace_id = miss.trace_id AND b.idx = e), cat AS (SELECT ts - INTERVAL 300 SECOND AS w0, ts + INTERVAL 3600 SECOND AS w1 FROM events WHERE event_type = 'error' AND value > 200) SELECT trace_id, s, e, CASE WHEN h AND kind IN ('spike', 'missing') THEN 'spike' WHEN h THEN 'event' WHEN role = 'event' THEN 'burst' ELSE role END AS verdict FROM (SELECT *, EXISTS (SELECT 1 FROM cat WHERE s_ts <= w1 AND e_ts >= w0) AS h FROM seg)")

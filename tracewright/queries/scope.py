@@ -11,7 +11,7 @@ from ..operators.storage import settled
 from ..sources import names
 from .quality import CLAMP, FILES, PAIRS, files, filled, pairs
 from .registry import query
-from .views import EXP, MISS_RUNS, TRC, exp, r, trc
+from .views import EXP, MISS_RUNS, MISSING, TRC, exp, r, trc
 
 
 @query(f"WITH {FILES} SELECT name, st AS sta, d AS day FROM files WHERE NOT broken AND st IN ('S12', 'S14') AND CAST(d AS INT) BETWEEN 19940101 AND 19961231")
@@ -45,7 +45,7 @@ def sentinel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trc(spark, sf_dir).groupBy("trace_id").agg(F.count_if(masks.missing_sentinel(F.col("v"))).alias("sentinels"))
 
 
-@query(f"WITH {TRC}, s AS (SELECT *, idx // 200 AS seg_id FROM trc), m AS (SELECT trace_id, seg_id, median(v) AS med FROM s GROUP BY ALL), d AS (SELECT s.*, med, abs(v - med) AS dev FROM s JOIN m USING (trace_id, seg_id)), k AS (SELECT trace_id, seg_id, median(dev) AS mad FROM d GROUP BY ALL), o AS (SELECT d.*, CASE WHEN mad > 0 THEN 0.6745 * dev / mad > 4 ELSE dev > greatest(15, 0.05 * abs(med)) END AS outlier FROM d JOIN k USING (trace_id, seg_id)), g AS (SELECT trace_id, seg_id, min(idx) AS s, max(idx) AS e FROM (SELECT *, idx - row_number() OVER (PARTITION BY trace_id, seg_id ORDER BY idx) AS k FROM o WHERE outlier) GROUP BY trace_id, seg_id, k) SELECT trace_id, s, e FROM g WHERE e - s + 1 <= 20")
+@query(f"WITH {TRC}, s AS (SELECT *, idx // 200 AS seg_id FROM trc WHERE NOT {MISSING}), m AS (SELECT trace_id, seg_id, median(v) AS med FROM s GROUP BY ALL HAVING count(*) >= 10), d AS (SELECT s.*, med, abs(v - med) AS dev FROM s JOIN m USING (trace_id, seg_id)), k AS (SELECT trace_id, seg_id, median(dev) AS mad FROM d GROUP BY ALL), o AS (SELECT d.*, CASE WHEN mad >= 1e-6 THEN 0.6745 * dev / mad > 4 ELSE dev > greatest(15, 0.05 * med) END AS outlier FROM d JOIN k USING (trace_id, seg_id)), g AS (SELECT trace_id, seg_id, min(idx) AS s, max(idx) AS e FROM (SELECT *, idx - row_number() OVER (PARTITION BY trace_id, seg_id ORDER BY idx) AS k FROM o WHERE outlier) GROUP BY trace_id, seg_id, k) SELECT trace_id, s, e FROM g WHERE e - s + 1 <= 20")
 def segment_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at most 20 samples that stand out of their segment of 200."""
     df = trc(spark, sf_dir).select("trace_id", "idx", "v").withColumn("seg_id", F.floor(F.col("idx") / 200))
