@@ -523,6 +523,20 @@ def test_templates(spark):
     assert out == {i: t for i, (_, t) in enumerate(TEMPLATES.values())}
 
 
+@pytest.mark.parametrize("name", ["social-history", "alert-level", "share-prices", "banner-year", "search-and-rescue", "login-guide", "menu-of-the-day", "cookie-recipe"])
+def test_long_prose_outweighs_a_name(name):
+    p = f"<p>{LONG} {LONG} {LONG}</p>"
+    found = html_extraction.main_text(f"<nav><a href=1>Home</a></nav><article><h1>T</h1>{p}<div class='{name}'>{p}{p}</div>{p}</article>")
+    assert found.count(LONG) == 12
+    assert html_extraction.main_text(f"<div class='{name}'>{p}{p}</div><div class='{name}-2'>{p}</div>").count(LONG) == 9
+    assert html_extraction.main_text(f"<article>{p}</article><div class='comment-list'><div class=comment>{p}</div></div>").count(LONG) == 3
+
+
+def test_site_header_goes():
+    page = f"<body><header><h1>Site Name</h1><p>Your daily paper</p></header><main><h2>Title</h2><p>{LONG}</p></main></body>"
+    assert html_extraction.main_text(page) == f"Title {LONG}"
+
+
 def test_the_cut_decides():
     """List items that lean to boilerplate by themselves stay with the paragraphs around them; without edges they would go."""
     found = html_extraction.labelled(TEMPLATES["recipe"][0])

@@ -37,7 +37,10 @@ ELEMENTS = {"article": 3.0, "main": 3.0, "nav": -5.0, "footer": -5.0, "aside": -
 BAD = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related recommended recommendations replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar topbar alert widget widgets".split())
 GOOD = frozenset("article articlebody body bodytext content entry main post story storybody text".split())
 STATES = frozenset("closed disabled enabled has layout no off on open page single template with without wrap wrapper".split())
-NAMED_BAD, NAMED_GOOD = -5.0, 2.0
+# Parts of names that say what shape a thing has, not what it is about.
+SHAPES = frozenset("area bar block bottom box button buttons card column container global group inline inner item items left link links list mobile outer panel primary region right row secondary section site slot sticky sub super tab top unit widget widgets".split())
+#: What names tell; the middle one is for names that boilerplate's parts share with others, such as search-and-rescue: long prose outweighs it.
+NAMED_BAD, NAMED_MIXED, NAMED_GOOD = -5.0, -2.0, 2.0
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 NOTICE = re.compile(r"©|\(c\) \d|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|enable javascript|subscribe|sign up|log ?in\b|advertisement", re.I)
 
@@ -64,7 +67,7 @@ def named(names: list[str]) -> float:
         good = bool(parts & GOOD)
         bad = parts & BAD
         if bad and not (good and bad == {"header"}):
-            out += NAMED_BAD
+            out += NAMED_BAD if all(x in BAD or x in SHAPES or x in GOOD for x in parts) else NAMED_MIXED
         elif good and not bad:
             out += NAMED_GOOD
     return max(NAMED_BAD, min(NAMED_GOOD, out))
@@ -85,7 +88,7 @@ class Element:
         if tag in ("h1", "nav", "main"):
             e = up
             while e and not e.frames:
-                e.frames = True
+                e.frames = not (tag == "h1" and e.tag == "header")  # a site's name at the top of its header tells nothing for the header
                 e = e.up
 
     def settle(self, whole: int) -> None:
