@@ -109,6 +109,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": sql.EXACT_DEDUP_SQL,
     "op4_line_dedup": sql.LINE_DEDUP_SQL,
     "op10_mixing": sql.mixing_sql(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op11_conversation_repair": sql.conversation_repair_sql(),
     "op12_quality_rules": sql.quality_rules_sql(),
     "op13_vector_codes": sql.vector_codes_sql(),
 }

@@ -120,3 +120,47 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 _FLOATS, _NORM = "list_transform(v, lambda x: CAST(x AS DOUBLE)) AS d", "CAST(list_sum(list_transform(v, lambda x: x * x)) AS BIGINT) AS norm"
+
+
+def conversation_repair_sql() -> str:
+    """The cheapest edits by a fold over each conversation's rows: for each state the cost, in eight digits, and the letters so far; the least text is the least cost and then the first in ASCII order."""
+
+    def add(x: str, cost: str, letter: str) -> str:
+        return f"lpad(CAST(CAST(substr({x}, 1, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({x}, 9) || '{letter}'"
+
+    def bound(name: str, value: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def inserted(x: str, body: str) -> str:
+        """body over z, the states of x with turns put in."""
+        late = f"{{'s0': {x}.s0, 's1': {x}.s1, 's2': least(y.a, {add(f'{x}.s3', '2', 'I')}), 's3': least({x}.s3, {add('y.a', '2', 'I')})}}"
+        return bound("y", f"{{'a': least({x}.s2, {add(f'{x}.s0', '2', 'I')}, {add(f'{x}.s1', '2', 'I')})}}", bound("z", late, body))
+
+    gone = ", ".join(f"'s{i}': {add(f'z.s{i}', '3', 'D')}" for i in range(4))
+    keep, change = "(CASE WHEN x.k >= 4 THEN 1 ELSE 0 END)", "(CASE WHEN x.k >= 4 THEN 3 ELSE 2 END)"
+    kept = lambda at, k: f"CASE WHEN x.k % 4 = {k} THEN {add(f'z.s{at}', keep, 'K')} END"
+    changed = lambda at: add(f"z.s{at}", change, "R")
+    step = f"""CASE WHEN x.k >= 8 THEN {{'k': 0, {gone}}} ELSE {{'k': 0, 's0': {add('z.s0', '3', 'D')}, 's1': least({add('z.s1', '3', 'D')}, {kept(0, 0)}),
+        's2': least({add('z.s2', '3', 'D')}, {changed(0)}, {changed(1)}, {changed(3)}, {kept(0, 1)}, {kept(1, 1)}, {kept(3, 1)}), 's3': least({add('z.s3', '3', 'D')}, {changed(2)}, {kept(2, 2)})}} END"""
+    none = "CAST(NULL AS VARCHAR)"
+    bare = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+    return rf"""
+WITH crc AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n))),
+    given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+    hashed AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(id)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) % 20 AS f FROM given, crc),
+    damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE f <> 0),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+    coded AS (SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, {bare} AS bare FROM numbered),
+    kinds AS (SELECT *, CASE WHEN bare = '' THEN 9 WHEN again THEN 8 ELSE CASE ini WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END + CASE WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 4 END END AS k,
+        lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM coded),
+    sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE k = 9) AS blank, count(*) FILTER (WHERE k = 8) AS duplicate, count(*) FILTER (WHERE k BETWEEN 4 AND 7) AS truncated,
+        count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'k': k, 's0': {none}, 's1': {none}, 's2': {none}, 's3': {none}}} ORDER BY i) AS rows FROM kinds GROUP BY conv_id),
+    folded AS (SELECT *, list_reduce(list_prepend({{'k': 0, 's0': '00000000', 's1': {none}, 's2': {none}, 's3': {none}}}, rows), lambda p, x: {inserted('p', step)}) AS e FROM sums),
+    best AS (SELECT *, {inserted('e', 'least(z.s0, z.s3)')} AS b FROM folded),
+    edits AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, CAST(substr(b, 1, 8) AS BIGINT) AS cost, substr(b, 9) AS audit FROM best),
+    letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS pos FROM edits WHERE audit <> ''),
+    placed AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i, count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS emitted FROM letters),
+    turns AS (SELECT p.*, c.role, c.text, c.ini, max(CASE WHEN letter = 'K' AND c.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS has_system FROM placed p LEFT JOIN coded c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i),
+    texts AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (emitted - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS whole FROM turns WHERE letter <> 'D' GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN edits e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id"""
