@@ -70,13 +70,17 @@ class Nearest:
 
     def candidates(self, cells: np.ndarray) -> list[np.ndarray]:
         """The entries of each cell that no other entry dominates across its box."""
-        low = cells * self.width
-        nearest, farthest = np.zeros((2, len(cells), len(self.codebook)), np.int64)
+        tables = []  # by component: of each coarse place that occurs, the squared least and largest distances to every entry
         for k in range(cells.shape[1]):
-            below = low[:, k, None] - self.codebook[None, :, k]  # how far the box begins above the entry
+            places, which = np.unique(cells[:, k], return_inverse=True)
+            below = places[:, None] * self.width - self.codebook[None, :, k]  # how far the box begins above the entry
             above = -below - (self.width - 1)  # how far it ends below
-            nearest += np.maximum(np.maximum(below, above), 0) ** 2
-            farthest += np.maximum(np.abs(below), np.abs(above)) ** 2
+            tables.append((which, np.maximum(np.maximum(below, above), 0) ** 2, np.maximum(np.abs(below), np.abs(above)) ** 2))
+        small = sum(int(far.max()) for _, _, far in tables) < 1 << 31
+        nearest, farthest = np.zeros((2, len(cells), len(self.codebook)), np.int32 if small else np.int64)
+        for which, near, far in tables:
+            nearest += near.astype(nearest.dtype)[which]
+            farthest += far.astype(nearest.dtype)[which]
         kept = nearest <= farthest.min(axis=1)[:, None]
         return np.split(np.nonzero(kept)[1].astype(np.int32), np.cumsum(kept.sum(axis=1))[:-1])
 
