@@ -143,8 +143,10 @@ def test_only_the_catalog_makes_events(spark):
     _, seen = found_segments(df, Detection(), at)
     _, unseen = found_segments(df, Detection(), at.select((F.col("event_ts") + F.expr("INTERVAL 9 HOURS")).alias("event_ts")))
     roles = lambda found: {(r.role, r.kind) for r in found.where("s < 5000 AND e > 3000").collect()}
-    assert "event" not in {role for role, _ in roles(unseen)} and all(role in ("event", "repair") for role, _ in roles(seen))
-    assert {role for role, _ in roles(alone)} <= {"event", "repair"} and ("event" in {role for role, _ in roles(seen)})
+    assert roles(alone) and "event" not in {role for role, _ in roles(unseen)} and roles(seen) <= {("event", "event"), ("repair", "spike")}
+    assert (("event", "event") in roles(seen)) == bool({kind for _, kind in roles(alone)} - {"spike"})
+    rest = lambda found: {tuple(r) for r in found.where("e < 2900").collect()}
+    assert rest(seen) == rest(unseen) == rest(alone)
 
 
 def test_spikes_are_told(spark):
