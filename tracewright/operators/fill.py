@@ -106,6 +106,25 @@ def zscore_fill(df: DataFrame, segments: DataFrame, bad: str, column: str, out:
     return rest.join(new, ["trace_id", "idx"], "left").withColumn(out, F.coalesce("_new", F.col(column))).drop("_new")
 
 
+def protected_fill(df: DataFrame, zones: DataFrame, bad: str, column: str, out: str, width: int = 7, k: float = 8.0) -> DataFrame:
+    """In zones (trace_id, s, e) that are otherwise left alone, single spikes and missing samples are put on the line through the zone's other samples.
+
+    A spike is further from the rolling median than k scales, where a scale is that of the residuals around it, and half the trace's at least. Missing samples count as 0 there. Windows end with the zone.
+    """
+    raw = df.select("trace_id", "idx", F.when(F.col(bad), 0.0).otherwise(F.col(column)).alias("_raw"), F.col(bad).alias("_bad"))
+    whole = rolling.mad_scale(raw, "_raw", "_glob").groupBy("trace_id").agg(F.first("_glob").alias("_glob"))
+    inside = ranges.samples_in(raw, zones.select("trace_id", "s", "e")).join(whole, "trace_id")
+    own = settled(inside.select(F.struct("trace_id", "s").alias("trace_id"), (F.col("idx") - F.col("s")).alias("idx"), "_raw", "_bad", "_glob"), "zones")
+    own = rolling.rolling_median(rolling.sized(own), "_raw", width, "_base").withColumn("_residual", F.abs(F.col("_raw") - F.col("_base")))
+    own = rolling.rolling_median(own, "_residual", width, "_scale")
+    hit = F.col("_bad") | (F.col("_residual") > k * F.greatest(1.4826 * F.col("_scale") + 1e-9, 0.5 * F.col("_glob")))
+    rows = settled(own.select(F.col("trace_id.trace_id").alias("trace_id"), F.col("trace_id.s").alias("seg_id"), "idx", "_raw", hit.alias("_hit")), "zones-marked")
+    known = rows.groupBy("trace_id", "seg_id").agg(F.count_if(~F.col("_hit")).alias("_known"), F.max(F.when(~F.col("_hit"), F.col("_raw"))).alias("_only"))
+    lined = segment_fill(rows, "_hit", "_raw", "_line").join(known, ["trace_id", "seg_id"]).where("_hit")
+    new = lined.select("trace_id", (F.col("seg_id") + F.col("idx")).alias("idx"), F.when(F.col("_known") < 2, F.coalesce("_only", F.lit(0.0))).otherwise(F.col("_line")).alias("_new"))
+    return df.join(new, ["trace_id", "idx"], "left").withColumn(out, F.coalesce("_new", F.col(column))).drop("_new")
+
+
 def floored(df: DataFrame, column: str, out: str, kept: str) -> DataFrame:
     """What isn't above 0 is put on a line, then rounded half to even, at least 1; kept samples stay."""
     bad = ~F.col(kept) & (F.col(column).isNull() | F.isnan(column) | (F.col(column) <= 0))

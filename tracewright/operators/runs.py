@@ -60,6 +60,11 @@ def merged_overlapping(segments: DataFrame, keep: tuple[str, ...] = ("kind",)) -
     return _merged(segments, lambda s, reach: s > reach, keep)
 
 
+def merged_selections(selections: DataFrame) -> DataFrame:
+    """Ranges of time (trace_id, s, e in seconds) joined where they overlap or touch; empty and reversed ones go."""
+    return _merged(selections.where("e > s"), lambda s, reach: s > reach, ())
+
+
 #: Samples of a chunk of segments that is folded at once.
 FOLD_CHUNK = 1 << 13
 _SPAN = "struct<s:bigint,e:bigint>"

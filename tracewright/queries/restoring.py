@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import masks, restore, runs
+from ..operators import fill, masks, ranges, restore, runs
 from ..operators.storage import settled
 from .quality import CLAMP, FLAGGED, filled, flagged
 from .registry import query
-from .views import RUNS, SR, TRC, r, trc
+from .views import RUNS, SR, TRC, r, rolling_sql, trc
 
 #: Windows of 50 samples around the longer missing runs, and walls.
 BLOCKS = "bk AS (SELECT trace_id, k * 500 + 90 AS s, k * 500 + 139 AS e FROM (SELECT trace_id, idx // 500 AS k FROM trc WHERE idx % 500 BETWEEN 90 AND 139 GROUP BY ALL HAVING count(*) = 50))"
@@ -93,3 +93,31 @@ def crossfaded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled windows whose edges fade into the lines of their surroundings."""
     df = filled(spark, sf_dir)
     return restore.crossfaded(blocks(df), df, "v", "w", "bad", SR).withColumn("w", r("w"))
+
+
+ZONES = [(280, 479), (580, 679)]
+ZONE_CTE = f"""{FLAGGED}, zr AS (SELECT trace_id, idx, CASE WHEN bad THEN 0 ELSE v END AS v, bad FROM fl), gm AS (SELECT trace_id, median(v) AS m FROM zr GROUP BY trace_id), gl AS (SELECT trace_id, 1.4826 * median(abs(v - m)) AS gscale FROM zr JOIN gm USING (trace_id) GROUP BY trace_id),
+    zn AS (SELECT trace_id || ':' || z.s AS trace_id, trace_id AS t, idx - z.s AS idx, z.s, v, bad, z.e - z.s + 1 AS n FROM zr JOIN (VALUES {', '.join(str(z) for z in ZONES)}) z(s, e) ON idx BETWEEN z.s AND z.e),
+    zb AS ({rolling_sql('zn', 'v', 3, 3, 'median({})', 'base')}), zx AS (SELECT zn.*, abs(v - base) AS res FROM zn JOIN zb USING (trace_id, idx)), zs AS ({rolling_sql('zx', 'res', 3, 3, 'median({})', 'scale')}),
+    h AS (SELECT zx.*, bad OR res > 8.0 * greatest(1.4826 * scale + 1e-9, 0.5 * gscale) AS hit FROM zx JOIN zs USING (trace_id, idx) JOIN gl ON gl.trace_id = zx.t)"""
+
+
+@query(f"""WITH {ZONE_CTE}, kn AS (SELECT trace_id, idx, v, row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS k FROM h WHERE NOT hit),
+    w AS (SELECT *, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY trace_id) AS c, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY trace_id ORDER BY idx) AS ka FROM h), p AS (SELECT *, CASE WHEN ka = 0 THEN 1 WHEN ka = c THEN c - 1 ELSE ka END AS k FROM w WHERE hit)
+SELECT p.t AS trace_id, p.idx + p.s AS idx, round(a.v + (b.v - a.v) * (p.idx - a.idx) / (b.idx - a.idx), 6) AS w FROM p JOIN kn a ON a.trace_id = p.trace_id AND a.k = p.k JOIN kn b ON b.trace_id = p.trace_id AND b.k = p.k + 1""")
+def protected_zone_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes and missing samples within protected zones, and nothing else of them."""
+    df = settled(flagged(spark, sf_dir), "flagged")
+    zone = F.explode(F.array(*(F.struct(F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e")) for s, e in ZONES)))
+    zones = settled(df.select("trace_id").distinct().select("trace_id", zone.alias("z")).select("trace_id", "z.*"), "zones")
+    out = fill.protected_fill(df, zones, "bad", "v", "x")
+    inside = ranges.samples_in(out, zones)
+    return inside.where("bad OR x <> v").select("trace_id", "idx", r("x").alias("w"))
+
+
+@query(f"WITH {TRC}, s AS (SELECT trace_id, idx / {SR} AS s, idx / {SR} + CASE WHEN idx % 5 = 0 THEN -1 ELSE 4 + idx % 19 END AS e FROM trc WHERE idx % 97 = 0) SELECT trace_id, round(min(s), 6) AS s, round(max(e), 6) AS e FROM (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY s, e) AS g FROM (SELECT *, max(e) OVER (PARTITION BY trace_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s WHERE e > s)) GROUP BY trace_id, g")
+def merged_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected ranges of seconds, joined where they overlap or touch."""
+    t = F.col("idx") / SR
+    picked = trc(spark, sf_dir).where("idx % 97 = 0").select("trace_id", t.alias("s"), (t + F.when(F.col("idx") % 5 == 0, -1).otherwise(4 + F.col("idx") % 19)).alias("e"))
+    return runs.merged_selections(picked).select("trace_id", r("s").alias("s"), r("e").alias("e"))
