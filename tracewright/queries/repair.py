@@ -38,6 +38,20 @@ def psd_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", r(arrays.total(arrays.fused(b, a))).alias("fused_power"), r(arrays.cosine(b, a)).alias("similarity"), r(arrays.log_distance(b, a), 5).alias("log_distance"))
 
 
+@query(f"""WITH {DFT}, ends AS (SELECT max(vec_id) AS last FROM embeddings), two AS (SELECT a.vec_id, a.k, CASE WHEN c.p IS NULL THEN a.p ELSE (a.p + c.p) / 2 END AS f, CASE WHEN c.p IS NULL THEN a.p ELSE exp(0.5 * ln(a.p + 1e-30) + 0.5 * ln(c.p + 1e-30)) END AS g FROM pg a LEFT JOIN pg c ON c.vec_id = a.vec_id + 1 AND c.k = a.k),
+    w AS (SELECT vec_id, sum(f) AS power, sum(f) FILTER (WHERE k > 0) AS rest, sum(g) AS geometric FROM two GROUP BY vec_id)
+SELECT vec_id, round(power, 6) AS fused_power, round(power - geometric, 6) AS above_geometric, round(max(f / rest), 6) AS greatest_share, round(sum(f / rest) FILTER (WHERE k > 0), 6) AS shares FROM two JOIN w USING (vec_id) GROUP BY vec_id, power, geometric""")
+def psd_fusion_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of neighbours fused by their mean, one-sided at the end, against the geometric mean; and their shares of the power beyond the first bin."""
+    s = spectra(spark, sf_dir)
+    both = s.select("vec_id", F.col("psd").alias("before")).join(s.select((F.col("vec_id") - 1).alias("vec_id"), F.col("psd").alias("after")), "vec_id", "left")
+    b, a = F.col("before"), F.col("after")
+    linear = both.select("vec_id", arrays.fused_linear(b, a).alias("f"), arrays.total(arrays.fused(b, a)).alias("g"))
+    share = arrays.normalised(F.col("f"))
+    out = linear.select("vec_id", arrays.total(F.col("f")).alias("power"), "g", F.array_max(share).alias("most"), arrays.total(F.slice(share, 2, N // 2)).alias("shares"))
+    return out.select("vec_id", r("power").alias("fused_power"), r(F.col("power") - F.col("g")).alias("above_geometric"), r("most").alias("greatest_share"), r("shares").alias("shares"))
+
+
 @query(f"WITH {DFT}, s AS (SELECT vec_id, p, p / sum(p) OVER (PARTITION BY vec_id) AS q, k FROM pg) SELECT vec_id, round(-sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln({N // 2 + 1}), 6) AS entropy, arg_max(k, p) FILTER (WHERE k > 0) AS peak_bin FROM s GROUP BY vec_id")
 def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     psd = F.col("psd")
