@@ -245,7 +245,7 @@ NAMES = [n for n in __spark_entry__.oracle_sql() if not n.startswith("op") and n
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "orders lineitem events embeddings part".split():
+    for t in "orders lineitem events embeddings part supplier".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
