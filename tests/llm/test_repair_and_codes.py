@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tracewright.llm import conversation_repair, quality_rules, queries, vector_codes
 
