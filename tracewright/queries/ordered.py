@@ -40,3 +40,18 @@ def levels_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = settled(blocks(df).withColumn("round", F.lit(0)), "tasks")
     values, _ = rounds.in_rounds(df, tasks, tasks.limit(0), rounds.at_reference_level, SR)
     return values.groupBy("trace_id", "s", "e").agg(r(F.max("w")).alias("level"))
+
+
+@query(f"""WITH {FLAGGED}, gd AS (SELECT trace_id, idx, v FROM fl WHERE NOT bad), {BLOCKS},
+    sd AS (SELECT bk.trace_id, s, e, gd.idx < s AS lf, median(v) AS m FROM bk JOIN gd ON gd.trace_id = bk.trace_id AND (gd.idx BETWEEN s - 298 AND s - 1 OR gd.idx BETWEEN e + 67 AND e + 364) GROUP BY ALL HAVING count(*) >= 4),
+    sc AS (SELECT sd.trace_id, s, e, lf, m, 1.4826 * median(abs(v - m)) AS c FROM sd JOIN gd ON gd.trace_id = sd.trace_id AND ((lf AND gd.idx BETWEEN s - 298 AND s - 1) OR (NOT lf AND gd.idx BETWEEN e + 67 AND e + 364)) GROUP BY ALL),
+    w AS (SELECT bk.*, idx, v + 5 * (idx % 7) AS w, (idx - s) / (e - s) AS t FROM bk JOIN fl ON fl.trace_id = bk.trace_id AND idx BETWEEN s AND e), f AS (SELECT trace_id, s, median(w) AS own, regr_slope(w, t) AS b, regr_intercept(w, t) AS a FROM w GROUP BY ALL),
+    l AS (SELECT f.*, coalesce(x.m, own) AS ml, CASE WHEN x.m IS NULL THEN 0 ELSE x.c END AS cl, coalesce(y.m, x.m, own) AS mr, CASE WHEN y.m IS NULL THEN CASE WHEN x.m IS NULL THEN 0 ELSE x.c END ELSE y.c END AS cr FROM f LEFT JOIN sc x ON x.trace_id = f.trace_id AND x.s = f.s AND x.lf LEFT JOIN sc y ON y.trace_id = f.trace_id AND y.s = f.s AND NOT y.lf),
+    z AS (SELECT w.*, ml + CASE WHEN abs(mr - ml) < 20 AND NOT (cr > 0 AND cl > 0 AND cr > 3 * greatest(cl, 0.5)) THEN mr - ml ELSE 0 END * t AS line, w.w - (a + b * t) AS rest FROM w JOIN l USING (trace_id, s)),
+    p AS (SELECT trace_id, s, stddev_pop(rest + line) AS d FROM z GROUP BY ALL)
+SELECT trace_id, s, idx, round(line + rest * CASE WHEN d > 15 THEN 15 / d ELSE 1 END, 6) AS w FROM z JOIN p USING (trace_id, s)""")
+def realigned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks put on the line of their surroundings and pressed to a deviation."""
+    df = settled(flagged(spark, sf_dir).withColumn("w", F.col("v") + 5 * (F.col("idx") % 7)), "rebuilt")
+    segs = settled(blocks(df).withColumns({"around_std": F.lit(10.0), "most_std": F.lit(15.0)}), "blocks")
+    return restore.realigned(segs, df, "v", "w", "bad", SR).select("trace_id", "s", "idx", r("w").alias("w"))
