@@ -1,6 +1,6 @@
-"""Discrete Fourier transforms as relational plans: long ones are two rounds of short ones.
+"""Discrete Fourier transforms: short ones by numpy in the task that has them, long ones as relational plans of two rounds of shorter ones.
 
-Rows are (keys..., pos, re, im, n): values of a transform of n places, pos from 0. With n = a * b, place j = j1 b + j2 and frequency k = k1 + a k2, the transforms over j1 are made for each j2, turned by j2 k1 / n, and then
+Rows are (keys..., pos, re, im, n): values of a transform of n places, pos from 0. Up to WHOLE places a transform is one row with an array, and n log n steps. Beyond, with n = a * b, place j = j1 b + j2 and frequency k = k1 + a k2, the transforms over j1 are made for each j2, turned by j2 k1 / n, and then
 transforms over j2 are made for each k1. Each of these is one row with an array of about the square root of n values, so that one long transform spreads over the cluster; its
 steps are n (a + b). a is the greatest divisor of n up to its square root; of a prime n it is 1, and the steps are n squared.
 """
@@ -8,14 +8,20 @@ steps are n (a + b). a is the greatest divisor of n up to its square root; of a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..operators.storage import settled
 from .arrays import total
 
 _TURN = 2 * math.pi
+#: Places of a transform that one row holds, and places that are transformed at once.
+WHOLE, AT_ONCE = 1 << 16, 1 << 20
 
 
 def divisor(n: Column) -> Column:
@@ -32,13 +38,45 @@ def _sums(items: Column, place: str, frequency: Column, size: Column, sign: int)
     return F.struct(real.alias("re"), imaginary.alias("im"))
 
 
-def dft(rows: DataFrame, keys: Sequence[str], sign: int = -1, half: bool = False) -> DataFrame:
-    """keys, n, k, re, im: the sum of values times exp(sign 2 pi i pos k / n); of half, only the frequencies up to n / 2. Places that have no row count as 0."""
+def _transformed(part: pa.RecordBatch, n: int, sign: int, half: bool) -> tuple[pa.Array, pa.Array]:
+    """Real and imaginary parts, as lists, of transforms of n places each."""
+    xs = part.column(part.num_columns - 1)
+    items, row = xs.flatten(), np.repeat(np.arange(len(xs)), np.diff(xs.offsets.to_numpy()))
+    pos, re, im = (items.field(c) for c in ("pos", "re", "im"))
+    values = np.zeros(len(xs) * n, complex)
+    np.add.at(values, row * n + pos.to_numpy(zero_copy_only=False) % n, re.to_numpy(zero_copy_only=False) + 1j * im.to_numpy(zero_copy_only=False))
+    values = values.reshape(len(xs), n)
+    out = np.fft.fft(values) if sign < 0 else np.fft.ifft(values, norm="forward")
+    out = out[:, : n // 2 + 1] if half else out
+    gone = np.zeros(len(xs), bool)  # a null makes all of its transform null
+    gone[row[re.is_null().to_numpy(zero_copy_only=False) | im.is_null().to_numpy(zero_copy_only=False)]] = True
+    offsets, mask = np.arange(len(xs) + 1, dtype=np.int32) * out.shape[1], np.repeat(gone, out.shape[1])
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel(), mask=mask)) for x in (out.real, out.imag))
+
+
+def _in_tasks(first: DataFrame, keys: Sequence[str], sign: int, half: bool) -> DataFrame:
+    """keys, n, k, re, im of rows (keys..., n, xs) that hold a transform each."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(len(keys)).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes):
+                mine, step = np.flatnonzero(sizes == n), max(1, AT_ONCE // int(n))
+                for at in range(0, len(mine), step):
+                    part = batch.take(pa.array(mine[at : at + step]))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_transformed(part, int(n), sign, half)], names=[*part.schema.names[:-1], "re", "im"])
+
+    held = first.select(*keys, "n", "xs")
+    schema = StructType([*held.schema.fields[:-1], *(StructField(c, ArrayType(DoubleType())) for c in ("re", "im"))])
+    out = held.mapInArrow(each, schema).select(*keys, "n", F.posexplode(F.arrays_zip("re", "im")).alias("k", "y"))
+    return out.select(*keys, "n", F.col("k").cast("long").alias("k"), F.col("y.re").alias("re"), F.col("y.im").alias("im"))
+
+
+def _in_two_rounds(first: DataFrame, keys: Sequence[str], sign: int, half: bool) -> DataFrame:
+    """keys, n, k, re, im of rows (keys..., n, _a, _b, j2, xs) that hold the places of a transform with the same j2."""
     n, a, b = F.col("n"), F.col("_a"), F.col("_b")
-    rows = rows.withColumn("_a", divisor(n)).withColumn("_b", (n / F.col("_a")).cast("long"))
-    first = rows.select(*keys, "n", "_a", "_b", (F.col("pos") % b).alias("j2"), F.struct(F.floor(F.col("pos") / b).cast("long").alias("j1"), "re", "im").alias("x"))
-    first = first.groupBy(*keys, "n", "_a", "_b", "j2").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    inner = F.transform(F.sequence(F.lit(0), a - 1), lambda k: F.struct(k.cast("long").alias("k1"), _sums(F.col("xs"), "j1", k.cast("long"), a, sign).alias("y")))
+    first = first.withColumn("xs", F.array_sort("xs"))
+    inner = F.transform(F.sequence(F.lit(0), a - 1), lambda k: F.struct(k.cast("long").alias("k1"), _sums(F.col("xs"), "pos", k.cast("long"), a, sign).alias("y")))
     inner = first.select(*keys, "n", "_a", "_b", "j2", F.explode(inner).alias("e")).select(*keys, "n", "_a", "_b", "j2", "e.k1", "e.y")
     angle = (F.col("j2") * F.col("k1") % n) * (sign * _TURN) / n
     re, im = F.col("y.re") * F.cos(angle) - F.col("y.im") * F.sin(angle), F.col("y.re") * F.sin(angle) + F.col("y.im") * F.cos(angle)
@@ -51,6 +89,19 @@ def dft(rows: DataFrame, keys: Sequence[str], sign: int = -1, half: bool = False
     return second.select(*keys, "n", F.explode(outer).alias("e")).select(*keys, "n", "e.k", F.col("e.y.re").alias("re"), F.col("e.y.im").alias("im"))
 
 
+def dft(rows: DataFrame, keys: Sequence[str], sign: int = -1, half: bool = False, whole: int = WHOLE) -> DataFrame:
+    """keys, n, k, re, im: the sum of values times exp(sign 2 pi i pos k / n); of half, only the frequencies up to n / 2. Places that have no row count as 0.
+
+    whole: up to how many places a transform is one row.
+    """
+    n, b = F.col("n"), F.col("_b")
+    rows = rows.withColumn("_a", F.when(n <= whole, n).otherwise(divisor(n))).withColumn("_b", (n / F.col("_a")).cast("long"))
+    first = rows.select(*keys, "n", "_a", "_b", (F.col("pos") % b).alias("j2"), F.struct(F.floor(F.col("pos") / b).cast("long").alias("pos"), "re", "im").alias("x"))
+    first = settled(first.groupBy(*keys, "n", "_a", "_b", "j2").agg(F.collect_list("x").alias("xs")), "transforms")
+    short, long = _in_tasks(first.where("_b = 1"), keys, sign, half), first.where("_b > 1")
+    return short if long.isEmpty() else short.unionByName(_in_two_rounds(long, keys, sign, half))
+
+
 def real_rows(df: DataFrame, keys: Sequence[str], pos: Column, value: Column, n: Column) -> DataFrame:
     return df.select(*keys, pos.cast("long").alias("pos"), value.cast("double").alias("re"), F.lit(0.0).alias("im"), n.cast("long").alias("n"))
 
