@@ -87,15 +87,34 @@ def _poisson() -> tuple[float, ...]:
 POISSON = _poisson()
 
 
+#: Tasks that resampling is dealt to at least; tables of units are small, and would be one task.
+DRAW_TASKS = 64
+
+
+def dealt(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """The same rows, spread over many tasks whatever their size, for work that multiplies them."""
+    return df.repartition(max(DRAW_TASKS, 4 * df.sparkSession.sparkContext.defaultParallelism), *columns)
+
+
+def poisson_weight(seed: int, draw: Column, unit: Column) -> Column:
+    """How often a unit counts in a draw: how many of POISSON's bounds its hashed number reaches. The first 13 hexadecimal digits are compared as text, which is the same as comparing numbers."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), unit.cast("string")))
+    out = None
+    for k, bound in enumerate(POISSON):
+        below = digest < f"{math.ceil(bound * (1 << 52)):013x}"
+        out = F.when(below, k) if out is None else out.when(below, k)
+    return out.otherwise(len(POISSON))
+
+
 def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, draws: int = 20_000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean, null for fewer than 3 units: in each draw a unit counts as often as a hashed Poisson number says.
 
-    Draws are rows, summed before they are shuffled, so that no group meets in one task.
+    Units are dealt to many tasks with all their values, so that a unit's number is hashed once a draw; draws are rows, summed before they are shuffled, so that no group meets in one task.
     """
-    u = uniform(F.lit(seed), F.col("draw"), F.col(unit))
-    weight = sum((F.when(u >= b, 1).otherwise(0) for b in POISSON), F.lit(0))
-    rows = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
-    means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    held = df.where(F.col(value).isNotNull()).groupBy(F.col(unit).alias("_unit")).agg(F.collect_list(F.struct(*by, F.col(value).alias("_v"))).alias("_all"))
+    rows = dealt(held, "_unit").select("_unit", "_all", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    rows = rows.select("_draw", poisson_weight(seed, F.col("_draw"), F.col("_unit")).alias("_w"), F.explode("_all").alias("_x")).select(*(F.col(f"_x.{c}").alias(c) for c in by), "_draw", "_w", "_x._v")
+    means = rows.groupBy(*by, "_draw").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("_m"), F.count(F.lit(1)).alias("_n"))
     tail = (1 - level) / 2
     enough = lambda p: F.when(F.max("_n") >= 3, F.percentile("_m", F.lit(p)))
     return means.groupBy(*by).agg(enough(tail).alias("low"), enough(1 - tail).alias("high"))
@@ -111,11 +130,11 @@ def sign_flips(df: DataFrame, by: list[str], unit: str, d: str = "d", draws: int
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum(d)).alias("_seen"))
     rows = rows.join(sizes, by)
     numbered = rows.where(F.col("n") <= exact_up_to).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1)
-    each = numbered.withColumn("_draw", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(n as int)) - 1)")))
+    each = dealt(numbered).withColumn("_draw", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(n as int)) - 1)")))
     bit = F.expr("(_draw >> _k) & 1")
     exact = each.groupBy(*by, "n", "_seen", "_draw").agg(F.abs(F.sum(F.when(bit == 1, F.col(d)).otherwise(-F.col(d)))).alias("_t"))
     blocks = -(-draws // 64)
-    many = rows.where(F.col("n") > exact_up_to).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_signs", F.xxhash64(F.lit(seed), F.col("_block"), F.col(unit)))
+    many = dealt(rows.where(F.col("n") > exact_up_to)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_signs", F.xxhash64(F.lit(seed), F.col("_block"), F.col(unit)))
     sums = many.groupBy(*by, "n", "_seen", "_block").agg(*(F.sum(F.when(F.expr(f"(_signs >> {i}) & 1") == 1, F.col(d)).otherwise(-F.col(d))).alias(f"_s{i}") for i in range(64)))
     drawn = sums.select(*by, "n", "_seen", (F.col("_block") * 64).alias("_first"), F.posexplode(F.array(*(F.abs(f"_s{i}") for i in range(64)))).alias("_i", "_t")).where(F.col("_first") + F.col("_i") < draws)
     tried = exact.select(*by, "n", "_seen", "_t").unionByName(drawn.select(*by, "n", "_seen", "_t"))
