@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
+from .storage import settled
 
 
 def windowed(df: DataFrame, width: int, hop: int) -> DataFrame:
@@ -112,3 +113,47 @@ def healthy_band(df: DataFrame, width: int, column: str) -> DataFrame:
     w = df.groupBy("trace_id", F.floor(F.col("idx") / width).alias("k")).agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("d"), F.count(F.lit(1)).alias("n")).where(F.col("n") == width)
     a, b = w.select("trace_id", F.col("k").alias("i"), F.col("m").alias("ma"), F.col("d").alias("da")), w.select("trace_id", F.col("k").alias("j"), F.col("m").alias("mb"), F.col("d").alias("db"))
     return a.join(b, "trace_id").where("i < j").select("trace_id", "i", "j", F.abs(F.col("ma") - F.col("mb")).alias("d_mean"), F.abs(F.col("da") - F.col("db")).alias("d_std"))
+
+
+#: Windows of a block whose pairs with another block are made in one task, and ranges of value that differences are counted by.
+PAIR_BLOCK, DIFFERENCE_RANGES = 512, 4096
+
+
+def _paired_in_blocks(w: DataFrame, block: int) -> DataFrame:
+    """All pairs i < j of a trace's windows (trace_id, i from 0, m, d): trace_id, d_mean, d_std. Two blocks of windows meet under a key of their own, so that no trace is one task."""
+    at, last = F.floor(F.col("i") / block), F.floor((F.col("n") - 1) / block)
+    rows = w.withColumn("_b", at)
+    one = rows.select("trace_id", F.col("_b").alias("_p"), F.explode(F.sequence("_b", last)).alias("_q"), "i", F.col("m").alias("ma"), F.col("d").alias("da"))
+    other = rows.select("trace_id", F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_p"), F.col("_b").alias("_q"), F.col("i").alias("j"), F.col("m").alias("mb"), F.col("d").alias("db"))
+    tasks = max(64, 4 * w.sparkSession.sparkContext.defaultParallelism)
+    both = one.repartition(tasks, "trace_id", "_p", "_q").hint("shuffle_hash").join(other.repartition(tasks, "trace_id", "_p", "_q"), ["trace_id", "_p", "_q"])
+    return both.where("i < j").select("trace_id", F.abs(F.col("ma") - F.col("mb")).alias("d_mean"), F.abs(F.col("da") - F.col("db")).alias("d_std"))
+
+
+def healthy_quantiles(df: DataFrame, width: int, column: str, wanted: dict[str, tuple[str, float]], block: int = PAIR_BLOCK, parts: int = DIFFERENCE_RANGES) -> DataFrame:
+    """trace_id, n_pairs and exact quantiles of the differences that healthy_band lists, interpolated: name -> ('d_mean' or 'd_std', share).
+
+    Pairs are made twice and never shuffled or kept. First they are counted by ranges of value; then those of the ranges that hold a wanted rank are counted by value, and the value at
+    the rank is looked up among them.
+    """
+    w = df.groupBy("trace_id", F.floor(F.col("idx") / width).alias("k")).agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("d"), F.count(F.lit(1)).alias("n")).where(F.col("n") == width)
+    place = Window.partitionBy("trace_id").orderBy("k")
+    w = settled(w.select("trace_id", (F.row_number().over(place) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("trace_id")).alias("n"), "m", "d"), "healthy")
+    spans = w.groupBy("trace_id").agg((F.max("m") - F.min("m")).alias("_sm"), (F.max("d") - F.min("d")).alias("_sd"))
+    pairs = _paired_in_blocks(w, block).join(F.broadcast(spans), "trace_id")
+    part = lambda x, span: F.least(F.lit(parts - 1), F.coalesce(F.floor(F.try_divide(F.col(x), F.col(span)) * parts), F.lit(0))).cast("int")
+    kinds = pairs.select("trace_id", F.explode(F.array(F.struct(F.lit("d_mean").alias("of"), part("d_mean", "_sm").alias("part"), F.col("d_mean").alias("x")), F.struct(F.lit("d_std").alias("of"), part("d_std", "_sd").alias("part"), F.col("d_std").alias("x")))).alias("y")).select("trace_id", "y.*")
+    counts = kinds.groupBy("trace_id", "of", "part").agg(F.count(F.lit(1)).alias("c"))
+    along = Window.partitionBy("trace_id", "of").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.select("*", F.sum("c").over(along).alias("upto"), F.sum("c").over(Window.partitionBy("trace_id", "of")).alias("n_pairs"))
+    names = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(of).alias("of"), F.lit(float(share)).alias("share")) for name, (of, share) in wanted.items()))
+    ranks = counts.withColumn("w", F.explode(F.filter(names, lambda z: z["of"] == F.col("of")))).withColumn("at", F.col("w.share") * (F.col("n_pairs") - 1))
+    ranks = ranks.withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at")))).where("rank >= upto - c AND rank < upto")
+    ranks = settled(ranks.select("trace_id", "of", "part", "n_pairs", F.col("w.name").alias("name"), "at", "rank", (F.col("upto") - F.col("c")).alias("before")), "ranks")
+    held = kinds.join(F.broadcast(ranks.select("trace_id", "of", "part").distinct()), ["trace_id", "of", "part"]).groupBy("trace_id", "of", "part", "x").agg(F.count(F.lit(1)).alias("c"))
+    inside = Window.partitionBy("trace_id", "of", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("upto", F.sum("c").over(inside))
+    found = held.join(F.broadcast(ranks), ["trace_id", "of", "part"]).where("rank - before >= upto - c AND rank - before < upto")
+    low, high, share = F.min("x"), F.max("x"), F.first("at") - F.floor(F.first("at"))
+    values = found.groupBy("trace_id", "n_pairs", "name").agg((low + (high - low) * share).alias("value"))
+    return values.groupBy("trace_id", "n_pairs").agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted))

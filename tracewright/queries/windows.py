@@ -193,9 +193,9 @@ def adaptive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TR}, w AS (SELECT trace_id, idx // 250 AS k, avg(v) AS m, stddev_pop(v) AS d FROM tr GROUP BY ALL HAVING count(*) = 250), p AS (SELECT a.trace_id, abs(a.m - b.m) AS dm, abs(a.d - b.d) AS dd FROM w a JOIN w b ON a.trace_id = b.trace_id AND a.k < b.k) SELECT trace_id, count(*) AS n_pairs, round(quantile_cont(dm, 0.5), 6) AS median_mean, round(quantile_cont(dm, 0.95), 6) AS p95_mean, round(quantile_cont(dd, 0.95), 6) AS p95_std FROM p GROUP BY trace_id")
 def healthy_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The natural band of differences between healthy windows."""
-    p = windows.healthy_band(settled(tr(spark, sf_dir).select("trace_id", "idx", "v"), "raw"), 250, "v")
-    q = lambda c, x: r(F.percentile(c, F.lit(x)))
-    return p.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_pairs"), q("d_mean", 0.5).alias("median_mean"), q("d_mean", 0.95).alias("p95_mean"), q("d_std", 0.95).alias("p95_std"))
+    wanted = {"median_mean": ("d_mean", 0.5), "p95_mean": ("d_mean", 0.95), "p95_std": ("d_std", 0.95)}
+    out = windows.healthy_quantiles(tr(spark, sf_dir).select("trace_id", "idx", "v"), 250, "v", wanted)
+    return out.select("trace_id", "n_pairs", *(r(c).alias(c) for c in wanted))
 
 
 @query(f"WITH {TR}, sweep AS (SELECT k, CAST(round_even(120 * power(45.0, k / 19.0) * 0.05, 0) AS BIGINT) AS n FROM range(20) t(k)), w AS (SELECT trace_id, k, n, v, CASE WHEN idx BETWEEN 40 AND 40 + n - 1 THEN 0 ELSE v END AS x FROM tr, sweep) SELECT trace_id, k, n, round(sqrt(avg((x - v) * (x - v))), 6) AS rmse, count(*) FILTER (WHERE x <> v) AS changed FROM w GROUP BY trace_id, k, n")
