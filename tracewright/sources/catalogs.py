@@ -65,7 +65,9 @@ def events_of(documents: DataFrame) -> DataFrame:
     by_json = chosen.select(F.to_timestamp_ntz(F.when(F.try_to_timestamp("at").isNotNull(), F.try_to_timestamp("at").cast("string"))).alias("event_ts")).where("event_ts IS NOT NULL")
     lines = documents.where("form = 'csv'").select(F.split(F.regexp_replace("text", "\r", ""), "\n").alias("lines"))
     place = F.array_position(F.transform(F.split(F.regexp_replace(F.col("lines")[0], "^\ufeff", ""), ","), F.trim), "Date").cast("int")
-    dates = lines.select(place.alias("place"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).where("place > 0")
+    # the column's place stands beside the lines before they are exploded, so that no line carries all of its document
+    held = lines.select(place.alias("place"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("rest")).where("place > 0")
+    dates = held.select("place", F.explode("rest").alias("line"))
     dates = dates.select(F.trim(F.try_element_at(F.split("line", ","), F.col("place"))).alias("Date")).where(F.col("Date").rlike("^[0-9]{10}$"))
     return by_json.unionByName(event_times(dates).join(F.broadcast(first.where("_first IS NOT NULL")), how="left_anti")).distinct()
 
