@@ -41,6 +41,12 @@ def _fill(method: str, before, after, left, right, n: int, sr: float, gap: int,
     return np.interp(at, x, y)
 
 
+def core(s: int, e: int, before, after, left, right, sr: float, gap: int, seed: int, method: str = "core") -> np.ndarray:
+    """The values of a segment from its references and surroundings, as arrays that may be empty; a reference of fewer than 4 is none."""
+    before, after = (x if len(x) >= 4 else None for x in (before, after))
+    return _fill(method, before, after, left, right, e - s + 1, sr, gap, seed + s)
+
+
 def context_windows(segments: DataFrame, n: DataFrame, sr: float, gap: int, reach=None) -> DataFrame:
     """Segments with the bounds of their references, and w0 to w1, all that they look at. n: lengths of the traces."""
     held = ranges.reference_windows(segments, n, ranges.auto_reference(sr) if reach is None else reach, gap)
@@ -73,10 +79,8 @@ def rebuilt(contexts: DataFrame, sr: float, gap: int, seed: int = 0, quantize: b
             rows = []
             for r in pdf.itertuples(index=False):
                 array = lambda x: np.asarray(x if x is not None else [], float)
-                before, after, left, right = (array(x) for x in (r.before, r.after, r.left, r.right))
-                before, after = (x if len(x) >= 4 else None for x in (before, after))
                 own = seed + int(r.s)
-                x = _fill(r.method, before, after, left, right, int(r.e - r.s + 1), sr, gap, own)
+                x = core(int(r.s), int(r.e), *(array(x) for x in (r.before, r.after, r.left, r.right)), sr, gap, seed, r.method)
                 x = np.rint(x) if quantize else x
                 rows.append({"trace_id": r.trace_id, "s": r.s, "e": r.e, "method": r.method, "values": x, "mean": float(x.mean()), "std": float(x.std()), "seed": own})
             columns = ["trace_id", "s", "e", "method", "mean", "std", "seed", "values"]
