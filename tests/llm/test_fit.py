@@ -24,3 +24,15 @@ def test_fit_sees_all_labelled_texts(spark):
     restorer, scorer = toxicity.fit(docs, labels)
     bad, good = scorer([text(["vexilloid"]).encode(), text(["grumbling"]).encode()]), scorer([text([]).encode() for _ in range(50)])
     assert (bad >= toxicity.THRESHOLD).all() and (good < toxicity.THRESHOLD).all()
+
+
+def test_only_texts_that_may_be_labelled_are_shuffled(spark):
+    # copies share the greatest label of their rows; of 20,000 texts without a label few pass the filter
+    F = toxicity.F
+    docs = spark.range(20_600).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 600, F.col("id") % 300).otherwise(F.col("id"))).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
+    got = {r.text: r.toxic for r in toxicity._labelled(docs, labels, F.lit(True), "doc_id", "text").collect()}
+    assert got == {f"text {i}": int(any(j % 7 == 0 for j in (i, i + 300) if j < 400)) for i in range(300)}
+    wanted = toxicity.written(docs.where("doc_id < 300").select("text"), "wanted")
+    kept = {r.text for r in toxicity._maybe_in(docs.select("text"), wanted, "text").distinct().collect()}
+    assert set(got) <= kept and len(kept) < 300 + 20_000 // 8

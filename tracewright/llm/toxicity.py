@@ -40,6 +40,8 @@ LEAST_COUNT = 2
 THRESHOLD = 0.7
 #: Of texts, how much is looked through for disguises at once.
 SUSPECT_BYTES = 1 << 20
+#: Bits for each key of a broadcast filter, and of a filter in all (32 MB).
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 
 # The letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
@@ -222,12 +224,27 @@ class Scorer:
         return np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -700, 700))))
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows that may have a key of `wanted` (distinct keys, a written table): all that do, and about one in FILTER_BITS of the others.
+
+    Bits of the keys' hashes are broadcast, FILTER_BITS a key at most and MOST_FILTER_BITS in all, so that rows without a key needn't be shuffled to find that out.
+    """
+    bits = min(MOST_FILTER_BITS, 1 << (FILTER_BITS * max(1, wanted.count()) - 1).bit_length())
+    place = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
+    bucket, at = F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place)
+    table = wanted.groupBy(bucket).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    return rows.withColumn("_bucket", bucket).withColumn("_at", at).join(F.broadcast(table), "_bucket").withColumn("_byte", byte).where(hit).select(*rows.columns)
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, chosen: Column, key: str, text: str) -> DataFrame:
-    """text, toxic and half (0 or 1, by the text's hash) of every distinct text that has a label."""
+    """text, toxic and half (0 or 1, by the text's hash) of every distinct text that has a label. Labels find digests first; then only texts that may have one of these are shuffled, once."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & chosen).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
-    texts = docs.select(col(key).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(marks, "doc_id").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    return written(rows.select("text", "toxic", F.conv(F.substring("digest", 64, 1), 16, 10).cast("int").bitwiseAND(1).alias("half")), "labelled")
+    texts = docs.select(col(key).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    marked = written(texts.select("doc_id", "digest").join(marks, "doc_id").groupBy("digest").agg(F.max("toxic").cast("int").alias("toxic")), "marked")
+    rows = _maybe_in(texts.select("digest", "text"), marked, "digest").groupBy("digest").agg(F.min("text").alias("text")).join(marked, "digest")
+    return written(rows.select("text", "toxic", F.conv(F.substring(F.hex("digest"), 64, 1), 16, 10).cast("int").bitwiseAND(1).alias("half")), "labelled")
 
 
 def _frequent_words(rows: DataFrame) -> Counter:
