@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rolling import CHUNK
 from .storage import settled
@@ -34,30 +36,40 @@ def value_ranks(df: DataFrame, column: str, out: str, buckets: int = 256, chunk:
 def local_outlier_factor(df: DataFrame, column: str, k: int = 20, chunk: int = 3000, out: str = "lof") -> DataFrame:
     """The local outlier factor of each value among those of its trace.
 
-    On one axis the k nearest of a value lie within k places of it in sorted order, so three windows over sorted values
-    suffice: distance to the k-th, density, and the neighbours' density over one's own. Equal densities give 1.
-    Windows are partitioned by trace and chunk of sorted values; rows within 3k places of a chunk, k a window, go there too.
+    On one axis the k nearest of a value lie within k places of it in sorted order, so three looks at these suffice:
+    distance to the k-th, density, and the neighbours' density over one's own. Equal densities give 1.
+    Groups are chunks of a trace's sorted values; rows within 3k places of a chunk, k a look, go there too.
     """
     rows = value_ranks(df, column, "_rank")
     reach = lambda by: F.greatest(F.lit(0), F.floor((F.col("_rank") + by) / chunk))
-    rows = rows.withColumn("_chunk", F.explode(F.sequence(reach(-3 * k), reach(3 * k))))
-    near = Window.partitionBy("trace_id", "_chunk").orderBy("_rank").rowsBetween(-k, k)
-
-    def nearest(value: str | None):
-        return F.collect_list(F.struct(F.col("idx").alias("i"), F.col(column).alias("v"), (F.lit(0.0) if value is None else F.col(value)).alias("x"))).over(near)
-
-    def closest(held):
-        others = F.filter(held, lambda n: n["i"] != F.col("idx"))
-        return F.slice(F.array_sort(F.transform(others, lambda n: F.struct(F.abs(n["v"] - F.col(column)).alias("d"), n["i"].alias("i"), n["x"].alias("x")))), 1, k)
-
-    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, n: s + f(n)) / F.greatest(F.size(a), F.lit(1))
-    rows = rows.withColumn("_near", nearest(None)).withColumn("_near", closest(F.col("_near")))
-    rows = rows.withColumn("_far", F.coalesce(F.get("_near", F.size("_near") - 1)["d"], F.lit(0.0)))
-    rows = rows.withColumn("_near", nearest("_far")).withColumn("_near", closest(F.col("_near")))
-    rows = rows.withColumn("_density", 1 / F.greatest(mean(F.col("_near"), lambda n: F.greatest(n["x"], n["d"])), F.lit(1e-10)))
-    rows = rows.withColumn("_near", nearest("_density")).withColumn("_near", closest(F.col("_near")))
-    lof = F.when(F.size("_near") == 0, 1.0).otherwise(mean(F.col("_near"), lambda n: n["x"]) / F.col("_density"))
-    return rows.withColumn(out, lof).where(F.col("_chunk") == F.floor(F.col("_rank") / chunk)).drop("_chunk", "_rank", "_near", "_far", "_density")
+    rows = rows.select(*df.columns, "_rank", F.col(column).cast("double").alias("_v"), F.explode(F.sequence(reach(-3 * k), reach(3 * k))).alias("_chunk"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema if f.name != out), T.StructField(out, T.DoubleType())])
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rank")
+        own = table["_rank"].to_numpy() // chunk == table["_chunk"].to_numpy()
+        held = table["_v"].combine_chunks()
+        lof = density_ratio(held.to_numpy(zero_copy_only=False), held.is_null().to_numpy(zero_copy_only=False), table["idx"].to_numpy(), k)
+        return table.select([n for n in schema.names if n != out]).append_column(out, pa.array(lof)).filter(pa.array(own))
+
+    return rows.groupBy("trace_id", "_chunk").applyInArrow(each, schema)
+
+
+def density_ratio(v: np.ndarray, none: np.ndarray, idx: np.ndarray, k: int) -> np.ndarray:
+    """Local outlier factors of values in order of size. Of equal distances that to the lesser idx is nearer; the distance to a value that is null is less than any and counts as 0."""
+    near = np.arange(len(v))[:, None] + np.concatenate([np.arange(-k, 0), np.arange(1, k + 1)])
+    inside = (near >= 0) & (near < len(v))
+    near = near.clip(0, len(v) - 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.where(none[near] | none[:, None], -1.0, np.abs(v[near] - v[:, None]))
+        order = np.lexsort((np.where(inside, idx[near], np.iinfo(np.int64).max), np.where(inside, d, np.nan)))[:, :k]
+        near, d, n = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1), inside.sum(1).clip(max=k)
+        there = np.arange(order.shape[1]) < n[:, None]
+        mean = lambda x: np.cumsum(np.where(there, x, 0.0), 1)[:, -1] / n.clip(1)
+        far = np.where(n > 0, d[np.arange(len(v)), n - 1], 0.0)
+        far = np.where(far < 0, 0.0, far)
+        density = 1 / np.maximum(mean(np.maximum(far[near], d)), 1e-10)
+        return np.where(n == 0, 1.0, mean(density[near]) / density)
 
 
 def isolation(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
