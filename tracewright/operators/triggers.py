@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling, runs
 
+#: Stretches that are matched in one call, each by itself: a call has a fixed cost.
+STRETCHES = 1024
+
 
 def ratio(df: DataFrame, column: str, out: str, short: int, long: int) -> DataFrame:
     """Root of the boxcar of squares over the boxcar of that root."""
@@ -53,17 +58,19 @@ def matched(triggers: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
     rows = rows.withColumn("stretch", F.sum("new").over(line.rangeBetween(Window.unboundedPreceding, 0)))
 
     def sweep(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
-        held = points[points.c.isna()].sort_values("s")
-        out, at = [], 0
-        for c in sorted(points.c.dropna()):
-            while at < len(held) and held["at"].iloc[at] < c - reach:
+        held, place, out = defaultdict(list), defaultdict(int), []
+        for x in points[points.c.isna()].sort_values("s").itertuples(index=False):
+            held[x.stretch].append((x.at, int(x.s), int(x.e)))
+        for x in points[points.c.notna()].sort_values("c").itertuples(index=False):
+            mine, at = held[x.stretch], place[x.stretch]
+            while at < len(mine) and mine[at][0] < x.at - reach:
                 at += 1
-            hit = at < len(held) and held["at"].iloc[at] <= c + reach
-            out.append((key[0], int(c), int(held.s.iloc[at]) if hit else None, int(held.e.iloc[at]) if hit else None))
-            at += hit
+            hit = at < len(mine) and mine[at][0] <= x.at + reach
+            out.append((key[0], int(x.at), *(mine[at][1:] if hit else (None, None))))
+            place[x.stretch] = at + hit
         return pd.DataFrame(out, columns=["trace_id", "c", "s", "e"]).astype({"c": "int64", "s": "Int64", "e": "Int64"})
 
-    return rows.groupBy("trace_id", "stretch").applyInPandas(sweep, "trace_id string, c long, s long, e long")
+    return rows.groupBy("trace_id", F.floor(F.col("stretch") / STRETCHES)).applyInPandas(sweep, "trace_id string, c long, s long, e long")
 
 
 def rates(triggers: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
