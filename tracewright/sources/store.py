@@ -20,6 +20,8 @@ from . import catalogs
 BLOCK = 1 << 24
 #: Partitions that a filter names one by one; beyond so many they are joined.
 MOST_NAMED = 1_000
+#: The setting for how many tasks list the folders of a table at most.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 class _Partitioned:
@@ -28,16 +30,25 @@ class _Partitioned:
     keys: dict[str, T.DataType] = {}
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.schema = spark, path, None
 
     def _put(self, rows: DataFrame, overwrite: bool) -> None:
+        if self.schema is not None and set(rows.columns) != set(self.schema.names):
+            self.schema = None
         writer = rows.repartition(*self.keys).write.partitionBy(*self.keys)
         (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else writer.mode("append")).parquet(self.path)
 
     def read(self) -> DataFrame:
-        found = self.spark.read.parquet(self.path).schema
-        schema = T.StructType([T.StructField(f.name, self.keys.get(f.name, f.dataType)) for f in found])
-        return self.spark.read.schema(schema).parquet(self.path)
+        """The stored table. Folders are listed by as many tasks as there are cores, not by one for each; the schema is looked for once."""
+        before = self.spark.conf.get(LISTING)
+        self.spark.conf.set(LISTING, str(min(int(before), self.spark.sparkContext.defaultParallelism)))
+        try:
+            if self.schema is None:
+                found = self.spark.read.parquet(self.path).schema
+                self.schema = T.StructType([T.StructField(f.name, self.keys.get(f.name, f.dataType)) for f in found])
+            return self.spark.read.schema(self.schema).parquet(self.path)
+        finally:
+            self.spark.conf.set(LISTING, before)
 
     def touched(self, keys: DataFrame) -> DataFrame:
         """The rows of the partitions that keys name."""
