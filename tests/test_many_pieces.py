@@ -46,3 +46,13 @@ def test_folders_are_not_listed_by_a_task_each(spark, tmp_path):
     stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     tasks = [i.numTasks for s in stages if (i := tracker.getStageInfo(s))]
     assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism and store.samples().count() == 200
+
+
+def test_only_rows_near_an_end_look_for_images(spark):
+    from tracewright.operators import rolling
+
+    assert "CASE WHEN" in str(rolling._images("reflect", 3, 2))
+    for n in (1, 2, 5, 40):
+        df = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").alias("idx"), F.lit(n).cast("long").alias("_n"))
+        got = {r.idx: sorted(r.places) for r in df.select("idx", rolling._images("reflect", 3, 2).alias("places")).collect()}
+        assert got == {i: [p for p in range(-3, n + 2) if i == min(p % (2 * n), 2 * n - 1 - p % (2 * n))] for i in range(n)}

@@ -28,7 +28,8 @@ def _images(edges: str | None, before: int, after: int) -> Column:
     if edges == "reflect":  # d c b a | a b c d | d c b a
         k = (F.lit(before + after) / (2 * n)).cast("int") + 1
         places = F.flatten(F.transform(F.sequence(-k, k), lambda m: F.array(i + 2 * n * m, -1 - i + 2 * n * m)))
-        return F.filter(places, lambda p: (p >= -before) & (p < n + after))
+        # nearly all rows have no image: only those within reach of an end look for theirs
+        return F.when((i >= before) & (i < n - after), F.array(i.cast("long"))).otherwise(F.filter(places, lambda p: (p >= -before) & (p < n + after)))
     first = F.when(i == 0, F.sequence(F.lit(-before).cast("long"), F.lit(-1).cast("long"))) if before else None
     last = F.when(i == n - 1, F.sequence(n, n + after - 1)) if after else None
     none = F.array().cast("array<bigint>")
