@@ -18,6 +18,34 @@ def samples_in(samples: DataFrame, segments: DataFrame, how: str = "inner", s: s
     return left.join(right, within, how).select(*samples.columns, *(F.col(f"_r_{c}").alias(c) for c in rest if both))
 
 
+def arrays_in(samples: DataFrame, segments: DataFrame, parts: dict[str, tuple[Column, Column]], value: Column | str = "v", keys: tuple[str, ...] = ("s", "e"), bucket: int = BUCKET) -> DataFrame:
+    """trace_id, keys and an array for each part of a segment, from its first to its last place: the values that samples have there, in order. Segments without samples in any part are left out.
+
+    Samples stand in blocks with an array each, and a segment meets blocks instead of samples: of a block, only what lies in its parts goes on.
+    """
+    keys = ["trace_id", *keys]
+    held = samples.select("trace_id", F.floor(F.col("idx") / bucket).alias("_block"), F.struct("idx", (F.col(value) if isinstance(value, str) else value).alias("x")).alias("_item"))
+    blocks = held.groupBy("trace_id", "_block").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    first, last, size = F.col("_items.idx")[0], F.element_at("_items.idx", -1), F.size("_items")
+    gaps = F.when(last - first + 1 != size, F.col("_items.idx"))  # a block whose places aren't dense says which it has
+    blocks = blocks.select("trace_id", "_block", F.col("_items.x").alias("_x"), first.alias("_first"), last.alias("_last"), gaps.alias("_places"))
+    steps = lambda lo, hi: F.when(lo <= hi, F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))).otherwise(F.array().cast("array<bigint>"))
+    ends = {name: (f"_lo{i}", f"_hi{i}") for i, name in enumerate(parts)}
+    met = F.explode(F.array_distinct(F.concat(*(steps(lo, hi) for lo, hi in parts.values()))))
+    wide = segments.select(*keys, *(c.cast("long").alias(n) for name, bounds in parts.items() for c, n in zip(bounds, ends[name])), met.alias("_block"))
+
+    def piece(low: str, high: str) -> Column:
+        start, end = F.greatest(low, "_first"), F.least(high, "_last")
+        cut = F.slice("_x", (start - F.col("_first") + 1).cast("int"), (end - start + 1).cast("int"))
+        some = F.filter("_x", lambda _, i: F.get("_places", i).between(F.col(low), F.col(high)))
+        return F.when(start <= end, F.when(F.col("_places").isNull(), cut).otherwise(some))
+
+    pieces = wide.join(blocks, ["trace_id", "_block"]).select(*keys, "_block", *(piece(*ends[name]).alias(name) for name in parts))
+    whole = lambda name: F.flatten(F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("_block", name))))[name])
+    tasks = 4 * samples.sparkSession.sparkContext.defaultParallelism  # said, since few bytes may be much work for those who read the arrays
+    return pieces.repartition(tasks, *keys).groupBy(*keys).agg(*(whole(name).alias(name) for name in parts))
+
+
 def _reached(left: DataFrame, right: DataFrame, keys: tuple[str, ...], at: str, least: str, how: str, s: str = "s", e: str = "e") -> DataFrame:
     """Rows of left for which, of right's segments of the same keys that start at or before `at`, the one that reaches furthest reaches `least`, or doesn't.
 

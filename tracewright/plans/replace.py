@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import ranges, rolling
+from ..operators.storage import settled
 
 CONTEXT = 132
 
@@ -47,28 +48,14 @@ def core(s: int, e: int, before, after, left, right, sr: float, gap: int, seed:
     return _fill(method, before, after, left, right, e - s + 1, sr, gap, seed + s)
 
 
-def context_windows(segments: DataFrame, n: DataFrame, sr: float, gap: int, reach=None) -> DataFrame:
-    """Segments with the bounds of their references, and w0 to w1, all that they look at. n: lengths of the traces."""
-    held = ranges.reference_windows(segments, n, ranges.auto_reference(sr) if reach is None else reach, gap)
-    return held.withColumns({"w0": F.greatest(F.lit(0), F.least("b_s", F.col("s") - CONTEXT)).cast("long"), "w1": F.greatest("a_e", F.col("e") + CONTEXT)})
-
-
-def context_arrays(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """From pairs of a good sample (idx, v) and a segment with bounds: arrays of the references, and of what touches the segment."""
-    i = F.col("idx")
-    take = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("idx", "v")))), lambda x: x["v"])
-    return pairs.groupBy(*keys).agg(
-        take(i.between(F.col("b_s"), F.col("b_e"))).alias("before"), take(i.between(F.col("a_s"), F.col("a_e"))).alias("after"),
-        take(i.between(F.col("s") - CONTEXT, F.col("s") - 1)).alias("left"), take(i.between(F.col("e") + 1, F.col("e") + CONTEXT)).alias("right"),
-    )
-
-
 def segment_contexts(samples: DataFrame, segments: DataFrame, sr: float, gap: int, bad: str = "bad", column: str = "v", reach=None) -> DataFrame:
     """Segments with arrays of the good samples before and after: references beyond the safety gap, and what touches the segment."""
-    good = samples.where(~F.col(bad)).select("trace_id", "idx", F.col(column).alias("v"))
-    wide = context_windows(segments, rolling.lengths(samples), sr, gap, reach)
-    keys = ["trace_id", "s", "e"]
-    return segments.join(context_arrays(ranges.samples_in(good, wide, s="w0", e="w1"), keys), keys, "left")
+    wide = ranges.reference_windows(segments, rolling.lengths(samples), ranges.auto_reference(sr) if reach is None else reach, gap)
+    s, e = F.col("s"), F.col("e")
+    parts = {"before": (F.col("b_s"), F.col("b_e")), "after": (F.col("a_s"), F.col("a_e")), "left": (F.greatest(F.lit(0), s - CONTEXT), s - 1), "right": (e + 1, e + CONTEXT)}
+    good = F.when(~F.col(bad), F.coalesce(F.col(column).cast("double"), F.lit(float("nan"))))
+    held = ranges.arrays_in(samples, wide, parts, good)
+    return segments.join(held.select("trace_id", "s", "e", *(F.filter(c, lambda x: x.isNotNull()).alias(c) for c in parts)), ["trace_id", "s", "e"], "left")
 
 
 def rebuilt(contexts: DataFrame, sr: float, gap: int, seed: int = 0, quantize: bool = False) -> DataFrame:
@@ -100,7 +87,7 @@ def replaced(samples: DataFrame, segments: DataFrame, sr: float, gap_s: float =
     Segments are repaired from the samples as given, side by side. Nothing outside them is written.
     """
     gap = round(gap_s * sr)
-    done = rebuilt(segment_contexts(samples, segments, sr, gap, bad, column), sr, gap, seed, quantize)
+    done = settled(rebuilt(segment_contexts(samples, segments, sr, gap, bad, column), sr, gap, seed, quantize), "rebuilt")
     return placed(done), done.drop("values")
 
 

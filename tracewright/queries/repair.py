@@ -65,7 +65,6 @@ def core_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = settled(trc(spark, sf_dir).select("trace_id", "idx", "v").withColumn("bad", masks.missing_counts(F.col("v"))), "raw")
     segs = settled(runs.runs(df, "bad").where(runs.length() > 20).withColumn("method", F.lit("core")), "segments")
     values, report = replaced(df, segs, SR)
-    values = settled(values, "rebuilt")
     wide = ranges.reference_windows(segs, rolling.lengths(df), ranges.auto_reference(SR), round(SR))
     checked = verification.verified(settled(written_back(df, values), "written"), wide.select("trace_id", "s", "e", "b_s", "b_e", "a_s", "a_e"), SR)
     return report.join(checked.select("trace_id", "s", "spectral", "envelope", "level", "autocorrelation", "energy", "passed", "issues"), ["trace_id", "s"])
