@@ -10,7 +10,7 @@ from ..functions import arrays
 from ..operators import masks, ranges, rolling, runs, stats, verification
 from ..operators.storage import settled
 from ..plans.pipeline import cleaned, repaired
-from ..plans.replace import replaced, written_back
+from ..plans.replace import rebuilt, replaced, segment_contexts, written_back
 from .quality import PAIRS, pairs
 from .registry import query
 from .views import EXP, MISS_RUNS, SR, TRC, exp, r, table, trc
@@ -76,11 +76,8 @@ def baseline_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = ["linear", "pchip", "spline", "ar", "ssa", "lowpass", "core"]
     df = settled(trc(spark, sf_dir).select("trace_id", "idx", F.col("clean").alias("v")).withColumn("bad", (F.col("idx") % 500).between(200, 219)), "raw")
     segs = runs.runs(df, "bad").where(runs.length() == 20)
-    out = None
-    for m in methods:
-        values, _ = replaced(df, segs.withColumn("method", F.lit(m)), SR)
-        one = values.withColumn("method", F.lit(m))
-        out = one if out is None else out.unionByName(one)
+    contexts = segment_contexts(df, segs, SR, round(SR)).withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    out = rebuilt(contexts, SR, round(SR)).select("trace_id", "s", "method", F.explode("values").alias("w"))
     return out.where("w IS NOT NULL AND NOT isnan(w)").groupBy("trace_id", "s", "method").agg(F.count(F.lit(1)).alias("n"), (F.min("s") + 19).alias("e")).select("trace_id", "s", "e", "n", "method")
 
 
