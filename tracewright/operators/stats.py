@@ -21,6 +21,17 @@ def oriented(metric: Column, value: Column) -> Column:
     return F.when(metric == "std_ratio", F.abs(value - 1)).otherwise(value)
 
 
+def averages_in_order(df: DataFrame, by: list[str], values: dict[str, str], order: list[str]) -> DataFrame:
+    """Averages (by name, of a column each) whose sums go through a group's rows in the given order, which must be total.
+
+    Sums of floating numbers depend on their order in the last digits, which tell equal averages apart and settle ties of rounding. A sum of the sums of
+    tasks would differ with the number of files and tasks, and from run to run.
+    """
+    whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.select(*by, *(F.avg(c).over(whole).alias(n) for n, c in values.items()))
+    return rows.groupBy(*by).agg(*(F.max(n).alias(n) for n in values))
+
+
 def dispersion(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     p = lambda q: F.percentile(value, F.lit(q))
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.countDistinct(value).alias("n_values"), p(0.5).alias("median"), p(0.25).alias("q1"), p(0.75).alias("q3"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import stats
 from ..operators.index import dense_index
 
 SR = 6.625
@@ -45,9 +46,10 @@ def trc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as an experiment table: a unit, a record, a method and three metrics, averaged per unit and method."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("method"))
-    return rows.agg(F.avg("l_discount").alias("rmse"), F.avg("l_tax").alias("acf"), F.avg("l_quantity").alias("std_ratio")).withColumn("record", F.col("unit") % 6)
+    """lineitem as an experiment table: a unit, a record, a method and three metrics, averaged per unit and method in the order of the stored rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("method"), "l_discount", "l_tax", "l_quantity", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    found = stats.averages_in_order(rows, ["unit", "method"], {"rmse": "l_discount", "acf": "l_tax", "std_ratio": "l_quantity"}, ["_file", "_row"])
+    return found.withColumn("record", F.col("unit") % 6)
 
 
 EXP = "ex AS (SELECT l_suppkey AS unit, l_returnflag AS method, avg(l_discount) AS rmse, avg(l_tax) AS acf, avg(l_quantity) AS std_ratio, l_suppkey % 6 AS record FROM lineitem GROUP BY l_suppkey, l_returnflag)"
