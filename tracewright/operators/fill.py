@@ -66,15 +66,16 @@ def replaced(df: DataFrame, bad: Column, by: Column, column: str, out: str) -> D
     return df.withColumn(out, F.when(bad, by).otherwise(F.col(column)))
 
 
-def spike_fill(df: DataFrame, column: str, out: str, width: int = 7, k: float = 8.0) -> DataFrame:
-    """Samples far from their rolling median are put on the line between their neighbours."""
+def spike_fill(df: DataFrame, column: str, out: str, width: int = 7, k: float = 8.0, flag: str | None = None) -> DataFrame:
+    """Samples far from their rolling median are put on the line between their neighbours, where they may have been already; flag names a column that marks them."""
     names = df.columns
     df = rolling.sized(rolling.mad_scale(df, column, "_global"))
     df = rolling.rolling_median(df, column, width, "_base").withColumn("_residual", F.abs(F.col(column) - F.col("_base")))
     df = rolling.rolling_median(df, "_residual", width, "_scale")
     hit = F.col("_residual") > k * F.greatest(1.4826 * F.col("_scale") + 1e-9, 0.5 * F.col("_global"))
     marked = settled(df.select(*names, hit.alias("_spike")), "spikes")
-    return clamped_fill(marked, "_spike", column, out).drop("_spike")
+    filled = clamped_fill(marked, "_spike", column, out)
+    return filled.withColumnRenamed("_spike", flag) if flag else filled.drop("_spike")
 
 
 def background(df: DataFrame, segments: DataFrame, bad: str, column: str, sr: float, context_s: float = 30.0) -> DataFrame:

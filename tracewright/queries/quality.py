@@ -52,8 +52,8 @@ def segment_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spike_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = settled(trc(spark, sf_dir).select("trace_id", "idx", "v"), "raw")
-    out = fill.spike_fill(df, "v", "w")
-    return out.where("v <> w").select("trace_id", "idx", r("w").alias("w"))
+    out = fill.spike_fill(df, "v", "w", flag="hit")
+    return out.where("hit").select("trace_id", "idx", r("w").alias("w"))
 
 
 @query(f"""WITH {FLAGGED}, sg AS (SELECT trace_id, k * 500 + 90 AS s, k * 500 + 139 AS e FROM (SELECT trace_id, idx // 500 AS k FROM trc WHERE idx % 500 BETWEEN 90 AND 139 GROUP BY ALL HAVING count(*) = 50) UNION ALL SELECT trace_id, s, e FROM miss WHERE e - s + 1 BETWEEN 3 AND 20 AND s % 500 NOT BETWEEN 60 AND 150),
