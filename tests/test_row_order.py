@@ -38,3 +38,19 @@ def test_equal_averages_and_ties_are_those_of_the_sql(spark, tables, name):
     columns = [d[0] for d in sql.description]
     rows = __spark_entry__.queries()[name](spark, str(tables)).select(*columns).collect()
     assert sorted(tuple(r) for r in rows) == sorted(sql.fetchall())
+
+
+@pytest.mark.parametrize("name", ["ordinal_ranks", "signed_ranks", "sign_flip_test"])
+def test_differences_are_rounded_as_in_the_sql(spark, tmp_path, name):
+    """Differences of k + 0.5 ten-thousandths: some times 10,000 are a little less than that, and go down."""
+    unit = np.arange(400)
+    d = [float(f"0.{k:04d}5") * (-1) ** (k % 3) for k in range(200)]
+    value = [x for pair in zip(d + [0.0001 * k for k in range(200)], [0.0] * 400, strict=True) for x in pair]
+    columns = {"l_suppkey": np.repeat(unit, 2), "l_returnflag": ["A", "N"] * 400, "l_discount": value, "l_tax": value, "l_quantity": value}
+    pq.write_table(pa.table(columns), tmp_path / "lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    sql = c.execute(__spark_entry__.oracle_sql()[name])
+    columns = [d[0] for d in sql.description]
+    rows = __spark_entry__.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(sql.fetchall())

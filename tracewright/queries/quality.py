@@ -9,7 +9,7 @@ from ..operators import fill, masks, metrics, ranges, runs, stats, triggers
 from ..operators.storage import settled
 from ..sources import catalogs, names
 from .registry import query
-from .views import EXP, MISS_RUNS, MISSING, SR, TR, TRC, X, exp, r, rolling_sql, table, trc
+from .views import EXP, MISS_RUNS, MISSING, SR, TR, TRC, X, exp, nearest, r, rolling_sql, table, trc
 
 FLAGGED = f"{MISS_RUNS}, fl AS (SELECT *, {MISSING} AS bad FROM trc)"
 CLAMP = f"{FLAGGED}, ar AS (SELECT miss.*, a.v AS lv, b.v AS rv FROM miss LEFT JOIN trc a ON a.trace_id = miss.trace_id AND a.idx = s - 1 LEFT JOIN trc b ON b.trace_id = miss.trace_id AND b.idx = e + 1), filled AS (SELECT fl.trace_id, fl.idx, fl.clean, fl.v, bad, CASE WHEN bad THEN coalesce(lv + (rv - lv) * (fl.idx - s + 1) / (e - s + 2), lv, rv) ELSE fl.v END AS w FROM fl LEFT JOIN ar ON ar.trace_id = fl.trace_id AND fl.idx BETWEEN s AND e)"
@@ -201,7 +201,7 @@ PAIRS = f"{EXP}, pr AS (SELECT unit, record, max(rmse) FILTER (WHERE method = 'A
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.paired(exp(spark, sf_dir), ["unit", "record"], "method", "rmse", "A", "N").withColumn("d", r("d", 4))
+    return stats.paired(exp(spark, sf_dir), ["unit", "record"], "method", "rmse", "A", "N").withColumn("d", nearest(F.col("d"), 4))
 
 
 @query(f"WITH {PAIRS} SELECT record, count(*) AS n_pairs, round(quantile_cont(d, 0.5), 6) AS median_diff, round(avg(d), 6) AS mean_diff, round(avg((d < 0)::INT), 6) AS share_better FROM pd GROUP BY record")

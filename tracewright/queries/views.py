@@ -57,3 +57,8 @@ EXP = "ex AS (SELECT l_suppkey AS unit, l_returnflag AS method, avg(l_discount)
 
 def r(column, places: int = 6):
     return F.round(column, places)
+
+
+def nearest(column, places: int):
+    """Rounded as the SQL's round does it: to the nearest whole of column * 10^places. r goes by the decimal digits instead, which takes 0.00015 up where 0.00015 * 10^4 is just below 1.5."""
+    return F.round(column * 10**places) / 10**places
